@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from talus.llm.bpe import op1_bpe
+from talus.llm.fingerprint import op2_fingerprints
 from talus.llm.packing import op7_packing
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_fingerprints": op2_fingerprints,
     "op7_packing": op7_packing,
 }
 
