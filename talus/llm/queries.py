@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from talus.llm.bpe import op1_bpe
 from talus.llm.fingerprint import op2_fingerprints
+from talus.llm.langid import op3_language_id
 from talus.llm.packing import op7_packing
+from talus.llm.quality import op6_quality
+from talus.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_fingerprints": op2_fingerprints,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
 }
 
