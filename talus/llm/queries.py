@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from talus.llm.bpe import op1_bpe
 from talus.llm.fingerprint import op2_fingerprints
+from talus.llm.htmltext import op9_html_text
 from talus.llm.langid import op3_language_id
 from talus.llm.packing import op7_packing
 from talus.llm.quality import op6_quality
 from talus.llm.toxicity import op4_toxicity
+from talus.llm.warc import op5_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_fingerprints": op2_fingerprints,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
