@@ -34,13 +34,13 @@ from talus.llm.shingles import SHINGLE, shingle_sets
 #: Linked sets meet in so many prefix shingles (or in all that a link needs, where that is fewer).
 MEET = 4
 #: Larger regions elect a pivot.
-SMALL = 6
+SMALL = 12
 #: Shingles met more often (and more than four times the mean load of a slot) come last in the order.
 OFTEN = 32
 #: Slots that count prefix shingles: 2 to this power at most, so their bitmaps stay at 16 MiB.
 SLOT_BITS = 27
 #: Regions nested deeper compare all their open pairs.
-DEPTH = 4
+DEPTH = 3
 #: Ids of copies that are broadcast, at most (16 bytes each); beyond, one text of each set is written out instead.
 BROADCAST_IDS = 1_000_000
 
@@ -147,17 +147,29 @@ def sizes_allow(a: str, b: str) -> Column:
     return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
 
 
-def pairs_of_small(rows: DataFrame) -> DataFrame:
-    """(x, y, meets): pairs within regions that hold at most ``SMALL`` rows, x < y, not linked through one pivot already."""
-    listed = rows.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "size", "via"))).alias("m"))
-    each = F.flatten(
-        F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    )
-    p = listed.select(F.inline(each)).select(
-        F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.size").alias("nx"), F.col("b.size").alias("ny"), F.col("a.via").alias("vx"), F.col("b.via").alias("vy")
-    )
-    open_ = F.coalesce(F.col("vx") != F.col("vy"), F.lit(True))
-    return p.where((F.col("x") != F.col("y")) & open_ & sizes_allow("nx", "ny")).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("meets"))
+def open_pairs(rows: DataFrame, small: bool) -> DataFrame:
+    """(x, y, nx, ny): pairs that meet in a region, x < y, and are not linked through one pivot.
+
+    Two sets share at most the lesser of their overlaps with the parent's pivot inside it, so a link needs the rest of its
+    overlap outside; they must meet that often (or ``MEET`` times) in the parent's regions. With ``small``, regions hold at
+    most ``SMALL`` rows, and pairs that also meet in a large region are found there.
+    """
+    member = F.struct("node", "size", "i", "via")
+    if small:
+        listed = rows.groupBy("parent", "region").agg(F.sort_array(F.collect_list(member)).alias("m"))
+        each = F.flatten(
+            F.transform("m", lambda a, k: F.transform(F.slice("m", k + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+        )
+        p = listed.select("parent", F.inline(each))
+    else:
+        a, b = (rows.select("region", "parent", member.alias(k)) for k in "ab")
+        p = a.join(b.drop("parent"), "region").where("a.node < b.node")
+    not_by_pivot = F.coalesce(F.col("a.via") != F.col("b.via"), F.lit(True))
+    p = p.where((F.col("a.node") != F.col("b.node")) & not_by_pivot & sizes_allow("a.size", "b.size"))
+    p = p.select("parent", F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.size").alias("nx"), F.col("b.size").alias("ny"), F.least("a.i", "b.i").alias("i"))
+    p = p.groupBy("parent", "x", "y", "nx", "ny", "i").agg(F.count(F.lit(1)).alias("meets"))
+    needed = F.greatest(least_overlap(F.col("nx"), F.col("ny")) - F.col("i"), F.lit(1))
+    return p.where(F.col("meets") >= F.least(F.lit(MEET), needed)).select("x", "y", "nx", "ny")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
@@ -168,19 +180,31 @@ def overlaps(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
     return both.withColumn("i", F.size(F.array_intersect("sx", "sy")).cast("long")).select(*pairs.columns, "i", *more)
 
 
-def elect(rows: DataFrame) -> DataFrame:
-    """``rows`` of large regions with the region's pivot, its size and where it stands: (region, node, size, via, pivot, ps).
+def elect(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of large regions with a pivot for each region, and the links found on the way.
 
-    The pivot is the set whose own regions are largest on average; among rows that are linked through one pivot already only
-    open ones (without ``via``) are asked first.
+    First each region names an open member (one not linked to the parent's pivot) whose regions are largest, and all members
+    are measured against it. Then each set favours, of the pivots it was measured against, the one with most links, and
+    a region takes the pivot that most members favour. So a group of near copies, which meets in many regions, settles on
+    one pivot, the text they were made from. A pivot need not be a member.
     """
-    fame = rows.groupBy("node").agg(F.avg("n").alias("fame"))
-    rated = rows.join(materialise(fame, "fame"), "node")
-    best = rated.groupBy("region").agg(
-        F.max(F.struct(F.col("via").isNull().alias("open"), "fame", (-F.col("node")).alias("least"), "size")).alias("best"),
+    fame = materialise(rows.groupBy("node").agg(F.avg("n").alias("fame")), "fame")
+    first = rows.join(fame, "node").groupBy("region").agg(
+        F.max(F.struct(F.col("via").isNull().alias("open"), "fame", (-F.col("node")).alias("least"), "size")).alias("best")
     )
-    best = best.where("best.open").select("region", (-F.col("best.least")).alias("pivot"), F.col("best.size").alias("ps"))
-    return rows.join(materialise(best, "pivots"), "region")
+    first = materialise(first.where("best.open").select("region", (-F.col("best.least")).alias("y"), F.col("best.size").alias("ny")), "named")
+    tried = rows.select("region", F.col("node").alias("x"), F.col("size").alias("nx")).join(first, "region").select("x", "y", "nx", "ny").distinct()
+    tried = materialise(overlaps(tried.where("x <> y"), sets), "tried")
+    close = tried.where(F.col("i") >= least_overlap(F.col("nx"), F.col("ny")))
+    votes = first.select("y", "ny").distinct().join(close.groupBy("y").agg(F.count(F.lit(1)).alias("k")), "y", "left").fillna(0, ["k"])
+    votes = materialise(votes, "votes")
+    own = votes.select(F.col("y").alias("x"), "y")
+    favour = tried.select("x", "y").unionByName(own).join(votes, "y").groupBy("x").agg(F.max(F.struct("k", (-F.col("y")).alias("least"), "ny")).alias("f"))
+    favour = materialise(favour.select(F.col("x").alias("node"), (-F.col("f.least")).alias("pivot"), F.col("f.ny").alias("ps"), F.col("f.k").alias("k")), "favoured")
+    ballots = rows.join(favour, "node").where(~F.col("pivot").eqNullSafe(F.col("parent"))).groupBy("region", "pivot", "ps", "k").agg(F.count(F.lit(1)).alias("c"))
+    chosen = ballots.groupBy("region").agg(F.max(F.struct("c", "k", (-F.col("pivot")).alias("least"), "ps")).alias("b"))
+    chosen = chosen.select("region", (-F.col("b.least")).alias("pivot"), F.col("b.ps").alias("ps"))
+    return rows.join(materialise(chosen, "pivots"), "region"), close.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 def links(docs: DataFrame, size: int = SHINGLE, total_prefix: int | None = None) -> DataFrame:
@@ -199,27 +223,23 @@ def links(docs: DataFrame, size: int = SHINGLE, total_prefix: int | None = None)
     # A set that meets others less often than any link of it needs has no link.
     needs = F.least(F.lit(MEET), F.ceil(F.col("size") * 3 / F.lit(4)))
     able = materialise(rows.groupBy("node", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= needs).select("node"), "able")
-    rows = materialise(rows.join(able, "node").withColumn("via", F.lit(None).cast("long")), "region-rows")
+    rows = materialise(rows.join(able, "node").withColumn("via", F.lit(None).cast("long")).withColumn("i", F.lit(0).cast("long")).withColumn("parent", F.lit(None).cast("long")), "region-rows")
     texts = docs.join(able.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     sets = materialise(whole_sets(texts, size), "sets")
 
     found, candidates = [], []
     for depth in range(DEPTH + 1):
-        few = pairs_of_small(rows.where(F.col("n") <= SMALL))
-        if depth == 0:  # pairs that meet in no large region meet in small ones as often as a link needs
-            few = few.where(F.col("meets") >= F.least(F.lit(MEET).cast("long"), least_overlap(F.col("nx"), F.col("ny"))))
-        candidates.append(few.select("x", "y", "nx", "ny"))
-        large = rows.where(F.col("n") > SMALL)
         if depth == DEPTH:
-            a, b = (large.select("region", *[F.col(c).alias(f"{c}{k}") for c in ("node", "size", "via")]) for k in "xy")
-            p = a.join(b, "region").where((F.col("nodex") < F.col("nodey")) & sizes_allow("sizex", "sizey") & F.coalesce(F.col("viax") != F.col("viay"), F.lit(True)))
-            candidates.append(p.select(F.col("nodex").alias("x"), F.col("nodey").alias("y"), F.col("sizex").alias("nx"), F.col("sizey").alias("ny")))
+            candidates.append(open_pairs(rows, small=False))
             break
-        placed = elect(large)
-        stars = placed.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("size").alias("nx"), F.col("ps").alias("ny"), "via").distinct()
+        candidates.append(open_pairs(rows.where(F.col("n") <= SMALL), small=True))
+        large = rows.where(F.col("n") > SMALL)
+        placed, near = elect(large, sets)
+        found.append(near)
+        stars = placed.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("size").alias("nx"), F.col("ps").alias("ny")).distinct()
         outside = F.array_except("sx", "sy")
         needed = F.greatest(F.lit(1), F.ceil(F.col("nx") * 3 / F.lit(4)) - F.size(F.array_intersect("sx", "sy")))
-        prefix = F.slice(outside, 1, F.greatest(F.size(outside) - needed + 1, F.lit(0)).cast("int"))
+        prefix = F.slice(outside, 1, F.greatest(F.size(outside) - needed + MEET, F.lit(0)).cast("int"))
         measured = materialise(overlaps(stars, sets, prefix.alias("outside")), "measured")
         close = F.col("i") >= least_overlap(F.col("nx"), F.col("ny"))
         found.append(measured.where(close).select(F.col("x").alias("u"), F.col("y").alias("v")))
@@ -228,7 +248,8 @@ def links(docs: DataFrame, size: int = SHINGLE, total_prefix: int | None = None)
         inside = materialise(inside, "inside")
         candidates.append(window_pairs(inside))
         via = F.when(F.col("linked"), F.col("pivot"))
-        sub = inside.select(F.explode("outside").alias("item"), "pivot", "node", "size", via.alias("via")).select(F.xxhash64("pivot", "item").alias("region"), "node", "size", "via")
+        sub = inside.select(F.explode("outside").alias("item"), F.col("pivot").alias("parent"), "node", "size", "i", via.alias("via"))
+        sub = sub.select(F.xxhash64("parent", "item").alias("region"), "parent", "node", "size", "i", "via")
         sub = materialise(sub, "sub-rows")
         counted = sub.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("via").isNull()).alias("open")).where("n > 1 and open > 0").drop("open")
         rows = materialise(sub.join(materialise(counted, "sub-regions"), "region"), "region-rows")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from talus.llm.bpe import op1_bpe
 from talus.llm.fingerprint import op2_fingerprints
 from talus.llm.htmltext import op9_html_text
+from talus.llm.jaccard import op8_jaccard_join
 from talus.llm.langid import op3_language_id
 from talus.llm.packing import op7_packing
 from talus.llm.quality import op6_quality
+from talus.llm.topk import op10_topk
 from talus.llm.toxicity import op4_toxicity
 from talus.llm.warc import op5_warc
 
@@ -19,7 +21,9 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_html_text": op9_html_text,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {}
