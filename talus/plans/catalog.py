@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from talus.plans import company_queries, posting_queries, star_queries, text_queries
+
+QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (text_queries, posting_queries, company_queries, star_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
