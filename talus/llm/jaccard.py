@@ -35,8 +35,9 @@ from talus.llm.shingles import SHINGLE, shingle_sets
 MEET = 4
 #: Larger regions elect a pivot.
 SMALL = 12
-#: Shingles met more often (and more than four times the mean load of a slot) come last in the order.
-OFTEN = 32
+#: Shingles met more often (and more than four times the mean load of a slot) come last in the order, so that a passage
+#: that many texts share seeds a region only where they share little else.
+OFTEN = 12
 #: Slots that count prefix shingles: 2 to this power at most, so their bitmaps stay at 16 MiB.
 SLOT_BITS = 27
 #: Regions nested deeper compare all their open pairs.

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes that are hashed in one go; longer texts are cut at white space.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 SHINGLE = 5
 
 _U = np.uint64

@@ -67,7 +67,7 @@ def pay_boost(pay: Column, current: float) -> Column:
 
 def days_old(date: Column, as_of: Column) -> Column:
     d = F.try_to_date(F.substring(F.trim(F.coalesce(date.cast("string"), F.lit(""))), 1, 10), "yyyy-MM-dd")
-    return F.coalesce(F.greatest(F.datediff(as_of, d), F.lit(0)), F.lit(9999))
+    return F.when(d.isNull(), 9999).otherwise(F.greatest(F.datediff(as_of, d), F.lit(0)))
 
 
 def recency_boost(days: Column) -> Column:

@@ -1,0 +1,31 @@
+"""Every query with SQL gives the same rows in DuckDB, on the smallest tables."""
+
+import os
+
+import pytest
+
+from talus.plans.catalog import ORACLE_SQL, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for f in os.listdir(DATA):
+        name, path = f.removesuffix(".parquet"), f"{DATA}/{f}"
+        con.execute(f"create view {name} as select * from '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_same_rows(spark, duck, name):
+    df = QUERIES[name](spark, DATA)
+    result = duck.execute(ORACLE_SQL[name])
+    names = [c[0] for c in result.description]
+    assert sorted(names) == sorted(df.columns)
+    theirs = sorted((tuple(r[names.index(c)] for c in df.columns) for r in result.fetchall()), key=repr)
+    assert sorted(map(tuple, df.collect()), key=repr) == theirs
