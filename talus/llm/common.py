@@ -21,12 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a temporary folder is made.
+    Only where that setting is missing (local tests) a temporary folder becomes the session's checkpoint folder.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="talus-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="talus-"))
+        base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/talus/{name}-{uuid.uuid4().hex}"
 
 
