@@ -173,8 +173,21 @@ def open_pairs(rows: DataFrame, small: bool) -> DataFrame:
     return p.where(F.col("meets") >= F.least(F.lit(MEET), needed)).select("x", "y", "nx", "ny")
 
 
+def named_only(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """Rows whose ``col`` is in ``ids``, a written table: by broadcast up to ``BROADCAST_IDS`` ids, else by a shuffled join."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, col, "left_semi")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
-    """``pairs`` (x, y, ...) with ``i``, the exact size of their intersection; ``more`` may use both sets, sx and sy."""
+    """``pairs`` (x, y, ...) with ``i``, the exact size of their intersection; ``more`` may use both sets, sx and sy.
+
+    Sets that no pair names are left out where they are read, before anything is shuffled.
+    """
+    pairs = materialise(pairs, "pairs")
+    named = materialise(pairs.select("x").union(pairs.select("y")).distinct().toDF("node"), "pair-nodes")
+    sets = named_only(sets, named, "node")
     sx = sets.select(F.col("node").alias("x"), F.col("items").alias("sx"))
     sy = sets.select(F.col("node").alias("y"), F.col("items").alias("sy"))
     both = pairs.join(sx, "x").join(sy, "y")
