@@ -26,4 +26,18 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators learn, hash, encode or parse what SQL has no words for; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+            where vec_id is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+        )
+        select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+        from s qualify rank <= 10
+    """,
+}
