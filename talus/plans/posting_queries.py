@@ -12,13 +12,20 @@ from talus.plans.text_queries import tags_sql
 SKILLS = {"C++": ["c++"], "Docker": ["docker"], "Go": ["go"], "Java": ["java"], "Python": ["python"], "REST": ["rest"], "SQL": ["sql"], "Spring": ["spring"]}
 PROFILE = scoring.Profile(titles=["Backend Developer", "Python Engineer"], skills=["Docker", "Java", "Python", "SQL"], domains={"Ending": ["tionea"]}, home=["de"], big_companies=[" acme ", "hooli"], years=2, pay=7.0)
 TARGETS = ["Java", "Python", "SQL"]
-AS_OF = F.lit("2024-01-30").cast("date")
-AS_OF_TIME = F.lit("2024-01-30 00:00:00").cast("timestamp")
 K = 20
 
 
+def as_of():
+    """The day of all these queries; a column needs a session, so none is made on import."""
+    return F.lit("2024-01-30").cast("date")
+
+
+def as_of_time():
+    return F.lit("2024-01-30 00:00:00").cast("timestamp")
+
+
 def _scored(spark, d):
-    return scoring.match_score(postings(spark, d), SKILLS, PROFILE, AS_OF)
+    return scoring.match_score(postings(spark, d), SKILLS, PROFILE, as_of())
 
 
 def _kept(spark, d, ratio=0.6, least=0):
@@ -31,7 +38,7 @@ def match_score(spark, d):
 
 
 def generic_score(spark, d):
-    return scoring.generic_score(postings(spark, d), SKILLS, TARGETS, PROFILE, AS_OF).select("ord", F.array_join("matched", "|").alias("matched"), "base", "score")
+    return scoring.generic_score(postings(spark, d), SKILLS, TARGETS, PROFILE, as_of()).select("ord", F.array_join("matched", "|").alias("matched"), "base", "score")
 
 
 def title_relevance(spark, d):
@@ -39,7 +46,7 @@ def title_relevance(spark, d):
 
 
 def facts(spark, d):
-    df = scoring.add_facts(postings(spark, d), SKILLS, PROFILE, AS_OF)
+    df = scoring.add_facts(postings(spark, d), SKILLS, PROFILE, as_of())
     return df.select("ord", "least_years", "most_years", "employees", "pay", "days", scoring.recency_boost(F.col("days")).alias("recency"), scoring.pay_boost(F.col("pay"), 7.0).alias("boost"), scoring.level_of(F.col("least_years")).alias("level"))
 
 
@@ -91,7 +98,7 @@ def reject_histogram(spark, d):
 
 def simple_filters(spark, d):
     p = postings(spark, d)
-    keep = filters.age_within(F.col("date_posted"), AS_OF_TIME, 240) & filters.level_fits(F.col("title"), "JUNIOR") & filters.is_true(F.col("is_remote"))
+    keep = filters.age_within(F.col("date_posted"), as_of_time(), 240) & filters.level_fits(F.col("title"), "JUNIOR") & filters.is_true(F.col("is_remote"))
     return p.where(keep).select("ord", filters.is_posting_url(F.concat(F.lit("https://x.org/jobs/"), F.col("site"))).alias("posting"))
 
 
@@ -109,7 +116,7 @@ def _today(spark, d):
 
 
 def carry_forward(spark, d):
-    return feed.carry_forward(_today(spark, d), _before(spark, d), AS_OF_TIME, 12).select("date_fetched", "site", "job_url")
+    return feed.carry_forward(_today(spark, d), _before(spark, d), as_of_time(), 12).select("date_fetched", "site", "job_url")
 
 
 def top_up(spark, d):
@@ -128,7 +135,7 @@ def with_analyses(spark, d):
 def to_analyse(spark, d):
     p = postings(spark, d)
     cache = p.where("ord % 2 = 0").select(F.md5("job_url").alias("key"), F.try_to_timestamp("date_posted").alias("cached_at"))
-    return feed.to_analyse(p, cache, AS_OF_TIME, 7).select("ord", "key")
+    return feed.to_analyse(p, cache, as_of_time(), 7).select("ord", "key")
 
 
 QUERIES = {
