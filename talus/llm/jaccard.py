@@ -200,7 +200,8 @@ def elect(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     First each region names an open member (one not linked to the parent's pivot) whose regions are largest, and all members
     are measured against it. Then each set favours, of the pivots it was measured against, the one with most links, and
     a region takes the pivot that most members favour. So a group of near copies, which meets in many regions, settles on
-    one pivot, the text they were made from. A pivot need not be a member.
+    one pivot, the text they were made from. A pivot need not be a member. The parent's pivot is not taken again: a region
+    whose members all favour it keeps the open member it named.
     """
     fame = materialise(rows.groupBy("node").agg(F.avg("n").alias("fame")), "fame")
     first = rows.join(fame, "node").groupBy("region").agg(
@@ -217,7 +218,8 @@ def elect(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     favour = materialise(favour.select(F.col("x").alias("node"), (-F.col("f.least")).alias("pivot"), F.col("f.ny").alias("ps"), F.col("f.k").alias("k")), "favoured")
     ballots = rows.join(favour, "node").where(~F.col("pivot").eqNullSafe(F.col("parent"))).groupBy("region", "pivot", "ps", "k").agg(F.count(F.lit(1)).alias("c"))
     chosen = ballots.groupBy("region").agg(F.max(F.struct("c", "k", (-F.col("pivot")).alias("least"), "ps")).alias("b"))
-    chosen = chosen.select("region", (-F.col("b.least")).alias("pivot"), F.col("b.ps").alias("ps"))
+    chosen = first.join(chosen, "region", "left")
+    chosen = chosen.select("region", F.coalesce(-F.col("b.least"), "y").alias("pivot"), F.coalesce("b.ps", "ny").alias("ps"))
     return rows.join(materialise(chosen, "pivots"), "region"), close.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 

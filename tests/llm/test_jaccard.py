@@ -78,6 +78,18 @@ def test_short_texts_at_the_threshold(spark):
     assert found(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_a_region_whose_members_all_favour_the_parent_keeps_a_pivot(spark):
+    p, copies, variants = 10, range(20, 40), range(50, 64)
+    sets = {p: set(range(20))} | {c: set(range(20)) for c in copies} | {x: {0, *range(100, 119)} for x in variants}
+    member = lambda region, parent, node, n: (region, parent, node, 20, 1, None, n)
+    rows = [member(1, 1, node, len(sets)) for node in sets]  # p is named here, has most links, and all are measured against it
+    rows += [member(2, p, x, len(variants)) for x in variants]
+    rows = spark.createDataFrame(rows, "region long, parent long, node long, size int, i long, via long, n long")
+    placed, _ = jaccard.elect(rows, spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "node long, items array<bigint>"))
+    got = sorted((r.region, r.node, r.pivot, r.ps) for r in placed.collect())
+    assert got == sorted([(1, node, p, 20) for node in sets] + [(2, x, 50, 20) for x in variants])
+
+
 def test_awkward(spark, awkward):
     rows = jaccard.join(awkward).collect()
     assert len(rows) == awkward.count()
