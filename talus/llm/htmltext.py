@@ -4,7 +4,9 @@ Pages of one host are merged into a style tree: a node is a path of element styl
 pages have it and how its content varies between them. A node's importance is the entropy of its content over the pages, as
 a share of the largest possible: 0 where all pages show the same, 1 where each shows its own. Branches of low importance
 that enough pages share are removed from each page, and so are those that HTML or their class names mark as menus, headers,
-footers, side matter, notices, adverts, forms or reader comments. Headings and running text inside an article stay.
+footers, side matter, notices, adverts, forms or reader comments. Headings and running text inside an article stay. Themes
+also put such words on what holds the whole page (``no-sidebar``, ``comments-open``), so names do not drop html, body, main,
+an outermost article, or a branch that holds main or the article.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ DROPPED_NAMES = frozenset(
 #: Dropped only outside an article, where they head the page and not the text.
 DROPPED_OUTSIDE = frozenset("header masthead topbar".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption article main body html".split())
+#: Their own class names drop them never; an article in another one is a comment or the like, and is dropped by them.
+HOLDERS = frozenset("html body main article".split())
+NAMED, MARKED = 1, 2
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main"
     " menu nav ol p pre section table ul".split()
@@ -57,12 +62,13 @@ CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 
 
 class Node:
-    """An open block element: its style path, and whether it is dropped, in an article, and removable by importance."""
+    """An open block element: its style path, whether it is dropped (``NAMED`` by class names only, or ``MARKED``), in main
+    or an article, in an article that a named branch holds, in an article element, and removable by importance."""
 
-    __slots__ = ("tag", "path", "dropped", "article", "branch")
+    __slots__ = ("tag", "path", "dropped", "article", "held", "nested", "branch")
 
-    def __init__(self, tag: str, path: int, dropped: bool, article: bool, branch: bool):
-        self.tag, self.path, self.dropped, self.article, self.branch = tag, path, dropped, article, branch
+    def __init__(self, tag: str, path: int, dropped: int, article: bool, held: bool, nested: bool, branch: bool):
+        self.tag, self.path, self.dropped, self.article, self.held, self.nested, self.branch = tag, path, dropped, article, held, nested, branch
 
 
 def opened(tag: str, source: str, above: Node) -> Node:
@@ -72,15 +78,23 @@ def opened(tag: str, source: str, above: Node) -> Node:
     path = (above.path * 1_000_003 + zlib.crc32(style.encode())) & 0x7FFFFFFFFFFFFFFF
     names = set(re.split(r"[^a-z]+", named)) if marks else set()
     article = above.article or tag in ("article", "main")
-    dropped = above.dropped or tag in DROPPED_TAGS or marks.get("role") in DROPPED_ROLES or bool(names & DROPPED_NAMES)
-    if not article and (tag == "header" or names & DROPPED_OUTSIDE):
-        dropped = True
-    return Node(tag, path, dropped, article, tag not in RUNNING)
+    holder = tag in HOLDERS and not (tag == "article" and above.nested)
+    dropped, held = above.dropped, above.held
+    if dropped == NAMED and holder:
+        if tag == "main":
+            dropped = 0
+        elif tag == "article" and not DROPPED_NAMES & set(named.split()):
+            dropped, held = 0, True
+    if tag in DROPPED_TAGS or marks.get("role") in DROPPED_ROLES or tag == "header" and not article:
+        dropped = MARKED
+    elif not dropped and not holder and (names & DROPPED_NAMES or not article and names & DROPPED_OUTSIDE):
+        dropped = NAMED
+    return Node(tag, path, dropped, article, held, above.nested or tag == "article", tag not in RUNNING)
 
 
 def pieces(page: str) -> Iterator[tuple[list[Node], str]]:
     """(open block elements, text) in page order; a text of "" marks the edge of a block. Entities are decoded."""
-    stack = [Node("", 1, False, False, False)]
+    stack = [Node("", 1, 0, False, False, False, False)]
     at = 0
     while True:
         m = TOKEN.match(page, at)
@@ -138,16 +152,26 @@ def tree_nodes(page: str) -> dict[int, list[int]]:
 
 
 def main_text(page: str | None, unimportant: frozenset[int] = frozenset()) -> str:
-    """The running text; of articles only, where a page has any."""
-    inside, outside = [], []
+    """The running text; of articles only, where a page has any.
+
+    Articles in a branch whose names would drop it count where they hold more text than the rest: the branch is then what
+    holds the page, and else a list of comments or related pages.
+    """
+    inside, held, articles, outside = [], [], [], []
     for stack, text in pieces(page or ""):
         top = stack[-1]
         if text == "":
-            inside.append(" ")
-            outside.append(" ")
+            for part in (inside, held, articles, outside):
+                part.append(" ")
         elif not top.dropped and not (unimportant and any(n.path in unimportant and n.branch for n in stack)):
-            (inside if top.article else outside).append(text)
-    return " ".join("".join(inside).split()) or " ".join("".join(outside).split())
+            if top.article:
+                (held if top.held else inside).append(text)
+                articles.append(text)
+            else:
+                outside.append(text)
+    rest, kept = (" ".join("".join(part).split()) for part in (inside, held))
+    rest = rest or " ".join("".join(outside).split())
+    return " ".join("".join(articles).split()) if len(kept) > len(rest) else rest
 
 
 def host(url: Column) -> Column:

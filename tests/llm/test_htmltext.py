@@ -14,6 +14,26 @@ def test_article_only():
     assert htmltext.main_text(PAGE) == "Title & more First bold text. one two"
 
 
+def test_names_of_what_holds_the_page_do_not_drop_it():
+    text = "Title & more First bold text. one two"
+    named = ARTICLE.replace("<article>", '<article class="post related-none">')
+    for before, after in [
+        ('<html class="no-menu"><body class="single no-sidebar comments-open">', "</body></html>"),
+        ('<body class="has-menu header-fixed topbar">', "</body>"),
+        ('<body><div class="site has-sidebar"><main class="no-sidebar">', "</main></div>"),
+        ('<body><div class="has-sidebar"><div id="widgets-off">', "</div></div><p>Posted on Monday</p>"),
+        ('<body><main><div class="has-sidebar">', "</div></main>"),
+    ]:
+        for article in (ARTICLE, named):
+            assert htmltext.main_text(f'{before}<div class="menu">no</div>{article}<div class="sidebar"><p>side</p></div>{after}') == text
+    own = "<body class=no-sidebar><h1>Title</h1><p>The page itself, which is not in an article.</p>"
+    said = '<div id="comments"><article class="comment"><p>A reader says far more than the page does, and goes on and on.</p></article></div>'
+    assert htmltext.main_text(own + said) == "Title The page itself, which is not in an article."
+    assert htmltext.main_text(f"<body>{ARTICLE[:-10]}{said}</article>") == text
+    related = '<div class="related"><article><p>Another page</p></article></div>'
+    assert htmltext.main_text(f"<body class=no-sidebar>{ARTICLE}{related}") == htmltext.main_text(f"<main>{ARTICLE}{related}</main>") == text
+
+
 def test_broken_and_bare_pages():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p></p>") == ""
     assert htmltext.main_text("just text &lt;3 &#x41;&nbsp;b") == html.unescape("just text &lt;3 A b")
