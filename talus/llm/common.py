@@ -39,6 +39,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables that one operator writes in the shared folder. What has been superseded is deleted with ``drop``."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.paths = spark, shared_dir(spark, name), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[name])
+            path.getFileSystem(conf).delete(path, True)
+
+
 def id_bucket(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod`` (null ids go to no bucket)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

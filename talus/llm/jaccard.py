@@ -1,19 +1,20 @@
-"""Exact Jaccard join of word-shingle sets in a metric space: pivots, regions around them, windows, recursion.
-
-Jaccard distance is a metric, but two unrelated texts are at distance 1, and so is nearly every text from any pivot chosen
-blindly: such cells would not separate anything. So pivots are sought where sets meet. Every set is placed in one region for
-each shingle of its prefix (so many of its first shingles in one fixed order that two linked sets must meet in ``MEET`` of
-them). Regions of up to ``SMALL`` sets compare their pairs. A larger region elects a pivot, the set whose shingles are met
-most often, and every member's exact overlap with the pivot is computed:
-
-* members within the linking distance of the pivot are one group by their links to it; no pair among them is compared;
-* for any other pair the overlaps with the pivot bound what the two can share inside it. Where that is not enough for a
-  link (the triangle-inequality window), the two must also meet outside the pivot, so both are replicated into sub-regions,
-  one for each shingle of a prefix of what they have outside it, and sub-regions are joined in the same way;
-* where it would be enough, the pair is compared; such members are found by an equi-join on the pivot and size windows.
-
-No step drops or caps anything; the order of shingles (those met too often last) and the sizes of the slot tables only
-change how much is compared. Equal sets are joined first, through their digests.
+"""Exact Jaccard join of word-shingle sets in a metric space: pivots, Voronoi cells, windows, recursion.
+
+Equal sets are joined first, through their digests. Then sets that cannot link are put aside: two sets at a similarity of
+3/4 share 3/4 of either, so a set has a link only where others hold that much of it (``able_nodes`` proves it on the first
+third of each set, ``ordered_sets`` on all of it). What is left is joined in regions (``Join.level``):
+
+* Sets meet where they share one of the first shingles in one order (rarest first; so many that linked sets must meet).
+  Each meeting names as pivot the set that is met most often.
+* A set's *cell* is that of its nearest pivot, by exact Jaccard distance; it is replicated into the cell of every other pivot
+  that its meetings name. So two linked sets are together in the cell of either or in one where both are replicas. In a cell,
+  members within 1/4 of the pivot are one group by their links to it, and replicas of one other cell are compared there.
+* Of any other pair, the overlaps with the pivot bound what the two can share inside it (the triangle inequality in numbers
+  of shingles). Where that may be enough, the pair is in a window and is compared (``window_pairs``). Where it is not, the
+  two must also meet outside the pivot, so the cell is a region that is joined in the same way, on what its members have
+  outside all pivots so far. That shrinks each time, so this ends.
+
+Nothing is dropped or capped, and no step depends on the size of a region. Pairs of one group are not listed.
 """
 
 from __future__ import annotations
@@ -27,23 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import map_batches, materialise, table
+from talus.llm.common import Workspace, map_batches, table
 from talus.llm.components import components
 from talus.llm.shingles import SHINGLE, shingle_sets
 
-#: Linked sets meet in so many prefix shingles (or in all that a link needs, where that is fewer).
-MEET = 4
-#: Larger regions elect a pivot.
-SMALL = 12
-#: Shingles met more often (and more than four times the mean load of a slot) come last in the order, so that a passage
-#: that many texts share seeds a region only where they share little else.
-OFTEN = 12
-#: Slots that count prefix shingles: 2 to this power at most, so their bitmaps stay at 16 MiB.
-SLOT_BITS = 27
-#: Regions nested deeper compare all their open pairs.
-DEPTH = 3
-#: Ids of copies that are broadcast, at most (16 bytes each); beyond, one text of each set is written out instead.
+#: Ids that are broadcast, at most (16 bytes each); a longer list is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A shingle is heavy if it makes up more than one in so many of all rows; so there are fewer heavy ones than this.
+HEAVY = 10_000
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -51,280 +43,256 @@ def least_overlap(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * 3 / F.lit(7)).cast("long")
 
 
-def prefix_length(n: int) -> int:
-    return min(n, n - (3 * n + 3) // 4 + MEET)
+def three_quarters(n: str) -> Column:
+    """What a link of a set of ``n`` shingles shares at least: 3/4 of n, rounded up."""
+    return F.expr(f"({n} * 3 + 3) div 4")
 
 
-def set_digests(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the whole set; null for an empty one)."""
+def head_meets(n: int) -> int:
+    """Linked sets of n shingles or more meet in so many shingles of their heads."""
+    return max(1, -(-n // 12))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 512):
-                b = whole.slice(at, 512)
-                sets = shingle_sets(b.column(1).to_pylist(), size)
-                yield {
-                    "doc_id": b.column(0),
-                    "n_shingles": [len(s) for s in sets],
-                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                }
-
-    return map_batches(docs, run, "doc_id long, n_shingles long, digest binary")
 
+def head_length(n: int) -> int:
+    """A link may leave a quarter of a set out; so many shingles more, in one fixed order, hold ``head_meets`` shared ones."""
+    return min(n, n - (3 * n + 3) // 4 + head_meets(n))
 
-def ordered_prefix(s: np.ndarray, often: np.ndarray | None, bits: int) -> np.ndarray:
-    """The first shingles of a sorted set; those in slots marked ``often`` come last."""
-    p = prefix_length(len(s))
-    if often is None:
-        return s[:p]
-    slot = (s >> np.uint64(64 - bits)).astype(np.int64)
-    late = (often[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-    early = s[~late]
-    return early[:p] if len(early) >= p else np.concatenate([early, s[late][: p - len(early)]])
 
+def digest_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
-def slot_counts(docs: DataFrame, size: int, bits: int, often) -> DataFrame:
-    """(slot, n): how many prefix shingles fall in each slot; batches sum up before anything is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        mask = often.value if often else None
-        for whole in batches:
-            held = []
-            for at in range(0, whole.num_rows, 512):
-                held += [ordered_prefix(s, mask, bits) for s in shingle_sets(whole.column(1).slice(at, 512).to_pylist(), size)]
-            slots = np.concatenate([*held, np.zeros(0, np.uint64)]) >> np.uint64(64 - bits)
-            slot, n = np.unique(slots.astype(np.int32), return_counts=True)
-            yield {"slot": pa.array(slot), "n": pa.array(n.astype(np.int32))}
+def node_of(s: np.ndarray) -> int | None:
+    """A set's number: 64 bits of its digest."""
+    return int.from_bytes(digest_of(s)[:8], "big", signed=True) if len(s) else None
 
-    return map_batches(docs, run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
 
-
-def slot_bitmap(spark: SparkSession, counts: DataFrame, above: int, bits: int):
-    """A broadcast bitmap of the slots with more than ``above`` shingles: 2**bits / 8 bytes, whatever the input."""
-    parts = (
-        counts.where(F.col("n") > above)
-        .groupBy(F.shiftright("slot", 15).alias("part"))
-        .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767).cast("long")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros(max(1 << bits, 1 << 15) >> 3, np.uint8)
-    for r in parts:
-        out[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(out)
-
-
-def met_prefixes(docs: DataFrame, size: int, bits: int, often, shared) -> DataFrame:
-    """(region, node, size) for the prefix shingles whose slot is shared."""
+def set_heads(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, node, head): a set's size, its number (null for an empty one), its least third."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                found = [(s[:0], 0) if not len(s) else (ordered_prefix(s, often.value, bits), len(s)) for s in shingle_sets(b.column(1).to_pylist(), size)]
-                lengths = [len(p) for p, _ in found]
-                s = np.concatenate([*(p for p, _ in found), np.zeros(0, np.uint64)])
-                node = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
-                sizes = np.repeat(np.array([n for _, n in found], np.int32), lengths)
-                slot = (s >> np.uint64(64 - bits)).astype(np.int64)
-                keep = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                yield {"region": pa.array(s[keep].view(np.int64)), "node": pa.array(node[keep]), "size": pa.array(sizes[keep])}
+            for at in range(0, max(whole.num_rows, 1), 256):
+                b = whole.slice(at, 256)
+                sets = shingle_sets(b.column(1).to_pylist(), size)
+                yield {
+                    "doc_id": b.column(0),
+                    "n": [len(s) for s in sets],
+                    "node": [node_of(s) for s in sets],
+                    "head": [s[: head_length(len(s))].view(np.int64) for s in sets],
+                }
 
-    return map_batches(docs, run, "region long, node long, size int")
+    return map_batches(docs, run, "doc_id long, n long, node long, head array<bigint>")
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, items): the sorted shingle hashes of each text."""
+    """(node, n, items): the sorted shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                yield {"node": b.column(0), "items": [s.view(np.int64) for s in shingle_sets(b.column(1).to_pylist(), size)]}
+            for at in range(0, max(whole.num_rows, 1), 128):
+                sets = shingle_sets(whole.slice(at, 128).column(1).to_pylist(), size)
+                yield {"node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "items": [s.view(np.int64) for s in sets]}
 
-    return map_batches(docs, run, "node long, items array<bigint>")
+    return map_batches(docs, run, "node long, n long, items array<bigint>")
 
 
-def sizes_allow(a: str, b: str) -> Column:
-    return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
+def small_semi(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """Rows whose ``col`` is in ``ids``, a written table: by broadcast up to ``BROADCAST_IDS`` ids, else by a shuffle."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, col, "left_semi")
 
 
-def open_pairs(rows: DataFrame, small: bool) -> DataFrame:
-    """(x, y, nx, ny): pairs that meet in a region, x < y, and are not linked through one pivot.
+def with_counts(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """``rows`` (h, ...) whose shingle is in ``counts`` (h, c; each at least 2), with c.
 
-    Two sets share at most the lesser of their overlaps with the parent's pivot inside it, so a link needs the rest of its
-    overlap outside; they must meet that often (or ``MEET`` times) in the parent's regions. With ``small``, regions hold at
-    most ``SMALL`` rows, and pairs that also meet in a large region are found there.
+    Heavy shingles, of which there are fewer than ``HEAVY``, are joined by broadcast, so no key of the shuffle has more than
+    one in ``HEAVY`` of the rows.
     """
-    member = F.struct("node", "size", "i", "via")
-    if small:
-        listed = rows.groupBy("parent", "region").agg(F.sort_array(F.collect_list(member)).alias("m"))
-        each = F.flatten(
-            F.transform("m", lambda a, k: F.transform(F.slice("m", k + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-        )
-        p = listed.select("parent", F.inline(each))
-    else:
-        a, b = (rows.select("region", "parent", member.alias(k)) for k in "ab")
-        p = a.join(b.drop("parent"), "region").where("a.node < b.node")
-    not_by_pivot = F.coalesce(F.col("a.via") != F.col("b.via"), F.lit(True))
-    p = p.where((F.col("a.node") != F.col("b.node")) & not_by_pivot & sizes_allow("a.size", "b.size"))
-    p = p.select("parent", F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.size").alias("nx"), F.col("b.size").alias("ny"), F.least("a.i", "b.i").alias("i"))
-    p = p.groupBy("parent", "x", "y", "nx", "ny", "i").agg(F.count(F.lit(1)).alias("meets"))
-    needed = F.greatest(least_overlap(F.col("nx"), F.col("ny")) - F.col("i"), F.lit(1))
-    return p.where(F.col("meets") >= F.least(F.lit(MEET), needed)).select("x", "y", "nx", "ny")
-
-
-def named_only(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """Rows whose ``col`` is in ``ids``, a written table: by broadcast up to ``BROADCAST_IDS`` ids, else by a shuffled join."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, col, "left_semi")
+    limit = total // HEAVY
+    marked = rows.join(F.broadcast(counts.where(F.col("c") > limit)), "h", "left")
+    rest = marked.where("c is null").drop("c").join(counts.where(F.col("c") <= limit).hint("merge"), "h")
+    return marked.where("c is not null").unionByName(rest)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
-    """``pairs`` (x, y, ...) with ``i``, the exact size of their intersection; ``more`` may use both sets, sx and sy.
+def able_nodes(work: Workspace, heads: DataFrame, total: int) -> DataFrame:
+    """Numbers of the sets of which so much of the head is in other heads as any link of theirs needs.
 
-    Sets that no pair names are left out where they are read, before anything is shuffled.
+    A link of a set of n shingles is to one of 3/4 n or more, so their heads share ``head_meets`` of 3/4 n at least.
     """
-    pairs = materialise(pairs, "pairs")
-    named = materialise(pairs.select("x").union(pairs.select("y")).distinct().toDF("node"), "pair-nodes")
-    sets = named_only(sets, named, "node")
-    sx = sets.select(F.col("node").alias("x"), F.col("items").alias("sx"))
-    sy = sets.select(F.col("node").alias("y"), F.col("items").alias("sy"))
-    both = pairs.join(sx, "x").join(sy, "y")
-    return both.withColumn("i", F.size(F.array_intersect("sx", "sy")).cast("long")).select(*pairs.columns, "i", *more)
-
-
-def elect(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of large regions with a pivot for each region, and the links found on the way.
-
-    First each region names an open member (one not linked to the parent's pivot) whose regions are largest, and all members
-    are measured against it. Then each set favours, of the pivots it was measured against, the one with most links, and
-    a region takes the pivot that most members favour. So a group of near copies, which meets in many regions, settles on
-    one pivot, the text they were made from. A pivot need not be a member. The parent's pivot is not taken again: a region
-    whose members all favour it keeps the open member it named.
+    rows = heads.select(F.explode("head").alias("h"), "node")
+    counts = work.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "head-counts")
+    met = with_counts(rows, counts, total).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    need = F.greatest(F.lit(1), F.ceil(three_quarters("n") / F.lit(12)))
+    able = met.join(heads.select("node", "n"), "node").where(F.col("k") >= need).select("node").distinct()
+    able = work.write(able, "able")
+    work.drop("head-counts")
+    return able
+
+
+def ordered_sets(work: Workspace, sets: DataFrame) -> DataFrame:
+    """(node, n, items): of sets of which 3/4 or more is in other sets, the shared shingles, rarest first.
+
+    Shingles of one set alone are left out; in the order they stand before all others.
     """
-    fame = materialise(rows.groupBy("node").agg(F.avg("n").alias("fame")), "fame")
-    first = rows.join(fame, "node").groupBy("region").agg(
-        F.max(F.struct(F.col("via").isNull().alias("open"), "fame", (-F.col("node")).alias("least"), "size")).alias("best")
-    )
-    first = materialise(first.where("best.open").select("region", (-F.col("best.least")).alias("y"), F.col("best.size").alias("ny")), "named")
-    tried = rows.select("region", F.col("node").alias("x"), F.col("size").alias("nx")).join(first, "region").select("x", "y", "nx", "ny").distinct()
-    tried = materialise(overlaps(tried.where("x <> y"), sets), "tried")
-    close = tried.where(F.col("i") >= least_overlap(F.col("nx"), F.col("ny")))
-    votes = first.select("y", "ny").distinct().join(close.groupBy("y").agg(F.count(F.lit(1)).alias("k")), "y", "left").fillna(0, ["k"])
-    votes = materialise(votes, "votes")
-    own = votes.select(F.col("y").alias("x"), "y")
-    favour = tried.select("x", "y").unionByName(own).join(votes, "y").groupBy("x").agg(F.max(F.struct("k", (-F.col("y")).alias("least"), "ny")).alias("f"))
-    favour = materialise(favour.select(F.col("x").alias("node"), (-F.col("f.least")).alias("pivot"), F.col("f.ny").alias("ps"), F.col("f.k").alias("k")), "favoured")
-    ballots = rows.join(favour, "node").where(~F.col("pivot").eqNullSafe(F.col("parent"))).groupBy("region", "pivot", "ps", "k").agg(F.count(F.lit(1)).alias("c"))
-    chosen = ballots.groupBy("region").agg(F.max(F.struct("c", "k", (-F.col("pivot")).alias("least"), "ps")).alias("b"))
-    chosen = first.join(chosen, "region", "left")
-    chosen = chosen.select("region", F.coalesce(-F.col("b.least"), "y").alias("pivot"), F.coalesce("b.ps", "ny").alias("ps"))
-    return rows.join(materialise(chosen, "pivots"), "region"), close.select(F.col("x").alias("u"), F.col("y").alias("v"))
-
-
-def links(docs: DataFrame, size: int = SHINGLE, total_prefix: int | None = None) -> DataFrame:
-    """(u, v) links that connect all sets at a similarity of 3/4 or more, from rows (doc_id, text) of distinct sets.
-
-    Not every pair: members linked to one pivot stand by those links. Every link given is exact.
+    rows = sets.select(F.explode("items").alias("h"), "node", "n")
+    counts = work.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "set-counts")
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = with_counts(rows, counts, total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    out = work.write(shared.where(F.size("s") >= three_quarters("n")).select("node", "n", F.col("s.h").alias("items")), "ordered")
+    work.drop("set-counts")
+    return out
+
+
+class Join:
+    """The recursion over ``sets`` (node, n, items); ``run`` gives exact links (u, v) that connect all linked sets.
+
+    A level's ``members`` are (chain, node, n, rest, held, label): ``chain`` names the region (the cell it came from),
+    ``rest`` what a set has outside all pivots so far, ``held`` how much it had before any. Pairs of one label are not
+    compared: they are linked through the cell's pivot, or joined in another cell.
     """
-    spark = docs.sparkSession
-    bits = min(SLOT_BITS, max(15, (4 * (total_prefix or 1)).bit_length()))
-    counts = slot_counts(docs, size, bits, None)
-    often = slot_bitmap(spark, counts, max(OFTEN, 4 * (total_prefix or 1) >> bits), bits)
-    shared = slot_bitmap(spark, slot_counts(docs, size, bits, often), 1, bits)
-    met = materialise(met_prefixes(docs, size, bits, often, shared), "met")
-    regions = materialise(met.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "regions")
-    rows = met.join(regions, "region")
-    # A set that meets others less often than any link of it needs has no link.
-    needs = F.least(F.lit(MEET), F.ceil(F.col("size") * 3 / F.lit(4)))
-    able = materialise(rows.groupBy("node", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= needs).select("node"), "able")
-    rows = materialise(rows.join(able, "node").withColumn("via", F.lit(None).cast("long")).withColumn("i", F.lit(0).cast("long")).withColumn("parent", F.lit(None).cast("long")), "region-rows")
-    texts = docs.join(able.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialise(whole_sets(texts, size), "sets")
-
-    found, candidates = [], []
-    for depth in range(DEPTH + 1):
-        if depth == DEPTH:
-            candidates.append(open_pairs(rows, small=False))
-            break
-        candidates.append(open_pairs(rows.where(F.col("n") <= SMALL), small=True))
-        large = rows.where(F.col("n") > SMALL)
-        placed, near = elect(large, sets)
-        found.append(near)
-        stars = placed.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("size").alias("nx"), F.col("ps").alias("ny")).distinct()
-        outside = F.array_except("sx", "sy")
-        needed = F.greatest(F.lit(1), F.ceil(F.col("nx") * 3 / F.lit(4)) - F.size(F.array_intersect("sx", "sy")))
-        prefix = F.slice(outside, 1, F.greatest(F.size(outside) - needed + MEET, F.lit(0)).cast("int"))
-        measured = materialise(overlaps(stars, sets, prefix.alias("outside")), "measured")
-        close = F.col("i") >= least_overlap(F.col("nx"), F.col("ny"))
-        found.append(measured.where(close).select(F.col("x").alias("u"), F.col("y").alias("v")))
-        # Within a pivot's region: (pivot, node, size, overlap, linked to the pivot?, prefix of what lies outside it)
-        inside = measured.select(F.col("y").alias("pivot"), F.col("x").alias("node"), F.col("nx").alias("size"), "i", close.alias("linked"), "outside").groupBy("pivot", "node", "size", "i", "linked").agg(F.first("outside").alias("outside"))
-        inside = materialise(inside, "inside")
-        candidates.append(window_pairs(inside))
-        via = F.when(F.col("linked"), F.col("pivot"))
-        sub = inside.select(F.explode("outside").alias("item"), F.col("pivot").alias("parent"), "node", "size", "i", via.alias("via"))
-        sub = sub.select(F.xxhash64("parent", "item").alias("region"), "parent", "node", "size", "i", "via")
-        sub = materialise(sub, "sub-rows")
-        counted = sub.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("via").isNull()).alias("open")).where("n > 1 and open > 0").drop("open")
-        rows = materialise(sub.join(materialise(counted, "sub-regions"), "region"), "region-rows")
-        if rows.isEmpty():
-            break
-    pairs = reduce(DataFrame.unionByName, candidates).distinct()
-    checked = overlaps(pairs, sets)
-    found.append(checked.where(F.col("i") >= least_overlap(F.col("nx"), F.col("ny"))).select(F.col("x").alias("u"), F.col("y").alias("v")))
-    return reduce(DataFrame.unionByName, found)
-
-
-def window_pairs(inside: DataFrame) -> DataFrame:
-    """Pairs of a pivot's region, not both linked to it, whose overlaps with it would be enough for a link.
-
-    Without a meeting outside the pivot they share at most the lesser overlap, m, and a link needs 7 m >= 3 (nx + ny). So an
-    unlinked x only looks at sizes from 3/4 of its own to (7 m - 3 nx) / 3: a few windows of sizes in steps of a tenth.
+
+    def __init__(self, work: Workspace, sets: DataFrame):
+        self.work, self.sets, self.links, self.open = work, sets, [], []
+
+    def name(self, depth: int, what: str) -> str:
+        return f"{depth}-{what}"
+
+    def run(self) -> DataFrame:
+        members = self.sets.select(
+            F.lit(0).cast("long").alias("chain"), "node", "n", F.col("items").alias("rest"), F.size("items").cast("long").alias("held"),
+            F.col("node").alias("label"),
+        )
+        depth = 0
+        while members is not None:
+            members = self.level(members, depth)
+            depth += 1
+        if self.open:
+            pairs = reduce(DataFrame.unionByName, self.open).distinct()
+            self.links.append(self.linked(self.measure(pairs.withColumn("chain", F.lit(0).cast("long")), None)))
+        none = self.sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+        return reduce(DataFrame.unionByName, self.links, none)
+
+    @staticmethod
+    def linked(measured: DataFrame) -> DataFrame:
+        return measured.where("close").select(F.col("x").alias("u"), F.col("p").alias("v"))
+
+    def measure(self, pairs: DataFrame, members: DataFrame | None) -> DataFrame:
+        """(chain, x, p) with n, np, i (their overlap), close, and with ``members`` also what x has outside p and all before."""
+        whole = self.sets
+        sx = whole.select(F.col("node").alias("x"), "n", F.col("items").alias("sx"))
+        sp = whole.select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("items").alias("sp"))
+        both = pairs.join(sx.hint("merge"), "x").join(sp.hint("merge"), "p")
+        more = []
+        if members is not None:
+            both = both.join(members.select("chain", F.col("node").alias("x"), "rest", "held").hint("merge"), ["chain", "x"])
+            more = [F.array_except("rest", "sp").alias("rest"), "held"]
+        both = both.withColumn("i", F.size(F.array_intersect("sx", "sp")).cast("long"))
+        return both.select("chain", "x", "p", "n", "np", "i", (F.col("i") >= least_overlap(F.col("n"), F.col("np"))).alias("close"), *more)
+
+    def level(self, members: DataFrame, depth: int) -> DataFrame | None:
+        """Join one level's regions; the members of the next, or None."""
+        write = lambda df, what: self.work.write(df, self.name(depth, what))
+        drop = lambda *what: self.work.drop(*(self.name(depth, w) for w in what))
+        # A set needs 3/4 of itself in common; ``held - size(rest)`` of that may lie inside the pivots so far.
+        inside = F.col("held") - F.size("rest")
+        needed = F.greatest(F.lit(1), three_quarters("n") - inside)
+        alone = F.col("n") - F.col("held")
+        first = F.greatest(F.lit(0), (F.col("n") - inside) - needed + 1 - alone).cast("int")
+        keys = members.select("chain", "node", "label", F.explode(F.slice("rest", 1, first)).alias("h"))
+        regions = keys.groupBy("chain", "h").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("a"), F.max("label").alias("b"))
+        regions = write(regions.where("a <> b").select("chain", "h", "k"), "regions")
+        if regions.isEmpty():
+            return None
+        rows = write(keys.select("chain", "h", "node").join(regions.hint("merge"), ["chain", "h"]), "rows")
+        met = rows.groupBy("chain", "node").agg(F.sum("k").alias("met"))
+        best = F.max_by(F.col("node"), F.struct("met", -F.col("node"))).alias("p")
+        named = write(rows.join(met.hint("merge"), ["chain", "node"]).groupBy("chain", "h").agg(best), "named")
+        tried = rows.join(named.hint("merge"), ["chain", "h"]).where("node <> p").select("chain", F.col("node").alias("x"), "p").distinct()
+        near = write(self.measure(tried, members), "near")
+        self.links.append(self.linked(near))
+        pivots = named.select("chain", F.col("p").alias("x"), F.lit(True).alias("pivot")).distinct()
+        likeness = F.col("i") / (F.col("n") + F.col("np") - F.col("i"))
+        # A pivot's nearest pivot is itself.
+        homes = near.groupBy("chain", "x").agg(F.max_by("p", F.struct(likeness, -F.col("p"))).alias("home"))
+        homes = write(homes.join(pivots, ["chain", "x"], "left"), "homes")
+        home = F.when(F.col("pivot").isNull(), F.col("home")).otherwise(F.col("x"))
+        # Pairs of one label are not compared in this cell: those linked to its pivot, and replicas of one other cell.
+        label = F.when(F.col("close"), F.col("p")).when(home == F.col("p"), F.col("x")).otherwise(home)
+        inner = near.join(homes.hint("merge"), ["chain", "x"])
+        inner = inner.select(F.xxhash64("chain", "p").alias("chain"), F.col("x").alias("node"), "n", "rest", "held", label.alias("label"))
+        inner = write(inner, "members")
+        self.open.append(write(window_pairs(inner), "windows"))
+        drop("regions", "rows", "named", "homes")
+        if depth:
+            self.work.drop(self.name(depth - 1, "members"))
+        return inner
+
+
+def window_pairs(members: DataFrame) -> DataFrame:
+    """(x, p): pairs of a cell, of different labels, whose overlaps with pivots would be enough for a link.
+
+    Without a meeting outside the pivots they share at most the lesser overlap, m, and a link needs 7 m >= 3 (nx + ny). So x
+    only looks at sizes from 3/4 of its own to (7 m - 3 nx) / 3: a few windows of sizes in steps of a tenth.
     """
     step = F.lit(float(np.log(1.1)))
     window = lambda c: F.floor(F.ln(c.cast("double")) / step)
-    top = F.least((F.col("i") * 7 - F.col("size") * 3) / 3, F.col("size") * 4 / 3)
-    x = inside.where(~F.col("linked")).withColumn("low", F.greatest(F.col("size") * 3 / 4, F.lit(1.0))).withColumn("top", top).where("top >= low")
-    x = x.select("pivot", F.col("node").alias("a"), F.col("size").alias("na"), F.col("i").alias("ia"), F.explode(F.sequence(window(F.col("low")) - 1, window(F.col("top")) + 1)).alias("w"))
-    y = inside.select("pivot", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("i").alias("ib"), "linked", window(F.col("size")).alias("w"))
+    inside = members.select("chain", "node", "n", "label", (F.col("held") - F.size("rest")).alias("i"))
+    top = F.least((F.col("i") * 7 - F.col("n") * 3) / 3, F.col("n") * 4 / 3)
+    x = inside.withColumn("low", F.greatest(F.col("n") * 3 / 4, F.lit(1.0))).withColumn("top", top).where("top >= low")
+    x = x.select("chain", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"), F.explode(F.sequence(window(F.col("low")) - 1, window(F.col("top")) + 1)).alias("w"))
+    y = inside.select("chain", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"), window(F.col("n")).alias("w"))
     enough = F.least("ia", "ib") * 7 >= (F.col("na") + F.col("nb")) * 3
-    p = x.join(y, ["pivot", "w"]).where(enough & sizes_allow("na", "nb") & (F.col("a") != F.col("b")) & (F.col("linked") | (F.col("a") < F.col("b"))))
-    flip = F.col("a") < F.col("b")
-    return p.select(
-        F.least("a", "b").alias("x"),
-        F.greatest("a", "b").alias("y"),
-        F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nx"),
-        F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("ny"),
-    )
+    sizes = (F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3)
+    p = x.join(y.hint("merge"), ["chain", "w"]).where(enough & sizes & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")))
+    return p.select(F.col("a").alias("x"), F.col("b").alias("p")).distinct()
+
+
+def links(work: Workspace, docs: DataFrame, heads: DataFrame, size: int) -> DataFrame:
+    """(u, v) links that connect all sets at a similarity of 3/4 or more, by their numbers. Not every pair; each is exact.
+
+    ``heads``: (doc_id, n, node, head) of one row of ``docs`` (doc_id, text) for each set.
+    """
+    total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
+    able = able_nodes(work, heads, total)
+    ids = work.write(small_semi(heads.select("doc_id", "node"), able, "node").select("doc_id").distinct(), "able-ids")
+    texts = small_semi(docs, ids, "doc_id").select("doc_id", "text")
+    sets = small_semi(whole_sets(texts, size), able, "node").groupBy("node", "n").agg(F.first("items").alias("items"))
+    sets = work.write(sets, "sets")
+    ordered = ordered_sets(work, sets)
+    work.drop("sets", "able", "able-ids")
+    return Join(work, ordered).run()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the least doc_id that links of 3/4 or more reach.
 
-    Null and empty texts and those without words have no shingles and no links. Repeated rows each give a row. Rows without
-    an id take part in no link and have no component. Ids are taken to name one text each.
+    Null and empty texts and those without words have no shingles and no links. Very long texts are taken whole. Repeated
+    rows each give a row. Rows without an id take part in no link and have no component. Rows that share an id are one
+    document: what either text links to is in one component. Other columns, whatever their names, are ignored; an empty
+    table gives no rows.
     """
+    work = Workspace(docs.sparkSession, "jaccard")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    digests = materialise(set_digests(rows, size), "digests")
-    held = digests.where("doc_id is not null and digest is not null")
-    copied = held.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
-    named = digests.join(materialise(copied, "copies"), "digest", "left")
-    named = materialise(named.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("node"), "digest"), "named")
-    copies = named.where("doc_id <> node or doc_id is null or digest is null").select("doc_id").distinct()
-    single = rows.where("doc_id is not null")
-    n_copies = copies.count()
-    if n_copies <= BROADCAST_IDS:
-        single = single.join(F.broadcast(copies), "doc_id", "left_anti")
-    else:
-        single = materialise(single.join(copies, "doc_id", "left_anti"), "single")
-    n = F.col("n_shingles")
-    prefix = F.least(n, n - F.ceil(n * 3 / F.lit(4)) + MEET)
-    total = named.where("doc_id = node and digest is not null").agg(F.coalesce(F.sum(prefix), F.lit(0))).first()[0]
-    joined = materialise(components(links(single, size, int(total))), "components")
-    out = named.join(joined, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    sets = work.write(set_heads(rows, size), "heads")
+    held = sets.where("doc_id is not null and node is not null")
+    nodes = work.write(held.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
+    copied = nodes.where("rows > 1").select("node", "least")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_IDS else copied.hint("merge")
+    one = held.join(copied, "node", "left").where("least is null or doc_id = least").drop("least")
+    found = links(work, rows, one, size)
+    same_id = held.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.collect_set("node").alias("all")).where("u <> v")
+    found = found.unionByName(same_id.select("u", F.explode("all").alias("v")))
+    joined = work.write(components(found), "components")
+    # A component is named by its least number; its id is the least doc_id of its sets.
+    least = joined.join(nodes.hint("merge"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = joined.join(least, "component").select("node", "component_id")
+    ids = nodes.join(ids.hint("merge"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    linked = held.select("doc_id", "n", "node").join(ids.hint("merge"), "node").select("doc_id", "n", "component_id")
+    bare = sets.where("doc_id is null or node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = linked.unionByName(bare)
+    return work.write(out.withColumnRenamed("n", "n_shingles"), "joined")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 from talus.llm import jaccard
+from talus.llm.common import Workspace
 from talus.llm.components import components
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,16 +79,49 @@ def test_short_texts_at_the_threshold(spark):
     assert found(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
-def test_a_region_whose_members_all_favour_the_parent_keeps_a_pivot(spark):
+def linked_groups(spark, sets):
+    """The groups that the recursion alone joins, with all of each set taken as shared."""
+    rows = spark.createDataFrame([(k, len(s), sorted(s)) for k, s in sets.items()], "node long, n long, items array<bigint>")
+    work = Workspace(spark, "test")
+    by = dict(map(tuple, components(jaccard.Join(work, rows).run()).collect()))
+    return {k: by.get(k, k) for k in sets}
+
+
+def expected_groups(sets):
+    ids = sorted(sets)
+    by = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            i = len(sets[a] & sets[b])
+            if a < b and 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
+                old, new = max(by[a], by[b]), min(by[a], by[b])
+                by = {k: new if v == old else v for k, v in by.items()}
+    return by
+
+
+def test_a_crowd_around_a_pivot_that_is_in_another_cell(spark):
     p, copies, variants = 10, range(20, 40), range(50, 64)
     sets = {p: set(range(20))} | {c: set(range(20)) for c in copies} | {x: {0, *range(100, 119)} for x in variants}
-    member = lambda region, parent, node, n: (region, parent, node, 20, 1, None, n)
-    rows = [member(1, 1, node, len(sets)) for node in sets]  # p is named here, has most links, and all are measured against it
-    rows += [member(2, p, x, len(variants)) for x in variants]
-    rows = spark.createDataFrame(rows, "region long, parent long, node long, size int, i long, via long, n long")
-    placed, _ = jaccard.elect(rows, spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "node long, items array<bigint>"))
-    got = sorted((r.region, r.node, r.pivot, r.ps) for r in placed.collect())
-    assert got == sorted([(1, node, p, 20) for node in sets] + [(2, x, 50, 20) for x in variants])
+    assert linked_groups(spark, sets) == expected_groups(sets)
+
+
+def test_cells_within_cells(spark):
+    rng = random.Random(3)
+    base, sets = list(range(60)), {}
+    for k in range(160):  # a crowd near one base; some near each other outside it, at sizes around the threshold
+        kept = set(rng.sample(base, rng.randint(38, 60)))
+        extra = {1000 + 40 * (k % 9) + j for j in range(rng.randint(0, 20))}
+        sets[k] = kept | extra
+    for k in range(160, 190):
+        sets[k] = set(rng.sample(range(60), rng.randint(20, 30))) | set(rng.sample(range(2000, 2040), rng.randint(25, 38)))
+    assert linked_groups(spark, sets) == expected_groups(sets)
+
+
+def test_an_id_with_two_texts_is_one_document(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abc"}
+    rows = [(1, text["a"]), (7, text["a"]), (7, text["b"]), (9, text["b"]), (5, text["c"]), (5, text["c"]), (4, None), (4, text["c"])]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 26, 1), (4, 0, 4), (4, 26, 4), (5, 26, 4), (5, 26, 4), (7, 26, 1), (7, 26, 1), (9, 26, 1)]
 
 
 def test_awkward(spark, awkward):
