@@ -58,17 +58,13 @@ def head_length(n: int) -> int:
     return min(n, n - (3 * n + 3) // 4 + head_meets(n))
 
 
-def digest_of(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-
-
-def node_of(s: np.ndarray) -> int | None:
-    """A set's number: 64 bits of its digest."""
-    return int.from_bytes(digest_of(s)[:8], "big", signed=True) if len(s) else None
+def mark_of(s: np.ndarray) -> int | None:
+    """64 bits of a set's digest; null for an empty one. Sets of one mark are one set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None
 
 
 def set_heads(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, node, head): a set's size, its number (null for an empty one), its least third."""
+    """(doc_id, n, mark, head): a set's size, its mark, its least third."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
@@ -78,23 +74,23 @@ def set_heads(docs: DataFrame, size: int) -> DataFrame:
                 yield {
                     "doc_id": b.column(0),
                     "n": [len(s) for s in sets],
-                    "node": [node_of(s) for s in sets],
+                    "mark": [mark_of(s) for s in sets],
                     "head": [s[: head_length(len(s))].view(np.int64) for s in sets],
                 }
 
-    return map_batches(docs, run, "doc_id long, n long, node long, head array<bigint>")
+    return map_batches(docs, run, "doc_id long, n long, mark long, head array<bigint>")
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, items): the sorted shingle hashes of each text."""
+    """(mark, n, items): the sorted shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
             for at in range(0, max(whole.num_rows, 1), 128):
                 sets = shingle_sets(whole.slice(at, 128).column(1).to_pylist(), size)
-                yield {"node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "items": [s.view(np.int64) for s in sets]}
+                yield {"mark": [mark_of(s) for s in sets], "n": [len(s) for s in sets], "items": [s.view(np.int64) for s in sets]}
 
-    return map_batches(docs, run, "node long, n long, items array<bigint>")
+    return map_batches(docs, run, "mark long, n long, items array<bigint>")
 
 
 def small_semi(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
@@ -116,16 +112,17 @@ def with_counts(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     return marked.where("c is not null").unionByName(rest)
 
 
-def able_nodes(work: Workspace, heads: DataFrame, total: int) -> DataFrame:
-    """Numbers of the sets of which so much of the head is in other heads as any link of theirs needs.
+def able_ids(work: Workspace, heads: DataFrame) -> DataFrame:
+    """Ids of the sets of which so much of the head is in other heads as any link of theirs needs.
 
     A link of a set of n shingles is to one of 3/4 n or more, so their heads share ``head_meets`` of 3/4 n at least.
     """
-    rows = heads.select(F.explode("head").alias("h"), "node")
+    total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
+    rows = heads.select(F.explode("head").alias("h"), "doc_id")
     counts = work.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "head-counts")
-    met = with_counts(rows, counts, total).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    met = with_counts(rows, counts, total).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
     need = F.greatest(F.lit(1), F.ceil(three_quarters("n") / F.lit(12)))
-    able = met.join(heads.select("node", "n"), "node").where(F.col("k") >= need).select("node").distinct()
+    able = met.join(heads.select("doc_id", "n"), "doc_id").where(F.col("k") >= need).select("doc_id").distinct()
     able = work.write(able, "able")
     work.drop("head-counts")
     return able
@@ -136,11 +133,12 @@ def ordered_sets(work: Workspace, sets: DataFrame) -> DataFrame:
 
     Shingles of one set alone are left out; in the order they stand before all others.
     """
-    rows = sets.select(F.explode("items").alias("h"), "node", "n")
+    rows = sets.select(F.explode("items").alias("h"), "node")
     counts = work.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "set-counts")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = with_counts(rows, counts, total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
-    out = work.write(shared.where(F.size("s") >= three_quarters("n")).select("node", "n", F.col("s.h").alias("items")), "ordered")
+    shared = with_counts(rows, counts, total).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    shared = shared.join(sets.select("node", "n"), "node").where(F.size("s") >= three_quarters("n"))
+    out = work.write(shared.select("node", "n", F.col("s.h").alias("items")), "ordered")
     work.drop("set-counts")
     return out
 
@@ -169,8 +167,9 @@ class Join:
             members = self.level(members, depth)
             depth += 1
         if self.open:
-            pairs = reduce(DataFrame.unionByName, self.open).distinct()
-            self.links.append(self.linked(self.measure(pairs.withColumn("chain", F.lit(0).cast("long")), None)))
+            pairs = self.work.write(reduce(DataFrame.unionByName, self.open).distinct(), "pairs")
+            nodes = self.work.write(pairs.select(F.explode(F.array("x", "p")).alias("node")).distinct(), "pair-nodes")
+            self.links.append(self.linked(self.measure(pairs.withColumn("chain", F.lit(0).cast("long")), nodes)))
         none = self.sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
         return reduce(DataFrame.unionByName, self.links, none)
 
@@ -178,17 +177,20 @@ class Join:
     def linked(measured: DataFrame) -> DataFrame:
         return measured.where("close").select(F.col("x").alias("u"), F.col("p").alias("v"))
 
-    def measure(self, pairs: DataFrame, members: DataFrame | None) -> DataFrame:
-        """(chain, x, p) with n, np, i (their overlap), close, and with ``members`` also what x has outside p and all before."""
-        whole = self.sets
-        sx = whole.select(F.col("node").alias("x"), "n", F.col("items").alias("sx"))
-        sp = whole.select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("items").alias("sp"))
-        both = pairs.join(sx.hint("merge"), "x").join(sp.hint("merge"), "p")
-        more = []
+    def measure(self, pairs: DataFrame, nodes: DataFrame, members: DataFrame | None = None, top: bool = False) -> DataFrame:
+        """(chain, x, p) with n, np, i (their overlap), close. ``nodes``: a written table of all sets that the pairs name.
+
+        With ``members``, or at the ``top`` level, whose members are whole sets, also what x has outside p and all before.
+        """
+        sets = small_semi(self.sets, nodes, "node")
+        sx = sets.select(F.col("node").alias("x"), "n", F.col("items").alias("sx"))
+        sp = sets.select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("items").alias("sp"))
+        both = pairs.join(sx.hint("merge"), "x")
+        more = [F.array_except("sx", "sp").alias("rest"), F.size("sx").cast("long").alias("held")] if top else []
         if members is not None:
             both = both.join(members.select("chain", F.col("node").alias("x"), "rest", "held").hint("merge"), ["chain", "x"])
             more = [F.array_except("rest", "sp").alias("rest"), "held"]
-        both = both.withColumn("i", F.size(F.array_intersect("sx", "sp")).cast("long"))
+        both = both.join(sp.hint("merge"), "p").withColumn("i", F.size(F.array_intersect("sx", "sp")).cast("long"))
         return both.select("chain", "x", "p", "n", "np", "i", (F.col("i") >= least_overlap(F.col("n"), F.col("np"))).alias("close"), *more)
 
     def level(self, members: DataFrame, depth: int) -> DataFrame | None:
@@ -210,7 +212,8 @@ class Join:
         best = F.max_by(F.col("node"), F.struct("met", -F.col("node"))).alias("p")
         named = write(rows.join(met.hint("merge"), ["chain", "node"]).groupBy("chain", "h").agg(best), "named")
         tried = rows.join(named.hint("merge"), ["chain", "h"]).where("node <> p").select("chain", F.col("node").alias("x"), "p").distinct()
-        near = write(self.measure(tried, members), "near")
+        nodes = write(met.select("node").distinct(), "nodes")
+        near = write(self.measure(tried, nodes, members if depth else None, top=depth == 0), "near")
         self.links.append(self.linked(near))
         pivots = named.select("chain", F.col("p").alias("x"), F.lit(True).alias("pivot")).distinct()
         likeness = F.col("i") / (F.col("n") + F.col("np") - F.col("i"))
@@ -224,7 +227,7 @@ class Join:
         inner = inner.select(F.xxhash64("chain", "p").alias("chain"), F.col("x").alias("node"), "n", "rest", "held", label.alias("label"))
         inner = write(inner, "members")
         self.open.append(write(window_pairs(inner), "windows"))
-        drop("regions", "rows", "named", "homes")
+        drop("regions", "rows", "named", "nodes", "homes")
         if depth:
             self.work.drop(self.name(depth - 1, "members"))
         return inner
@@ -249,19 +252,25 @@ def window_pairs(members: DataFrame) -> DataFrame:
     return p.select(F.col("a").alias("x"), F.col("b").alias("p")).distinct()
 
 
-def links(work: Workspace, docs: DataFrame, heads: DataFrame, size: int) -> DataFrame:
+def numbered(work: Workspace, held: DataFrame) -> DataFrame:
+    """(mark, node, least, rows) of each set: ``least`` is its least doc_id, and its number unless that id has other texts."""
+    marks = held.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    many = held.groupBy("doc_id").agg((F.min("mark") < F.max("mark")).alias("many")).where("many").withColumnRenamed("doc_id", "least")
+    marks = marks.join(many.hint("merge"), "least", "left")
+    return work.write(marks.select("mark", F.when(F.col("many"), F.col("mark")).otherwise(F.col("least")).alias("node"), "least", "rows"), "nodes")
+
+
+def links(work: Workspace, docs: DataFrame, heads: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(u, v) links that connect all sets at a similarity of 3/4 or more, by their numbers. Not every pair; each is exact.
 
-    ``heads``: (doc_id, n, node, head) of one row of ``docs`` (doc_id, text) for each set.
+    ``heads``: (doc_id, n, mark, head) of one row of ``docs`` (doc_id, text) for each set.
     """
-    total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
-    able = able_nodes(work, heads, total)
-    ids = work.write(small_semi(heads.select("doc_id", "node"), able, "node").select("doc_id").distinct(), "able-ids")
-    texts = small_semi(docs, ids, "doc_id").select("doc_id", "text")
-    sets = small_semi(whole_sets(texts, size), able, "node").groupBy("node", "n").agg(F.first("items").alias("items"))
-    sets = work.write(sets, "sets")
+    able = able_ids(work, heads)
+    texts = small_semi(docs, able, "doc_id").select("doc_id", "text")
+    sets = whole_sets(texts, size).where("mark is not null").join(nodes.select("mark", "node").hint("merge"), "mark")
+    sets = work.write(sets.groupBy("mark", "node", "n").agg(F.first("items").alias("items")).drop("mark"), "sets")
     ordered = ordered_sets(work, sets)
-    work.drop("sets", "able", "able-ids")
+    work.drop("sets", "able")
     return Join(work, ordered).run()
 
 
@@ -275,24 +284,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """
     work = Workspace(docs.sparkSession, "jaccard")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sets = work.write(set_heads(rows, size), "heads")
-    held = sets.where("doc_id is not null and node is not null")
-    nodes = work.write(held.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
-    copied = nodes.where("rows > 1").select("node", "least")
+    heads = work.write(set_heads(rows, size), "heads")
+    sets = work.write(heads.drop("head"), "marks")
+    held = sets.where("doc_id is not null and mark is not null")
+    nodes = numbered(work, held)
+    copied = nodes.where("rows > 1").select("mark", "least")
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_IDS else copied.hint("merge")
-    one = held.join(copied, "node", "left").where("least is null or doc_id = least").drop("least")
-    found = links(work, rows, one, size)
-    same_id = held.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.collect_set("node").alias("all")).where("u <> v")
+    one = heads.where("doc_id is not null and mark is not null").join(copied, "mark", "left").where("least is null or doc_id = least").drop("least")
+    found = links(work, rows, one, nodes, size)
+    work.drop("heads")
+    marked = held.select("doc_id", "n", "mark").join(nodes.select("mark", "node").hint("merge"), "mark")
+    same_id = marked.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.collect_set("node").alias("all")).where("u <> v")
     found = found.unionByName(same_id.select("u", F.explode("all").alias("v")))
     joined = work.write(components(found), "components")
     # A component is named by its least number; its id is the least doc_id of its sets.
     least = joined.join(nodes.hint("merge"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     ids = joined.join(least, "component").select("node", "component_id")
-    ids = nodes.join(ids.hint("merge"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    linked = held.select("doc_id", "n", "node").join(ids.hint("merge"), "node").select("doc_id", "n", "component_id")
-    bare = sets.where("doc_id is null or node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = linked.unionByName(bare)
-    return work.write(out.withColumnRenamed("n", "n_shingles"), "joined")
+    ids = nodes.join(ids.hint("merge"), "node", "left").select("mark", F.coalesce("component_id", "least").alias("component_id"))
+    linked = held.select("doc_id", "n", "mark").join(ids.hint("merge"), "mark").select("doc_id", "n", "component_id")
+    bare = sets.where("doc_id is null or mark is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return work.write(linked.unionByName(bare).withColumnRenamed("n", "n_shingles"), "joined")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
