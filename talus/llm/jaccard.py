@@ -12,7 +12,7 @@ third of each set, ``ordered_sets`` on all of it). What is left is joined in reg
 * Of any other pair, the overlaps with the pivot bound what the two can share inside it (the triangle inequality in numbers
   of shingles). Where that may be enough, the pair is in a window and is compared (``window_pairs``). Where it is not, the
   two must also meet outside the pivot, so the cell is a region that is joined in the same way, on what its members have
-  outside all pivots so far. That shrinks each time, so this ends.
+  outside all pivots so far. That shrinks each time, so this ends. Up to ``SMALL`` that meet there are compared in pairs.
 
 Nothing is dropped or capped, and no step depends on the size of a region. Pairs of one group are not listed.
 """
@@ -36,6 +36,8 @@ from talus.llm.shingles import SHINGLE, shingle_sets
 BROADCAST_IDS = 1_000_000
 #: A shingle is heavy if it makes up more than one in so many of all rows; so there are fewer heavy ones than this.
 HEAVY = 10_000
+#: In a cell, so few sets that meet are compared in pairs; more of them name a pivot.
+SMALL = 16
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -202,11 +204,16 @@ class Join:
         needed = F.greatest(F.lit(1), three_quarters("n") - inside)
         alone = F.col("n") - F.col("held")
         first = F.greatest(F.lit(0), (F.col("n") - inside) - needed + 1 - alone).cast("int")
-        keys = members.select("chain", "node", "label", F.explode(F.slice("rest", 1, first)).alias("h"))
+        keys = members.select("chain", "node", "n", "label", F.explode(F.slice("rest", 1, first)).alias("h"))
         regions = keys.groupBy("chain", "h").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("a"), F.max("label").alias("b"))
         regions = write(regions.where("a <> b").select("chain", "h", "k"), "regions")
         if regions.isEmpty():
             return None
+        if depth:
+            self.open.append(write(meeting_pairs(keys.join(regions.where(F.col("k") <= SMALL).hint("merge"), ["chain", "h"])), "pairs"))
+            regions = regions.where(F.col("k") > SMALL)
+            if regions.isEmpty():
+                return None
         rows = write(keys.select("chain", "h", "node").join(regions.hint("merge"), ["chain", "h"]), "rows")
         met = rows.groupBy("chain", "node").agg(F.sum("k").alias("met"))
         best = F.max_by(F.col("node"), F.struct("met", -F.col("node"))).alias("p")
@@ -233,6 +240,17 @@ class Join:
         return inner
 
 
+def sizes_allow(a: str, b: str) -> Column:
+    return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
+
+
+def meeting_pairs(rows: DataFrame) -> DataFrame:
+    """(x, p): pairs of different labels that meet in one of these rows' regions, of ``SMALL`` sets at most."""
+    a = rows.select("chain", "h", F.col("node").alias("x"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = rows.select("chain", "h", F.col("node").alias("p"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    return a.join(b.hint("merge"), ["chain", "h"]).where((F.col("x") < F.col("p")) & (F.col("la") != F.col("lb")) & sizes_allow("na", "nb")).select("x", "p").distinct()
+
+
 def window_pairs(members: DataFrame) -> DataFrame:
     """(x, p): pairs of a cell, of different labels, whose overlaps with pivots would be enough for a link.
 
@@ -247,8 +265,7 @@ def window_pairs(members: DataFrame) -> DataFrame:
     x = x.select("chain", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"), F.explode(F.sequence(window(F.col("low")) - 1, window(F.col("top")) + 1)).alias("w"))
     y = inside.select("chain", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"), window(F.col("n")).alias("w"))
     enough = F.least("ia", "ib") * 7 >= (F.col("na") + F.col("nb")) * 3
-    sizes = (F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3)
-    p = x.join(y.hint("merge"), ["chain", "w"]).where(enough & sizes & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")))
+    p = x.join(y.hint("merge"), ["chain", "w"]).where(enough & sizes_allow("na", "nb") & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")))
     return p.select(F.col("a").alias("x"), F.col("b").alias("p")).distinct()
 
 
