@@ -112,6 +112,6 @@ def slug(c: Column) -> Column:
 
 def distinct_ignoring_case(items: Column) -> Column:
     """The first spelling of each item, in order; blanks go."""
-    clean = F.filter(F.transform(items, F.trim), lambda x: x != "")
-    low = F.transform(clean, F.lower)
+    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(clean, lambda x: F.lower(x))
     return F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)

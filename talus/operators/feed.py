@@ -45,7 +45,7 @@ def top_up(today: DataFrame, before: DataFrame, floor: int = 50) -> DataFrame:
 
 def last_wins(df: DataFrame, key: str) -> DataFrame:
     rest = [c for c in df.columns if c != "ord"]
-    return df.groupBy(key).agg(F.max(F.struct("ord", *rest)).alias("r")).select(*[f"r.{c}" for c in df.columns])
+    return df.groupBy(key).agg(F.max("ord").alias("ord"), F.max_by(F.struct(*[c for c in rest if c != key]), "ord").alias("r")).select(*[c if c in ("ord", key) else f"r.{c}" for c in df.columns])
 
 
 def rejoin(ranked: DataFrame, raw: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def to_analyse(jobs: DataFrame, cache: DataFrame, as_of: Column, days: int = 7)
     return jobs.withColumn("key", F.md5("job_url")).join(young, "key", "left_anti")
 
 
-def write_feed(df: DataFrame, path: str, fetched: str, rows: int = 1000) -> None:
-    """Overwrite the feed as JSON lines: its first ``rows`` rows, with the time and the count before that limit."""
+def write_feed(df: DataFrame, path: str, fetched: str, order: list[Column], rows: int = 1000) -> None:
+    """Overwrite the feed as JSON lines: its first ``rows`` rows by ``order``, with the time and the count before that limit."""
     n = df.agg(F.count(F.lit(1)).alias("count"))
-    df.limit(rows).crossJoin(F.broadcast(n)).withColumn("fetched_at", F.lit(fetched)).write.mode("overwrite").json(path)
+    df.orderBy(*order).limit(rows).crossJoin(F.broadcast(n)).withColumn("fetched_at", F.lit(fetched)).write.mode("overwrite").json(path)

@@ -10,8 +10,8 @@ def first_wins(df: DataFrame, key: str, drop_blank: bool = False) -> DataFrame:
     """The first row of each key. The winner's ordinal is a partial minimum, so a hot key is not gathered in one task."""
     rows = df.where(F.coalesce(F.col(key), F.lit("")) != "") if drop_blank else df
     rest = [c for c in rows.columns if c != "ord"]
-    best = rows.groupBy(F.coalesce(F.col(key), F.lit("")).alias("__key")).agg(F.min(F.struct("ord", *rest)).alias("row"))
-    return best.select(*[f"row.{c}" for c in df.columns])
+    best = rows.groupBy(F.coalesce(F.col(key), F.lit("")).alias("__key")).agg(F.min("ord").alias("ord"), F.min_by(F.struct(*rest), "ord").alias("row"))
+    return best.select(*["ord" if c == "ord" else f"row.{c}" for c in df.columns])
 
 
 def top(df: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.functions.plan import computed_once
 from talus.functions.text import contains_any, first_match, least_years, most_years, occurrences
 from talus.operators.filters import JUNIOR, SENIOR, is_true
 from talus.operators.lexicon import Lexicon, tags
@@ -89,7 +90,7 @@ def _blob() -> Column:
 
 def add_facts(postings: DataFrame, lexicon: Lexicon, p: Profile, as_of: Column) -> DataFrame:
     """What both scorers look at, each computed once."""
-    return postings.withColumns(
+    facts = postings.withColumns(
         {
             "skills": tags(_blob(), lexicon),
             "least_years": least_years(_blob()),
@@ -104,6 +105,7 @@ def add_facts(postings: DataFrame, lexicon: Lexicon, p: Profile, as_of: Column)
             "days": days_old(F.col("date_posted"), as_of),
         }
     )
+    return computed_once(facts)
 
 
 def match_score(postings: DataFrame, lexicon: Lexicon, p: Profile, as_of: Column) -> DataFrame:
@@ -142,7 +144,7 @@ def match_score(postings: DataFrame, lexicon: Lexicon, p: Profile, as_of: Column
         .when(F.col("senior") & ~F.col("junior") & F.lit(0 < cy < 5), "senior title")
         .when((F.col("relevance") == 0) & F.lit(bool(p.titles)), "unrelated title")
     )
-    return df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.bround(total).cast("int")))).withColumn("reason", reason)
+    return computed_once(df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.bround(total).cast("int")))).withColumn("reason", reason))
 
 
 def generic_score(postings: DataFrame, lexicon: Lexicon, targets: list[str], p: Profile, as_of: Column) -> DataFrame:
@@ -169,10 +171,14 @@ def generic_score(postings: DataFrame, lexicon: Lexicon, targets: list[str], p:
     return df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
 
 
+#: A border between an ASCII word character and another one; what Java takes for a word differs between its versions.
+BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def signal_count(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur."""
+    """How many of the patterns occur. Their word borders are ASCII ones."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
+    return sum((low.rlike(p.replace(r"\b", BORDER)).cast("int") for p in patterns), F.lit(0))
 
 
 def signal_delta(description: Column, junior: list[str], senior: list[str], mentor: list[str]) -> tuple[Column, Column]:

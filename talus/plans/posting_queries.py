@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talus.functions.plan import computed_once
 from talus.operators import feed, filters, rank, scoring
 from talus.operators.lexicon import tags
 from talus.plans.adapters import POSTINGS, postings
@@ -83,8 +84,8 @@ def page_two(spark, d):
 
 
 def _reasons(spark, d):
-    p = postings(spark, d)
-    return p.withColumn("reason", filters.strict_reason(F.col("title"), F.col("description"), tags(F.col("description"), SKILLS), ["Docker", "Java", "Python", "Spring"], ["Java", "Python"], 2))
+    p = computed_once(postings(spark, d).withColumn("asked", tags(F.col("description"), SKILLS)))
+    return computed_once(p.withColumn("reason", filters.strict_reason(F.col("title"), F.col("description"), F.col("asked"), ["Docker", "Java", "Python", "Spring"], ["Java", "Python"], 2)).select("ord", "reason"))
 
 
 def strict_gates(spark, d):

@@ -19,12 +19,17 @@ DEVELOPER = [
 POSTING = ["ord", "title", "company", "location", "site", "date_posted", "is_remote", "job_url", "description"]
 
 
+def item_ord() -> Column:
+    """Payload, then place in it, in one ordinal: a list has under 2**31 items, so payloads up to 2**32 do not collide."""
+    return (F.shiftleft(F.col("ord").cast("long"), 31) + F.col("n")).alias("ord")
+
+
 def _items(payloads: DataFrame, path: str, schema: str) -> DataFrame:
     """One row for each item of a payload's list (``path``: its field, or "" for a bare list); ``ord`` counts through."""
     kind = f"array<struct<{schema}>>" if not path else f"struct<{path}:array<struct<{schema}>>>"
     parsed = F.from_json("payload", kind)
     items = payloads.select("ord", F.posexplode(parsed[path] if path else parsed).alias("n", "j"))
-    return items.select((F.col("ord") * 100_000 + F.col("n")).alias("ord"), "j.*")
+    return items.select(item_ord(), "j.*")
 
 
 def _posting(rows: DataFrame, site: str, **columns: Column) -> DataFrame:
@@ -69,7 +74,7 @@ def weworkremotely(payloads: DataFrame) -> DataFrame:
     """An RSS payload; a title reads "company: role"."""
     parts = {k: F.xpath("payload", F.lit(f"//item/{k}/text()")) for k in ("title", "link", "pubDate")}
     r = payloads.select("ord", F.posexplode(F.arrays_zip(*[v.alias(k) for k, v in parts.items()])).alias("n", "j"))
-    r = r.select((F.col("ord") * 100_000 + F.col("n")).alias("ord"), "j.*")
+    r = r.select(item_ord(), "j.*")
     split = F.instr("title", ":") > 0
     role = F.when(split, F.trim(F.expr("substring(title, instr(title, ':') + 1)"))).otherwise(F.col("title"))
     return _posting(r, "weworkremotely", title=role, company=F.when(split, F.trim(F.substring_index("title", ":", 1))).otherwise(""), location=F.lit("Remote"), date_posted=F.col("pubDate"), is_remote=F.lit(True), job_url=F.col("link"), description=F.lit(""))

@@ -106,3 +106,25 @@ def test_sources_are_tolerant(spark):
     rss = "<rss><channel><item><title>Acme: Engineer</title><link>u</link><pubDate>d</pubDate></item></channel></rss>"
     rows = payloads.weworkremotely(spark.createDataFrame([(1, rss)], "ord long, payload string")).collect()
     assert [(r.company, r.title, r.job_url) for r in rows] == [("Acme", "Engineer", "u")]
+
+
+def test_items_of_long_payloads_keep_their_own_ordinals(spark):
+    import json
+
+    long = json.dumps({"jobs": [{"title": "t", "url": str(i)} for i in range(100_001)]})
+    df = spark.createDataFrame([(1, long), (2, '{"jobs": [{"title": "t", "url": "last"}]}')], "ord long, payload string")
+    rows = payloads.remotive(df)
+    assert rows.select("ord").distinct().count() == 100_002 and rows.orderBy(F.desc("ord")).first().job_url == "last"
+
+
+def test_computed_once_keeps_rows_and_filters_above(spark):
+    from talus.functions.plan import computed_once
+
+    df = computed_once(spark.range(5).withColumn("x", F.col("id") * 2)).where("x > 4")
+    assert [tuple(r) for r in df.collect()] == [(3, 6), (4, 8)]
+
+
+def test_aliases_of_runs_and_of_several_words(spark):
+    lexicon = {"Net": [".net"], "Node": ["node", "node.js"], "Spring": ["spring"], "Boot": ["spring boot"], "C#": ["c#"]}
+    assert one(spark, tags(F.lit("Spring Boot, node.js x.spring c# .NET"), lexicon)) == ["Boot", "C#", "Net", "Node", "Spring"]
+    assert one(spark, tags(F.lit("x.spring c#x nodes"), lexicon)) == []
