@@ -19,37 +19,63 @@ MIN_QUALITY = 0.3
 MIN_LANGUAGE = 0.3
 
 
+def _safe(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` as (id, text, and every column but the text under a name that no operator uses), and the kept names."""
+    kept = [c for c in docs.columns if c != "text"]
+    named = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__body"), *[F.col(c).alias(f"__kept_{i}") for i, c in enumerate(kept)])
+    return named, ["__body", *[f"__kept_{i}" for i in range(len(kept))]]
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    kept = [c for c in docs.columns if c != "text"]
+    return rows.select(*[F.col("__body" if c == "text" else f"__kept_{kept.index(c)}").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of good quality (op 6)."""
+    """Keep documents of good quality (op 6).
+
+    Null and empty texts are scored like others, as one empty passage. Repeated rows are decided alike, each for itself.
+    Columns of any name come through; an empty table gives an empty one.
+    """
     net = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    scored = quality.score(docs.withColumn("__copy", F.struct(*docs.columns)).select("doc_id", "text", "__copy"), net, keep=["__copy"])
-    kept = scored.where(F.col("score") >= MIN_QUALITY)
-    return kept.select("__copy.doc_id", *[f"__copy.{c}" for c in rest]).select(*docs.columns)
+    named, kept = _safe(docs)
+    return _restored(quality.score(named, net, "__id", "__body", keep=kept).where(F.col("score") >= MIN_QUALITY), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the model knows (op 3): those without letters or with an unclear one go."""
+    """Keep documents in a language that the model knows (op 3): those without letters or with an unclear one go.
+
+    So null and empty texts go. Repeated rows are decided alike. Columns of any name come through; an empty table, or one
+    without a language to learn from, gives an empty one.
+    """
     model = langid.fit(docs.where(F.col("lang").isNotNull() & (id_bucket("doc_id", 4) != 2)))
-    seen = langid.predict(docs.withColumn("__copy", F.struct(*docs.columns)).select("doc_id", "text", "__copy"), model, keep=["__copy"])
-    kept = seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE))
-    return kept.select(*[f"__copy.{c}" for c in docs.columns])
+    named, kept = _safe(docs)
+    seen = langid.predict(named, model, "__id", "__body", keep=kept)
+    return _restored(seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)), docs)
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document (by id) of each group of near copies (op 8).
 
-    A document without an id or without words is in no group and stays. Rows that repeat an id are one document: one of
-    them stays.
+    A document without an id or without words is in no group and stays. Rows that repeat an id are one document: the one
+    whose text comes first stays. Columns of any name come through; an empty table gives an empty one.
     """
-    joined = jaccard.join(docs).where("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    dropped = materialise(joined, "near-copies")
-    with_id = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return with_id.where("doc_id is null").unionByName(with_id.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    joined = jaccard.join(docs)
+    dropped = materialise(joined.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    repeated = materialise(joined.where("doc_id is not null").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("many")).where("many").select("doc_id"), "repeated-ids")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= jaccard.BROADCAST_IDS else ids
+    left = docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    once = left.join(small(repeated), "doc_id", "left_anti").select(*docs.columns)
+    again = left.join(small(repeated), "doc_id", "left_semi")
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row"))
+    return once.unionByName(again.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 1024 tokens (op 7)."""
+    """Pack what is left into sequences of 1024 tokens (op 7).
+
+    Null and empty texts are their end token alone; repeated rows are documents of their own; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, default_vocabulary(), ranks=packing.ranks_beside())
 
 

@@ -29,6 +29,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 REMEMBERED = 450_000
 #: Longer words are encoded anew each time.
 LONGEST_REMEMBERED = 64
+#: Longer words are merged by the queue even where the library is given.
+LONGEST_MERGED = 4096
 
 
 def byte_letters() -> dict[int, str]:
@@ -92,7 +94,9 @@ class BytePairCodec:
             with open(ranks, "rb") as f:
                 pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             merged = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=pieces, special_tokens={}).encode_ordinary
-            self.encode_word = lambda word: np.array(merged(word), "<u4").tobytes()
+            # That library's own splitting overflows its stack on very long runs, so these are merged here.
+            by_queue = self.encode_word
+            self.encode_word = lambda word: np.array(merged(word), "<u4").tobytes() if len(word) <= LONGEST_MERGED else by_queue(word)
         self.by_word = _Remembering(self.encode_word)
         # A chunk is what stands between single spaces; it is kept without its leading space.
         self.by_chunk = _Remembering(self.encode_chunk)

@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a temporary folder becomes the session's checkpoint folder.
+    Only where that setting is missing and the master is local (tests), a temporary folder becomes the session's own.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="talus-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/talus/{name}-{uuid.uuid4().hex}"
@@ -88,6 +90,26 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def with_kept(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None, new: list[str]) -> tuple[DataFrame, str]:
+    """(doc_id, __text, kept columns) and the schema of what is handed through a batch function besides ``__text``.
+
+    ``keep`` may hold the text itself, which then crosses once more. A kept name that a new column has is refused.
+    """
+    keep = list(keep or [])
+    clash = sorted({"doc_id", "__text", *new} & {c.lower() for c in keep})
+    if clash:
+        raise ValueError(f"kept columns have names of new ones: {', '.join(clash)}")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *[docs[c] for c in keep if c != text_col])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = ["doc_id", *keep]
+    return rows, ", ".join(f"`{c}` {kinds['__text' if c == text_col else c]}" for c in names)
+
+
+def handed_on(b: pa.RecordBatch, text_col: str, keep: list[str] | None) -> dict:
+    """The id and the kept columns of a batch of ``with_kept``."""
+    return {"doc_id": b.column("doc_id")} | {c: b.column("__text" if c == text_col else c) for c in keep or []}
+
+
 def sampled_labels(labels: DataFrame, id_col: str, label_col: str, mod: int, hold: int, bound: int) -> DataFrame:
     """At most about ``bound`` labelled ids outside the held-out fold, picked by a hash of the id.
 

@@ -11,19 +11,22 @@ have bounded sizes (``Bounds.words``, ``Bounds.grams``), so it may be broadcast.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import id_bucket, map_batches, table
+from talus.llm.common import handed_on, id_bucket, map_batches, table, with_kept
 
-LETTER = re.compile(r"[^\W\d_]")
-EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+LETTER = regex.compile(r"\p{L}")
+EDGES = regex.compile(r"^\P{L}+|\P{L}+$")
+#: What separates words, in the training and in the scoring of texts.
+WHITE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+SPACES = regex.compile(WHITE)
 #: Words that a worker remembers, at most.
 REMEMBERED = 300_000
 UNKNOWN = "und"
@@ -31,6 +34,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Bounds:
+    """Learned from: about so many documents of each of the languages that most documents have; entries of each table."""
+
+    languages: int = 200
     documents: int = 4000
     words: int = 60_000
     grams: int = 60_000
@@ -84,7 +90,7 @@ class Scorer:
         """The best language and its share of the likelihood, tempered by the number of words."""
         if not text or not self.model.languages or not LETTER.search(text):
             return UNKNOWN, 0.0
-        tokens = text.split()
+        tokens = [t for t in SPACES.split(text) if t]
         total = np.zeros(len(self.model.languages))
         for start in range(0, len(tokens), REMEMBERED // 2):
             some = tokens[start : start + REMEMBERED // 2]
@@ -109,21 +115,22 @@ def log_table(rows: list[tuple[str, str, int]], languages: list[str], totals: di
     return keys, logs.astype(np.float32)
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", bounds: Bounds = Bounds()) -> Model:  # noqa: B008
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", bounds: Bounds = Bounds()) -> Model:  # noqa: B008
     """Learn from rows with a language and a text; rows without either are left out.
 
     Counting is done by Spark; only the most telling entries, as many as the bounds say, come to the driver.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).collect()}
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(bounds.languages)
+    sizes = {r[0]: r[1] for r in common.collect()}
     languages = sorted(sizes)
     share = F.lit(0)
     for x, n in sizes.items():
         share = F.when(F.col("lang") == x, math.ceil(min(1.0, bounds.documents / n) * 1_000_000)).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share)
     token = F.regexp_replace(F.lower("token"), r"^[^\p{L}]+|[^\p{L}]+$", "")
     counts = (
-        some.select("lang", F.explode(F.split("text", r"\s+")).alias("token"))
+        some.select("lang", F.explode(F.split("text", WHITE)).alias("token"))
         .select("lang", token.alias("word"))
         .where("word <> ''")
         .groupBy("lang", "word")
@@ -133,12 +140,13 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", bou
     totals = {r[0]: float(r[1]) for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
 
     def most(df: DataFrame, key: str, sums: dict[str, float], top: int) -> list[tuple]:
-        """The entries with the largest share of their language."""
+        """The entries with the largest share of some language, with their counts in each."""
         total = F.lit(1.0)
         for x, n in sums.items():
             total = F.when(F.col("lang") == x, n).otherwise(total)
-        best = df.withColumn("share", F.col("n") / total).orderBy(F.desc("share"), "lang", key).limit(top)
-        return [(r[0], r[1], r[2]) for r in best.select(key, "lang", "n").collect()]
+        best = df.groupBy(key).agg(F.max(F.col("n") / total).alias("share")).orderBy(F.desc("share"), key).limit(top)
+        # Bounded by ``top`` keys; the counts of these in all languages.
+        return [(r[0], r[1], r[2]) for r in df.join(F.broadcast(best.select(key)), key).select(key, "lang", "n").collect()]
 
     words, word_logs = log_table(most(counts, "word", totals, bounds.words), languages, totals)
     marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
@@ -168,20 +176,19 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", bou
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``lang_pred`` and ``score`` (0 to 1) for every whole text, in a narrow stage.
 
-    ``und`` with score 0 where the text is null or has no letter. ``keep``: columns to carry along besides the id; a
-    clash with the new columns' names is an error of the caller. Repeated rows each give a row.
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learned. ``keep``: columns to carry along
+    besides the id (the text among them if wished); one whose name a new column has is a ValueError. Very long texts are
+    read whole. Repeated rows each give a row, other columns are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *[docs[c] for c in keep or []])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
+    kept, schema = with_kept(docs, id_col, text_col, keep, ["lang_pred", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scorer = Scorer(shared.value)
         for b in batches:
             found = [scorer.score(t.as_py()) for t in b.column("__text")]
-            same = {n: b.column(n) for n in b.schema.names if n != "__text"}
-            yield same | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
+            yield handed_on(b, text_col, keep) | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
     return map_batches(kept, run, f"{schema}, lang_pred string, score double")
 

@@ -141,7 +141,8 @@ def pack_documents(
     """One row for each piece of each document: where it starts in the document, and its sequence and offset there.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Repeated rows are packed as
-    documents of their own. Tokens count as loss-bearing throughout. Other columns are ignored.
+    documents of their own. Tokens count as loss-bearing throughout. Very long texts, runs of white space among them, are
+    cut to sequences like any other. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -150,8 +151,8 @@ def pack_documents(
 
         def rows(placed: Iterator[tuple]) -> dict:
             out = [
-                (doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, seq, offset)
-                for ((doc, ids), start, n, _), seq, offset in placed
+                (doc, start, n, zlib.crc32(ids[4 * (start - base) : 4 * (start - base + n)]), total, seq, offset)
+                for ((doc, ids, base, total), start, n, _), seq, offset in placed
             ]
             return dict(zip((x.split()[0] for x in PIECES.split(", ")), zip(*out, strict=True) if out else [()] * 7, strict=True))
 
@@ -159,7 +160,11 @@ def pack_documents(
             placed = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = c.encode(text.as_py()) + end
-                placed += packer.add((doc, ids), len(ids) // 4)
+                placed += packer.add((doc, ids, 0, len(ids) // 4), len(ids) // 4)
+                if packer.waiting and packer.waiting[-1][1] and packer.waiting[-1][0][1] is ids:
+                    # Only the rest of a long document waits.
+                    example, start, n, loss_from = packer.waiting[-1]
+                    packer.waiting[-1] = ((doc, ids[4 * start :], start, example[3]), start, n, loss_from)
             yield rows(iter(placed))
         yield rows(packer.finish())
 

@@ -2,7 +2,7 @@
 
 A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded (a small dense layer over surface features),
 gated attention gives it a weight learned from document labels alone, and the weighted mean of the encodings is scored. The
-network is fitted on a bounded sample of labelled documents (``Bounds.documents``); scoring covers every passage of every
+network is fitted on a bounded sample of labelled documents (``Bounds``); scoring covers every passage of every
 text.
 """
 
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import id_bucket, map_batches, sampled_labels, table
-from talus.llm.shingles import blocks, mix, words_of_block
+from talus.llm.common import handed_on, id_bucket, map_batches, sampled_labels, table, with_kept
+from talus.llm.shingles import BLOCK, blocks, mix, words_of_block
 
 PASSAGE = 64
 THRESHOLD = 0.3
@@ -38,8 +38,10 @@ FEATURES = len(CLASSES) + 7
 
 @dataclass(frozen=True)
 class Bounds:
+    """What is learned from: about so many labelled documents, and so many passages of each, evenly spread over it."""
+
     documents: int = 4_000
-    passages: int = 400_000
+    passages_each: int = 100
 
 
 @dataclass(frozen=True)
@@ -51,43 +53,81 @@ class Shape:
     decay: float = 1e-4
 
 
+LUT = np.zeros((len(CLASSES), 256))
+for _k, _c in enumerate(CLASSES.values()):
+    LUT[_k, list(_c)] = 1
+LENGTH = FEATURES - 1
+
+
+def encoded(raw: np.ndarray, start: np.ndarray, end: np.ndarray, again: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Feature rows of the passages that begin at the words ``heads``, but for the length of the document."""
+    count = np.diff(np.append(heads, len(start)))
+    tail = np.append(heads[1:], len(start)) - 1
+    span = np.maximum(end[tail] - start[heads], 1)
+    found = []
+    for row in LUT:
+        c = np.concatenate([[0], np.cumsum(row[raw])])
+        found.append((c[end[tail]] - c[start[heads]]) / span)
+    letters = np.concatenate([[0], np.cumsum((LUT[0] + LUT[1] + LUT[3])[raw])])
+    length = end - start
+    for per_word in (length / 10, length <= 3, length > 12, letters[end] == letters[start], again):
+        found.append(np.add.reduceat(per_word.astype(float), heads) / count)
+    return np.stack([*found, count / PASSAGE, np.zeros(len(heads))], axis=1)
+
+
+def three_words(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A hash of each word and the two before it in its text."""
+    out = h.copy()
+    out[1:] += np.where(rank[1:] >= 1, mix(h[:-1]), np.uint64(0))
+    out[2:] += np.where(rank[2:] >= 2, mix(mix(h[:-2])), np.uint64(0))
+    return out
+
+
+def long_passages(data: bytes, step: int = BLOCK) -> np.ndarray:
+    """Feature rows of one long text, read in pieces of whole passages; what was seen and counted goes on through all."""
+    rows, seen, last, total, at, held = [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0, 0, b""
+    while at < len(data):
+        piece = held + data[at : at + step]
+        at += step
+        h, start, end = words_of_block(piece)
+        # The last word may go on in the next piece.
+        n = len(h) if at >= len(data) else max(0, len(h) - 1) // PASSAGE * PASSAGE
+        held = piece[start[n] :] if n < len(h) else b""
+        if not n:
+            continue
+        known = np.concatenate([last, h[:n]])
+        key = mix(three_words(known, np.arange(len(known)) + total - len(last))[len(last) :])
+        again = np.ones(n)
+        again[np.unique(key, return_index=True)[1]] = 0
+        again[np.isin(key, seen)] = 1
+        seen, last, total = np.union1d(seen, key), known[-2:], total + n
+        rows.append(encoded(np.frombuffer(piece, np.uint8), start[:n], end[:n], again, np.arange(0, n, PASSAGE)))
+    out = np.concatenate(rows) if rows else np.zeros((0, FEATURES))
+    out[:, LENGTH] = np.log1p(total) / 10
+    return out
+
+
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages of all texts, and the text each belongs to. A text without words has one row of zeros."""
     rows, owner = [], []
-    lut = np.zeros((len(CLASSES), 256))
-    for k, c in enumerate(CLASSES.values()):
-        lut[k, list(c)] = 1
-    for first, last, data in blocks(texts):
+    long = {i: b for i, b in enumerate((t or "").encode() for t in texts) if len(b) > BLOCK}
+    for i, b in long.items():
+        rows.append(long_passages(b))
+        owner.append(np.full(len(rows[-1]), i))
+    for first, last, data in blocks([None if i in long else t for i, t in enumerate(texts)]):
         h, start, end = words_of_block(data)
         if not len(h):
             continue
-        sizes = np.array([len((t or "").encode()) + 1 for t in texts[first:last]]) if last - first > 1 else np.array([len(data) + 1])
+        sizes = np.array([1 if i in long else len((texts[i] or "").encode()) + 1 for i in range(first, last)])
         doc = np.searchsorted(np.cumsum(sizes), start, side="right")
         n_doc = np.bincount(doc, minlength=last - first)
         rank = np.arange(len(h)) - (np.cumsum(n_doc) - n_doc)[doc]
         heads = np.flatnonzero(rank % PASSAGE == 0)
-        count = np.diff(np.append(heads, len(h)))
-        raw = np.frombuffer(data, np.uint8)
-        total = np.concatenate([[0], np.cumsum(np.ones(len(raw)))])
-        tail = np.append(heads[1:], len(h)) - 1
-        span = np.maximum(total[end[tail]] - total[start[heads]], 1)
-        found = []
-        for row in lut:
-            c = np.concatenate([[0], np.cumsum(row[raw])])
-            found.append((c[end[tail]] - c[start[heads]]) / span)
-        letters = np.concatenate([[0], np.cumsum((lut[0] + lut[1] + lut[3])[raw])])
-        length = end - start
-        three = h.copy()
-        three[1:] += mix(h[:-1])
-        three[2:] += mix(mix(h[:-2]))
-        key = mix(three + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mix(mix(three_words(h, rank)) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         again = np.ones(len(h))
         again[np.unique(key, return_index=True)[1]] = 0
-        for per_word in (length / 10, length <= 3, length > 12, letters[end] == letters[start], again):
-            found.append(np.add.reduceat(per_word.astype(float), heads) / count)
-        found.append(count / PASSAGE)
-        found.append(np.log1p(n_doc[doc[heads]]) / 10)
-        rows.append(np.stack(found, axis=1))
+        rows.append(encoded(np.frombuffer(data, np.uint8), start, end, again, heads))
+        rows[-1][:, LENGTH] = np.log1p(n_doc[doc[heads]]) / 10
         owner.append(first + doc[heads])
     owner_all = np.concatenate(owner) if owner else np.zeros(0, np.int64)
     bare = np.setdiff1d(np.arange(len(texts)), owner_all)
@@ -166,17 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             x, owner = passages(b.column("text").to_pylist())
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))[1:]
-            yield {"doc_id": b.column("doc_id"), "label": b.column("label"), "x": [p.astype("<f4").tobytes() for p in np.split(x, cuts)] if b.num_rows else []}
+            kept = [p[np.unique(np.linspace(0, len(p) - 1, bounds.passages_each).astype(int))] for p in np.split(x, cuts)] if b.num_rows else []
+            yield {"doc_id": b.column("doc_id"), "label": b.column("label"), "x": [p.astype("<f4").tobytes() for p in kept]}
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
-        bags, y, n = [], [], 0
-        for x, label in zip(rows["x"], rows["label"], strict=True):
-            if n < bounds.passages:
-                bags.append(np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(float))
-                y.append(label)
-                n += len(bags[-1])
-        net = fit_network(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array(y, float), shape)
+        bags = [np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(float) for x in rows["x"]]
+        net = fit_network(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array(rows["label"], float), shape)
         return pd.DataFrame({"name": list(net), "shape": [list(v.shape) for v in net.values()], "value": [v.ravel().tolist() for v in net.values()]})
 
     found = (
@@ -191,11 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, net: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, kept columns, score 0 to 1) of every whole text, in a narrow stage.
 
-    A null or empty text is a bag of one passage of zeros. Without a network (no labels) every score is 0.5.
+    A null or empty text is a bag of one passage of zeros. Without a network (no labels) every score is 0.5. Very long texts
+    are read whole, in pieces that change nothing. Repeated rows each give a row. Other columns are ignored; a kept column
+    (``keep``, the text among them if wished) whose name a new one has is a ValueError. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *[docs[c] for c in keep or []])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
+    kept, schema = with_kept(docs, id_col, text_col, keep, ["score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         net = shared.value
@@ -207,7 +244,7 @@ def score(docs: DataFrame, net: dict | None, id_col: str = "doc_id", text_col: s
                 else:
                     x, owner = passages(b.column("__text").to_pylist())
                     p = forward(net, x, np.flatnonzero(np.diff(owner, prepend=-1)), owner)[-1].tolist()
-                yield {n: b.column(n) for n in b.schema.names if n != "__text"} | {"score": p}
+                yield handed_on(b, text_col, keep) | {"score": p}
 
     return map_batches(kept, run, f"{schema}, score double")
 

@@ -60,17 +60,18 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best inner products of each query with every other row, ties to smaller ids.
 
-    Queries are the rows whose id is divisible by ``every``. All vectors must have one length (the commonest is taken, rows
-    of another take no part). Repeated ids are rows of their own, but a query never finds a row of its own id. Fewer
+    Queries are the rows whose id is divisible by ``every``. A vector that is shorter than the longest counts as followed by
+    zeros. Inner products that a double may not hold exactly (2**53 or more) are a ValueError. Repeated ids are rows of their own, but a query never finds a row of its own id. Fewer
     candidates than ``k`` give fewer rows. Pivots come from at most about ``SAMPLE`` hashed rows; every row is indexed.
     """
     spark = vectors.sparkSession
     rows = integers(vectors, id_col, vec_col, scale)
-    sizes = rows.groupBy(F.octet_length("v").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bytes").limit(1).collect()
-    if not sizes:
+    width, total = rows.agg(F.max(F.octet_length("v")), F.count(F.lit(1))).first()
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width, total = sizes[0]["bytes"], sizes[0]["n"]
-    rows = rows.where(F.octet_length("v") == width)
+    zeros = F.lit(bytes(8))
+    missing = ((F.lit(width) - F.octet_length("v")) / 8).cast("int")
+    rows = rows.withColumn("v", F.when(missing > 0, F.concat("v", F.unhex(F.repeat(F.hex(zeros), missing)))).otherwise(F.col("v")))
     share = min(1_000_000, math.ceil(SAMPLE / total * 1_000_000))
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).select("v").limit(2 * SAMPLE).collect() or rows.select("v").limit(SAMPLE).collect()
     shared = spark.sparkContext.broadcast(fit_pivots([r[0] for r in sample], pivots))
@@ -145,7 +146,10 @@ def search(
 
     packs = materialise(map_batches(blocks.select("block", "pivot", "ids", "vs"), at_home, "home long, qids binary, qs binary, floors binary"), "query-packs")
     annuli = blocks.groupBy("pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"))
-    rings = spark.sparkContext.broadcast([tuple(r) for r in annuli.collect()])  # one for each pivot
+    found_rings = [tuple(r) for r in annuli.collect()]  # one for each pivot
+    if max(r[3] for r in found_rings) ** 2 >= 2**53:
+        raise ValueError("inner products of 2**53 or more are not exact")
+    rings = spark.sparkContext.broadcast(found_rings)
 
     def may_hold(q: np.ndarray, floor: np.ndarray, pivot: int, low: float, high: float, norm: float) -> np.ndarray:
         """Which queries an annulus may serve."""

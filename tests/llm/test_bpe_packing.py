@@ -96,3 +96,15 @@ def test_limits_hold_together(spark):
     loss = F.greatest(F.col("length") - F.col("loss_from"), F.lit(0))
     per = found.groupBy("sequence_id").agg(F.sum("length").alias("t"), F.count("*").alias("s"), F.sum(loss).alias("l"))
     assert found.count() == 3000 and per.where("t > 256 or s > 5 or l > 120").count() == 0
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a"])
+def test_very_long_runs(spark, library, run):
+    text = "x" + run * 1_000_000
+    ids = library.encode(text[:50_000], add_special_tokens=False).ids
+    c = bpe.codec(bpe.default_vocabulary(), packing.ranks_beside())
+    assert np.frombuffer(c.encode(text[:50_000]), "<u4").tolist() == ids
+    whole = c.encode(text)
+    assert c.decode(whole) == text
+    rows = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), bpe.default_vocabulary(), ranks=packing.ranks_beside()).collect()
+    check_packing(rows, {1: [*np.frombuffer(whole, "<u4").tolist(), 0]})

@@ -86,3 +86,82 @@ def test_weights_are_sparse(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet").selectExpr("doc_id", "toxic as label")
     assert len(toxicity.fit(docs, labels)) < 20_000
+
+
+def test_a_long_text_is_encoded_whole():
+    import numpy as np
+
+    words = [f"w{i * 7919 % 5000}" for i in range(200_000)]
+    text = "  ".join(words) + " end"
+    assert len(text.encode()) > 1 << 19
+    x, owner = quality.passages(["a b", text, None])
+    assert len(x) == 2 + -(-200_001 // 64) and set(owner) == {0, 1, 2}
+    mine = x[owner == 1]
+    assert np.allclose(mine[:, quality.LENGTH], np.log1p(200_001) / 10)
+    whole = quality.long_passages(text.encode(), step=1 << 30).astype(np.float32)
+    assert np.array_equal(mine, whole)
+    short = " ".join(words[:3000])
+    assert np.array_equal(quality.passages([short])[0], quality.long_passages(short.encode(), step=1000).astype(np.float32))
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "ab cd", "en"), (2, "½ ² Ⅳ", "en"), (3, "cd", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert [r.lang_pred for r in langid.predict(docs, model).orderBy("doc_id").collect()] == ["en", "und", "en"]
+
+
+def test_kept_columns(spark):
+    docs = spark.createDataFrame([(1, "ab cd", "en")], "doc_id long, text string, score string")
+    with pytest.raises(ValueError, match="score"):
+        quality.score(docs, None, keep=["score"])
+    row = quality.score(docs.withColumnRenamed("score", "lang"), None, keep=["text", "lang"]).first()
+    assert (row.doc_id, row.text, row.lang, row.score) == (1, "ab cd", "en", 0.5)
+
+
+def test_words_then_ever_shorter_grams(spark):
+    """Scores against the rule written out anew."""
+    import math
+
+    docs = spark.createDataFrame([(1, "alpha beta beta", "aa"), (3, "gamma delta", "bb"), (4, "alps", "bb")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+
+    def known(table, logs, key):
+        return None if key not in table else [float(x) for x in logs[table[key]]]
+
+    def brute(text):
+        total = [0.0, 0.0]
+        for word in text.split():
+            v = known(model.words, model.word_logs, word)
+            n = 4
+            while v is None and n:
+                padded = f" {word} "
+                grams = [known(model.grams, model.gram_logs, padded[i : i + n]) for i in range(len(padded) - n + 1)]
+                grams = [g for g in grams if g]
+                v = [sum(c) / len(grams) for c in zip(*grams, strict=True)] if grams else None
+                n -= 1
+            total = [a + b for a, b in zip(total, v or [0.0, 0.0], strict=True)]
+        n = len(text.split())
+        e = [math.exp(x / n * min(n, 8)) for x in total]
+        return e[0] / sum(e)
+
+    for i, text in enumerate(["alpha", "alphabet", "gam", "bxq delt", "zzz"]):
+        row = langid.predict(spark.createDataFrame([(i, text)], "doc_id long, text string"), model).first()
+        share = brute(text)
+        assert abs(row.score - max(share, 1 - share)) < 1e-4 and (row.lang_pred == "aa") == (share >= 0.5)
+    assert known(model.words, model.word_logs, "beta")[0] == pytest.approx(math.log(2.5 / (3 + 0.5 * 5 + 1)), abs=1e-5)
+
+
+def test_one_network_pass_by_hand():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, bag, y = rng.normal(size=(7, quality.FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2]), np.array([1.0, 0.0, 1.0])
+    net = quality.fit_network(x, bag, y, quality.Shape(steps=5))
+    for b in range(3):
+        rows = [np.tanh((r - net["mean"]) / net["scale"] @ net["W"] + net["b"]) for r in x[bag == b]]
+        e = [float((np.tanh(h @ net["V"]) / (1 + np.exp(-(h @ net["U"])))) @ net["w"]) for h in rows]
+        a = np.exp(e) / np.exp(e).sum()
+        z = sum(w * h for w, h in zip(a, rows, strict=True))
+        p = 1 / (1 + np.exp(-(z @ net["c"] + net["c0"][0])))
+        found = quality.forward(net, x, np.array([0, 3, 4]), bag)[-1][b]
+        assert abs(p - found) < 1e-9

@@ -37,3 +37,9 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, -1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.search(df).collect())) == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 0)]
     assert topk.search(df.limit(0)).collect() == [] and topk.search(df.where("vec_id = 0")).collect() == []
+
+
+def test_shorter_vectors_count_as_followed_by_zeros(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 1.0]), (1, [1.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 5.0])], "vec_id long, embedding array<double>")
+    one = 1024 * 1024
+    assert sorted(map(tuple, topk.search(df).collect())) == [(0, 1, 3, 8 * one), (0, 2, 2, 2 * one), (0, 3, 1, one)]
