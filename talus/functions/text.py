@@ -76,6 +76,12 @@ def least_years(c: Column) -> Column:
     return F.coalesce(F.array_min(years(c)), F.lit(0))
 
 
+def stated_years(c: Column) -> Column:
+    """The least number, up to 20, that stands before "year" on one line; 0 without any. Each match ends at its "year"."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)([0-9]+)\s*[+-]?[^\n]*?years?"), F.lit(1))
+    return F.coalesce(F.array_min(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x <= 20)), F.lit(0))
+
+
 def keyword_tokens(keywords: Column) -> Column:
     """Distinct telling tokens of an array of phrases, in order."""
     parts = F.split(F.lower(F.array_join(keywords, " ")), r"[^a-z0-9+#]+")

@@ -118,3 +118,50 @@ def geojson(df: DataFrame, *properties: str) -> DataFrame:
     point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))
     return df.where("latitude is not null and longitude is not null").select("ord", F.to_json(feature).alias("feature"))
+
+
+#: Name parts of software firms, and the pattern of names of artificial-intelligence firms (fixed values).
+IT_NAMES = [
+    "software", "technolog", "infotech", "info tech", "it solution", "it services", "systems", "solutions", "infosys", "cybernetics", "cyber",
+    "datalab", "data systems", "cloud", "websoft", "webtech", "web solution", "app labs", "analytics", "saas", "digital", "infocom",
+    "technosoft", "e-solutions", "esolutions", "technologies", "technova", "infoway", "softtech", "soft tech", "netsol", "software labs",
+    "ai labs", "tech labs",
+]
+AI_NAMES = r"(?i)\b(a\.?i\.?|artificial intelligence|machine learning|deep learning|data science|genai|generative|neural|computer vision|nlp|mlops|llm)\b"
+#: Colours of kinds on a map (fixed values).
+KINDS = [(["it", "software"], "#3b82f6"), (["financ", "insur", "account"], "#22c55e"), (["retail", "shop", "local"], "#f59e0b"), (["market", "advert", "consult"], "#ec4899")]
+FIRST = ["IT / Software", "AI / ML"]
+
+
+def industry_for(name: Column, default: Column) -> Column:
+    """A harvested name's industry: artificial intelligence before software before the default."""
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(name, F.lit(""))), F.lit(" "))
+    return F.when(F.coalesce(name, F.lit("")).rlike(AI_NAMES), FIRST[1]).when(contains_any(padded, IT_NAMES), FIRST[0]).otherwise(default)
+
+
+def best_first(df: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first: software firms, then by confidence, then those on the map, then those with a website."""
+    known = F.coalesce(F.col("latitude") != 0, F.lit(False))
+    keys = [F.col("industry").isin(FIRST), F.col("confidence"), known, F.coalesce("website", F.lit("")) != ""]
+    return df.orderBy(*[F.desc(c) for c in keys], F.asc("ord")).limit(k)
+
+
+def sources(df: DataFrame) -> DataFrame:
+    """The distinct sources of all records."""
+    return df.select(F.explode("source").alias("source")).distinct()
+
+
+def map_colour(industry: Column, business: Column, technical: Column) -> Column:
+    t = F.lower(F.concat_ws(" ", F.coalesce(industry, F.lit("")), F.coalesce(business, F.lit(""))))
+    out = F.when(F.contains(t, F.lit("cowork")), "#a78bfa").when(contains_any(t, KINDS[0][0]) | F.coalesce(technical, F.lit(False)), KINDS[0][1])
+    for needles, colour in KINDS[1:]:
+        out = out.when(contains_any(t, needles), colour)
+    return out.otherwise("#94a3b8")
+
+
+def openings_url(careers: Column, name: Column, search: str) -> Column:
+    """The firm's own page of openings, else a search for its name."""
+    encoded = F.url_encode(F.coalesce(name, F.lit("")))
+    for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(code), F.lit(char))
+    return F.coalesce(F.nullif(careers, F.lit("")), F.concat(F.lit(search), encoded))

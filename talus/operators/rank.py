@@ -46,3 +46,33 @@ def near_first(df: DataFrame, place: str) -> DataFrame:
 def page(df: DataFrame, number: int, size: int = 50) -> DataFrame:
     """One page of the ranked rows, from 1."""
     return df.orderBy(F.desc("score"), "days", "ord").offset((number - 1) * size).limit(size)
+
+
+def generic_top(scored: DataFrame, guided: bool, k: int) -> DataFrame:
+    """The ``k`` best of generic scores with a url, one for each url.
+
+    Guided by wanted labels, two matches are asked for (or a base of 60), and one where that leaves fewer than 5 rows; else
+    a score of 10.
+    """
+    rows = scored.where(F.coalesce("job_url", F.lit("")) != "")
+    if guided:
+        enough = lambda n: (F.size("matched") >= n) | (F.col("base") >= 60)
+        rows = relax(rows, enough(2), enough(1), 5).drop("was_relaxed")
+    else:
+        rows = rows.where("score >= 10")
+    return top(first_wins(rows, "job_url"), k)
+
+
+def rerank(df: DataFrame, k: int) -> DataFrame:
+    """By the delta of an analysis down, then as ``top``."""
+    return df.orderBy(F.desc("delta"), F.desc("score"), F.asc("days"), F.asc("ord")).limit(k)
+
+
+def strict_stats(df: DataFrame) -> DataFrame:
+    """One row: all postings, those kept (no ``reason``), and the distinct urls of those turned down."""
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count_distinct(F.when(F.col("reason").isNotNull(), F.col("job_url"))).alias("rejected"))
+
+
+def delta_counts(df: DataFrame) -> DataFrame:
+    """One row: how many analyses raise a posting and how many lower it."""
+    return df.agg(F.count_if(F.col("delta") > 0).alias("boosted"), F.count_if(F.col("delta") < 0).alias("penalised"))

@@ -209,3 +209,16 @@ def contact_points(resume: Column) -> Column:
     from talus.functions.text import EMAIL, PHONE
 
     return F.when(first_match(resume, EMAIL) != "", 5).otherwise(0) + F.when(first_match(resume, PHONE) != "", 5).otherwise(0)
+
+
+#: Least scores of a label and of a colour (fixed values).
+LABELS = [(85, "Excellent"), (70, "Good"), (50, "Fair"), (30, "Poor"), (None, "Critical")]
+COLOURS = [(80, "#16a34a"), (60, "#eab308"), (40, "#f97316"), (None, "#dc2626")]
+
+
+def step(score: Column, steps: list[tuple[int | None, str]]) -> Column:
+    """The first value whose least score is reached; the last one otherwise."""
+    out = F.lit(steps[-1][1])
+    for least, value in reversed(steps[:-1]):
+        out = F.when(score >= least, value).otherwise(out)
+    return out

@@ -40,7 +40,23 @@ def company_types(spark, d):
     return _records(spark, d).groupBy(C.business_type().alias("business")).agg(F.count(F.lit(1)).alias("n"), F.count_if(C.is_coworking()).alias("shared"))
 
 
-QUERIES = {f.__name__: f for f in (company_classes, company_names, company_merge, company_name_only, company_boxes, company_types)}
+def company_industries(spark, d):
+    r = _records(spark, d).withColumn("industry", C.industry_for(F.col("company_name"), F.col("industry")))
+    colour = C.map_colour(F.col("industry"), F.lit(""), F.lit(False))
+    url = C.openings_url(F.when(F.col("ord") % 3 == 0, F.col("website")), F.col("company_name"), "https://jobs.example.org/search?q=")
+    return r.select("ord", "industry", colour.alias("colour"), url.alias("openings"))
+
+
+def company_order(spark, d):
+    r = _records(spark, d).withColumn("industry", C.industry_for(F.col("company_name"), F.col("industry"))).withColumn("confidence", C.confidence())
+    return C.best_first(r, 25).select("ord")
+
+
+def company_sources(spark, d):
+    return C.sources(C.merge(_records(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (company_industries, company_order, company_sources, company_classes, company_names, company_merge, company_name_only, company_boxes, company_types)}
 
 
 def _any(text: str, needles: list[str]) -> str:
@@ -64,8 +80,16 @@ _C = f"c AS ({COMPANIES})"
 _MERGE = r"""s1 AS (SELECT *, CASE WHEN website <> '' THEN 'web ' || regexp_replace(regexp_replace(lower(website), '^https?://(www\.)?', ''), '/+$', '') ELSE 'row ' || ord END AS k FROM c),
  g1 AS (SELECT min(ord) AS ord, list_distinct(list(src)) AS source, arg_min(website, CASE WHEN website <> '' THEN ord END) AS website FROM s1 GROUP BY k),
  s2 AS (SELECT g1.*, CASE WHEN latitude IS NOT NULL THEN 'geo ' || lower(company_name) || '|' || format('{:.4f}|{:.4f}', CAST(latitude AS DOUBLE), CAST(longitude AS DOUBLE)) ELSE 'row ' || g1.ord END AS k FROM g1 JOIN c USING (ord))"""
+_IND = f"""CASE WHEN regexp_matches(company_name, '{C.AI_NAMES}') THEN 'AI / ML' WHEN {_any("(' ' || lower(company_name) || ' ')", C.IT_NAMES)} THEN 'IT / Software' ELSE industry END"""
+_CONF = """CAST(40 + (CASE WHEN website <> '' THEN 25 ELSE 0 END) + (CASE WHEN address <> '' THEN 10 ELSE 0 END) + (CASE WHEN has_phone THEN 10 ELSE 0 END) + (CASE WHEN ind NOT IN ('Unknown', '') THEN 10 ELSE 0 END) AS INTEGER)"""
+_COLOUR = "CASE WHEN contains(lower(ind), 'cowork') THEN '#a78bfa' " + " ".join(f"WHEN {_any('lower(ind)', n)} THEN '{c}'" for n, c in C.KINDS) + " ELSE '#94a3b8' END"
 
 ORACLE_SQL = {
+    "company_industries": f"""WITH {_C}, i AS (SELECT *, {_IND} AS ind FROM c) SELECT ord, ind AS industry, {_COLOUR} AS colour,
+      CASE WHEN ord % 3 = 0 AND website <> '' THEN website ELSE 'https://jobs.example.org/search?q=' || replace(company_name, ' ', '%20') END AS openings FROM i""",
+    "company_order": f"""WITH {_C}, i AS (SELECT *, {_IND} AS ind FROM c) SELECT ord FROM i
+      ORDER BY ind IN ('IT / Software', 'AI / ML') DESC, {_CONF} DESC, coalesce(latitude <> 0, FALSE) DESC, website <> '' DESC, ord LIMIT 25""",
+    "company_sources": f"WITH {_C} SELECT DISTINCT src AS source FROM c",
     "company_classes": f"""WITH {_C} SELECT ord, {_SIZE} AS size_class, {_BUSINESS} AS business, {_COWORK} AS coworking,
       CAST(40 + (CASE WHEN website <> '' THEN 25 ELSE 0 END) + (CASE WHEN address <> '' THEN 10 ELSE 0 END) + (CASE WHEN has_phone THEN 10 ELSE 0 END) + (CASE WHEN industry NOT IN ('Unknown', '') THEN 10 ELSE 0 END) AS INTEGER) AS confidence FROM c""",
     "company_names": f"WITH {_C} SELECT ord, {_KEY} AS company_key, trim(regexp_replace(lower(company_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM c",

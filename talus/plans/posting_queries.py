@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions.plan import computed_once
+from talus.functions.text import stated_years as least_stated
 from talus.operators import feed, filters, rank, scoring
 from talus.operators.lexicon import tags
 from talus.plans.adapters import POSTINGS, postings
@@ -51,8 +52,12 @@ def facts(spark, d):
     return df.select("ord", "least_years", "most_years", "employees", "pay", "days", scoring.recency_boost(F.col("days")).alias("recency"), scoring.pay_boost(F.col("pay"), 7.0).alias("boost"), scoring.level_of(F.col("least_years")).alias("level"))
 
 
+def _signals():
+    return scoring.signal_delta(F.col("description"), [r"\bbe\b", r"\bthe\b", r"\b2\s*-\s*3\s*years?\b"], [r"\bof\b", r"\bto\b", r"\bsich\b"], [r"\bwe\s+(?:mentor|coach|guide)\b"])
+
+
 def signal_delta(spark, d):
-    delta, fit = scoring.signal_delta(F.col("description"), [r"\bbe\b", r"\bthe\b", r"\b2\s*-\s*3\s*years?\b"], [r"\bof\b", r"\bto\b", r"\bsich\b"], [r"\bwe\s+(?:mentor|coach|guide)\b"])
+    delta, fit = _signals()
     return postings(spark, d).select("ord", delta.alias("delta"), fit.alias("fit"))
 
 
@@ -85,7 +90,7 @@ def page_two(spark, d):
 
 def _reasons(spark, d):
     p = computed_once(postings(spark, d).withColumn("asked", tags(F.col("description"), SKILLS)))
-    return computed_once(p.withColumn("reason", filters.strict_reason(F.col("title"), F.col("description"), F.col("asked"), ["Docker", "Java", "Python", "Spring"], ["Java", "Python"], 2)).select("ord", "reason"))
+    return computed_once(p.withColumn("reason", filters.strict_reason(F.col("title"), F.col("description"), F.col("asked"), ["Docker", "Java", "Python", "Spring"], ["Java", "Python"], 2)).select("ord", "job_url", "reason"))
 
 
 def strict_gates(spark, d):
@@ -139,11 +144,43 @@ def to_analyse(spark, d):
     return feed.to_analyse(p, cache, as_of_time(), 7).select("ord", "key")
 
 
+def generic_top(spark, d):
+    scored = scoring.generic_score(postings(spark, d), SKILLS, TARGETS, PROFILE, as_of()).select("ord", "job_url", "matched", "base", "score", "days")
+    return rank.generic_top(scored, True, K).select("ord", "base", "score")
+
+
+def strict_stats(spark, d):
+    return rank.strict_stats(_reasons(spark, d))
+
+
+def _with_delta(spark, d):
+    delta, _ = _signals()
+    return _scored(spark, d).withColumn("delta", delta).select("ord", "delta", "score", "days", "reason")
+
+
+def reranked(spark, d):
+    return rank.rerank(_with_delta(spark, d).where("reason is null"), K).select("ord", "delta", "score")
+
+
+def delta_counts(spark, d):
+    return rank.delta_counts(_with_delta(spark, d))
+
+
+def score_labels(spark, d):
+    s = F.col("score")
+    return _scored(spark, d).select("ord", scoring.step(s, scoring.LABELS).alias("label"), scoring.step(s, scoring.COLOURS).alias("colour"))
+
+
+def stated_years(spark, d):
+    return postings(spark, d).select("ord", least_stated(F.col("description")).alias("years"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         match_score, generic_score, title_relevance, facts, signal_delta, top_postings, diversified, relax_and_retry, first_wins, near_first,
         page_two, strict_gates, reject_histogram, simple_filters, feed_projection, carry_forward, top_up, rejoined, with_analyses, to_analyse,
+        generic_top, strict_stats, reranked, delta_counts, score_labels, stated_years,
     )
 }
 
@@ -175,7 +212,7 @@ _STRICT = f"""CASE WHEN {' OR '.join(f"contains(lower(title), '{x}')" for x in f
  WHEN len(k) = 0 AND NOT starter THEN 'no known skills'
  WHEN NOT list_has_any(k, ['Docker','Java','Python','Spring']) THEN 'no skill overlap'
  WHEN len(list_filter(k, lambda v: list_contains(['Docker','Java','Python','Spring'], v))) = 1 AND NOT list_has_any(k, ['Java','Python']) THEN 'one minor skill' END"""
-_REASONS = f"{_P}, t AS (SELECT *, {tags_sql('description', SKILLS)} AS k, contains(lower(title), 'sde') OR contains(lower(title), 'entry') OR contains(lower(title), 'junior') AS starter FROM p), r AS (SELECT ord, {_STRICT} AS reason FROM t)"
+_REASONS = f"{_P}, t AS (SELECT *, {tags_sql('description', SKILLS)} AS k, contains(lower(title), 'sde') OR contains(lower(title), 'entry') OR contains(lower(title), 'junior') AS starter FROM p), r AS (SELECT ord, job_url, {_STRICT} AS reason FROM t)"
 _TEXT = {"is_remote": "CASE WHEN is_remote THEN 'True' ELSE 'False' END", "date_fetched": "'2024-01-30 06:00'", "search_term": "''"}
 _PROJECT = ", ".join(f"{_TEXT.get(c, c)} AS {c}" for c in feed.COLUMNS)
 _FEED = f"""{_P}, today AS (SELECT {_PROJECT} FROM p WHERE ord % 3 = 0), before AS (SELECT CASE WHEN date_posted = '' THEN '' ELSE date_posted || ' 05:00' END AS date_fetched, CASE WHEN site < 'src2' THEN 'Via Tavily' ELSE site END AS site, job_url FROM p WHERE ord % 3 <> 0)"""
@@ -217,3 +254,18 @@ ORACLE_SQL = {
     "with_analyses": f"WITH {_KEPT}, a AS (SELECT job_url, max(ord) AS score_delta FROM p WHERE ord % 5 = 0 AND job_url <> '' GROUP BY job_url) SELECT kept.ord, coalesce(a.score_delta, 0) AS score_delta FROM kept LEFT JOIN a USING (job_url)",
     "to_analyse": f"WITH {_P} SELECT ord, md5(job_url) AS key FROM p WHERE md5(job_url) NOT IN (SELECT md5(job_url) FROM p WHERE ord % 2 = 0 AND date_posted <> '' AND date_diff('second', CAST(date_posted AS TIMESTAMP), TIMESTAMP '2024-01-30 00:00:00') < 7 * 86400)",
 }
+
+_DELTAS, _LABEL = f"({ORACLE_SQL['signal_delta']})", "CASE " + " ".join(f"WHEN score >= {n} THEN '{x}'" for n, x in scoring.LABELS[:-1]) + f" ELSE '{scoring.LABELS[-1][1]}' END"
+_COLOUR = "CASE " + " ".join(f"WHEN score >= {n} THEN '{x}'" for n, x in scoring.COLOURS[:-1]) + f" ELSE '{scoring.COLOURS[-1][1]}' END"
+ORACLE_SQL |= {
+    "generic_top": f"""WITH {_P}, z AS (SELECT ord, job_url, base, score, days, CASE WHEN matched = '' THEN 0 ELSE len(string_split(matched, '|')) END AS hits
+      FROM ({ORACLE_SQL["generic_score"]}) JOIN (SELECT ord, days FROM ({ORACLE_SQL["facts"]})) USING (ord) JOIN (SELECT ord, job_url FROM p) USING (ord) WHERE job_url <> ''),
+      n AS (SELECT count(*) FILTER (hits >= 2 OR base >= 60) AS enough FROM z),
+      q AS (SELECT z.* FROM z, n WHERE base >= 60 OR hits >= (CASE WHEN enough < 5 THEN 1 ELSE 2 END) QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1)
+      SELECT ord, base, score FROM q ORDER BY score DESC, days, ord LIMIT {K}""",
+    "strict_stats": f"WITH {_REASONS} SELECT count(*) AS total, count(*) FILTER (reason IS NULL) AS kept, count(DISTINCT job_url) FILTER (reason IS NOT NULL) AS rejected FROM r",
+    "reranked": f"WITH {_SCORED} SELECT s.ord, delta, score FROM s JOIN {_DELTAS} AS d ON s.ord = d.ord WHERE reason IS NULL ORDER BY delta DESC, score DESC, days, s.ord LIMIT {K}",
+    "delta_counts": f"SELECT count(*) FILTER (delta > 0) AS boosted, count(*) FILTER (delta < 0) AS penalised FROM {_DELTAS}",
+    "score_labels": f"WITH {_SCORED} SELECT ord, {_LABEL} AS label, {_COLOUR} AS colour FROM s",
+    "stated_years": rf"""WITH {_P} SELECT ord, coalesce(list_min(list_filter(list_transform(regexp_extract_all(description, '(?i)([0-9]+)\s*[+-]?[^\n]*?years?', 1), lambda v: try_cast(v AS INTEGER)), lambda v: v <= 20)), 0) AS years FROM p""",
+}

@@ -128,3 +128,24 @@ def test_aliases_of_runs_and_of_several_words(spark):
     lexicon = {"Net": [".net"], "Node": ["node", "node.js"], "Spring": ["spring"], "Boot": ["spring boot"], "C#": ["c#"]}
     assert one(spark, tags(F.lit("Spring Boot, node.js x.spring c# .NET"), lexicon)) == ["Boot", "C#", "Net", "Node", "Spring"]
     assert one(spark, tags(F.lit("x.spring c#x nodes"), lexicon)) == []
+
+
+def test_industry_colour_and_openings(spark):
+    kinds = [one(spark, companies.industry_for(F.lit(n), F.lit("Other"))) for n in ("Neural Works", "Email Systems", "Dubai Bakers", None)]
+    assert kinds == ["AI / ML", "IT / Software", "Other", "Other"]
+    colours = [one(spark, companies.map_colour(F.lit(i), F.lit(b), F.lit(t))) for i, b, t in (("x", "Coworking", True), ("x", "y", True), ("Finance", None, None), ("z", "", False))]
+    assert colours == ["#a78bfa", "#3b82f6", "#22c55e", "#94a3b8"]
+    urls = [one(spark, companies.openings_url(F.lit(c), F.lit(n), "s?q=")) for c, n in (("own", "n"), ("", "a b&(c)"), (None, None))]
+    assert urls == ["own", "s?q=a%20b%26(c)", "s?q="]
+
+
+def test_stated_years(spark):
+    text = "1 to 3 years\n2 people, no year\n40 years, 5 - or so years"
+    assert one(spark, T.stated_years(F.lit(text))) == 1 and one(spark, T.stated_years(F.lit("30 years"))) == 0 and one(spark, T.stated_years(F.lit(None).cast("string"))) == 0
+
+
+def test_generic_top_relaxes(spark):
+    rows = [(i, "u" if i < 2 else f"u{i}", ["a"], 10, i, 0) for i in range(6)] + [(9, "", ["a", "b"], 99, 99, 0)]
+    df = spark.createDataFrame(rows, "ord long, job_url string, matched array<string>, base int, score int, days int")
+    assert [r.ord for r in rank.generic_top(df, True, 3).collect()] == [5, 4, 3]
+    assert rank.generic_top(df, False, 9).collect() == []
