@@ -18,6 +18,8 @@ SHINGLE = 5
 GROUP_ROWS = 2000
 #: Quantile cells of the ids; inside a cell ids are split evenly.
 CELLS = 256
+#: Groups of ids, at most: beyond that they hold more rows. It bounds what the driver gets and broadcasts.
+GROUPS = 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -100,35 +102,53 @@ def as_text(sketch: Column) -> Column:
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window]:
     """Rows dealt to groups of neighbouring ids, each with the next group's first row as a guest, and their order.
 
-    The order is by descending id (rows without an id last), ties by text; after the last comes the first. One pass over
-    the ids finds quantiles and a second one the first id of each group; only these (one number for each group) come to
-    the driver. Texts are shuffled once and no task gets more than its groups.
+    The order is by descending id, rows without an id last; rows without one, and rows of an id that holds several quantiles,
+    are ordered by a hash of the text, which also splits them over groups; ties by text. After the last comes the first. One
+    pass over the ids finds quantiles and a second one the first row of each group; only these (two numbers for each of at
+    most about ``2 * GROUPS`` groups) come to the driver and are broadcast. Texts are shuffled once.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    ids = rows.select("doc_id")
     share = [i / CELLS for i in range(CELLS + 1)]
-    n, marks = ids.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", share, 10_000)).first()
-    marks = sorted(set(marks or [0]))
-    split = max(1, -(-n // (GROUP_ROWS * CELLS)))
+    counts = rows.agg(F.count(F.lit(1)), F.count("doc_id"), F.percentile_approx("doc_id", share, 10_000)).first()
+    n, known, quantiles = counts[0], counts[1], counts[2] or [0]
+    marks = sorted(set(quantiles))
+    often = sorted({m for m in marks if quantiles.count(m) > 1})
+    wanted = max(1, -(-n // GROUP_ROWS))
+    split, sub = -(-min(wanted, GROUPS) // CELLS), min(wanted, 2 * GROUPS // CELLS)
+    unknown = max(1, min(-(-(n - known) // GROUP_ROWS), GROUPS // 2))
+    doc_id = F.col("doc_id")
+    many = doc_id.isin(often) if often else F.lit(False)
+    # The text is only read here for rows whose id does not place them.
+    mixed = F.xxhash64("text")
+    h = F.when(doc_id.isNull() | many, mixed) if often or known < n else F.lit(None).cast("long")
+    at = (mixed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+
+    def bucket(parts: int) -> Column:
+        return F.least(F.floor(at * parts), F.lit(parts - 1)) if parts > 1 else F.lit(0)
+
     bounds = F.array(*[F.lit(m).cast("long") for m in marks])
-    cell = F.greatest(F.size(F.filter(bounds, lambda m: m <= F.col("doc_id"))), F.lit(1))
+    cell = F.greatest(F.size(F.filter(bounds, lambda m: m <= doc_id)), F.lit(1))
     low = F.element_at(bounds, cell)
     high = F.element_at(bounds, F.least(cell + 1, F.lit(len(marks))))
-    part = F.when(high > low, F.floor((F.col("doc_id") - low) / (high - low) * split)).otherwise(0)
+    part = F.when(high > low, F.floor((doc_id - low) / (high - low) * split)).otherwise(0)
     part = F.greatest(F.lit(0), F.least(part, F.lit(split - 1)))
-    group = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(cell * split + part).cast("long")
-    firsts = sorted(((r[0], r[1]) for r in ids.select(group.alias("g"), "doc_id").groupBy("g").agg(F.max("doc_id")).collect()), reverse=True)
+    # An id of many rows is a cell's lowest: its groups lie below those of the cell's other ids.
+    inside = F.when(many, sub - 1 - bucket(sub)).otherwise(sub)
+    group = F.when(doc_id.isNull(), -1 - bucket(unknown)).otherwise((cell * split + part) * (sub + 1) + inside).cast("long")
+    heads = rows.select(group.alias("g"), "doc_id", h.alias("h")).groupBy("g").agg(F.max("doc_id"), F.min("h")).collect()
+    firsts = sorted((tuple(r) for r in heads), key=lambda r: r[0], reverse=True)
     # Group i's first row is a guest of the group before it, and the very first row a guest of the last group.
-    guests = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    guests = spark.createDataFrame(guests, "doc_id long, host long")
-    hosted = rows.withColumn("g", group).join(F.broadcast(guests), rows["doc_id"].eqNullSafe(guests["doc_id"]), "left")
-    at = F.struct(F.col("g"), F.lit(False).alias("guest"))
+    guests = [(first, mark, firsts[i - 1][0]) for i, (_, first, mark) in enumerate(firsts)]
+    guests = spark.createDataFrame(guests, "doc_id long, h long, host long")
+    rows = rows.withColumn("g", group).withColumn("h", h)
+    hosted = rows.join(F.broadcast(guests), rows["doc_id"].eqNullSafe(guests["doc_id"]) & rows["h"].eqNullSafe(guests["h"]), "left")
+    own = F.struct(F.col("g"), F.lit(False).alias("guest"))
     also = F.struct(F.col("host").alias("g"), F.lit(True).alias("guest"))
     dealt = hosted.select(
-        rows["doc_id"], "text", F.inline(F.when(F.col("host").isNull(), F.array(at)).otherwise(F.array(at, also)))
+        rows["doc_id"], "text", rows["h"], F.inline(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, also)))
     )
-    return dealt, Window.partitionBy("g").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    return dealt, Window.partitionBy("g").orderBy("guest", F.col("doc_id").desc_nulls_last(), "h", "text")
 
 
 def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -136,7 +156,8 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     The edited text ends in the first third (of this text's code points) of the next document instead of its own last
     third. A null text is empty; texts without words have an empty fingerprint, and two of them are alike (1.0); a single
-    document is its own next. Repeated rows each give a row; other columns are ignored.
+    document is its own next. Repeated rows each give a row; other columns are ignored. Very long texts are sketched whole, in
+    one row's expression: the words of one text must fit a task's memory.
     """
     dealt, order = in_id_order(docs, id_col, text_col)
     third = F.floor(F.char_length("text") / 3).cast("int")

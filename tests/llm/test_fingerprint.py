@@ -65,3 +65,22 @@ def test_containment(spark):
     df = fp.add_sketch(fp.add_sketch(df, "x", "sx"), "y", "sy")
     r = df.select(fp.containment(F.col("sx"), F.col("sy")).alias("xy"), fp.containment(F.col("sy"), F.col("sx")).alias("yx")).first()
     assert abs(r.xy - 1) < 1e-9 and abs(r.yx - 0.5) < 1e-9
+
+
+def test_rows_without_ids_and_of_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(fp, "GROUP_ROWS", 4)
+    rows = [(None, f"null {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(40)] + [(i, f"other {i}") for i in range(40)] + [(None, "null 3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, order = fp.in_id_order(docs, "doc_id", "text")
+    own = dealt.where("not guest")
+    assert own.count() == len(rows)
+    assert own.groupBy("g").count().agg(F.max("count")).first()[0] <= 20
+    led = dealt.withColumn("next", F.struct(F.lead("doc_id").over(order), F.lead("text").over(order))).where("not guest").collect()
+    found = {(r.doc_id, r.text): tuple(r.next) for r in led if r.text != "null 3"}
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    repeated = [i for i, _ in rows].count(7) > 1
+    key = lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]] if r[0] is None or (repeated and r[0] == 7) else 0, r[1])
+    order = sorted(rows, key=key)
+    for i, row in enumerate(order):
+        if row[1] != "null 3":
+            assert found[row] == order[(i + 1) % len(order)], row
