@@ -23,8 +23,9 @@ from talus.llm.common import map_batches, materialise, shared_dir, table
 END = b"\r\n\r\n"
 #: Bytes that are inflated at a time.
 STEP = 1 << 20
-#: Records of one archive, at most.
+#: Records of one archive, and plain bytes (a larger record has one of its own), at most.
 ARCHIVE_RECORDS = 5_000
+ARCHIVE_BYTES = 64 << 20
 
 
 def record(page_id: int | None, url: str | None, payload: str, digest: str, response: bool, refers_to: int | None) -> str:
@@ -116,20 +117,37 @@ def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_
     return rows.withColumn("digest", digest).join(last, "digest", "left")
 
 
-def write_monolithic(pages: DataFrame, path: str) -> None:
-    """Write ``revisits`` rows as WARC files, each one gzip stream."""
+def write_monolithic(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write ``revisits`` rows as WARC files, each one gzip stream of a bounded size.
+
+    A task counts the bytes of its records and starts another ``part`` where they reach the bound; very long pages are
+    records like others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        part = size = 0
         for b in batches:
-            out = []
+            out, parts = [], []
             for page_id, url, payload, digest, last in zip(*(b.column(i) for i in range(5)), strict=True):
                 page_id, last = page_id.as_py(), last.as_py()
                 sha1 = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
                 out.append(record(page_id, url.as_py(), payload.as_py(), sha1, last is None or page_id == last, last))
-            yield {"value": out}
+                n = len(out[-1].encode()) + len(END)
+                if size and size + n > archive_bytes:
+                    part, size = part + 1, 0
+                size += n
+                parts.append(part)
+            yield {"value": out, "part": parts}
+
+    rows = map_batches(pages.select("page_id", "url", "payload", "digest", "response_id"), run, "value string, part int")
+    files = rows.write.partitionBy("part").option("lineSep", END.decode()).option("compression", "gzip")
+    files.option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+
 
-    rows = map_batches(pages.select("page_id", "url", "payload", "digest", "response_id"), run, "value string")
-    rows.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+def archive_name(path: str) -> str:
+    """The name of a monolithic file: its part and file name, without endings."""
+    part, name = path.rsplit("/", 2)[-2:]
+    return f"{part.removeprefix('part=')}-{name.split('.')[0]}"
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> None:
@@ -142,7 +160,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                name, offset, index = path.rsplit("/", 1)[-1].split(".")[0], 0, []
+                name, offset, index = archive_name(path), 0, []
                 out: list[bytes] = []
                 for r in records(inflate(content.as_py())):
                     h, m = headers(r[: r.find(END)]), member(r)

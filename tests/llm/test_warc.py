@@ -44,7 +44,7 @@ def test_members_stand_alone_and_index_finds_them(spark, tmp_path):
     back = warc.read_archives(spark, members)
     assert found(back) == expected([(r[0], r[2]) for r in rows])
     assert {r.page_id: r.payload for r in back.where("record_type = 'response'").collect()}[5] == rows[4][2]
-    sources = {p.split("/")[-1].split(".")[0]: gzip.open(p).read() for p in glob.glob(f"{whole}/*.gz")}
+    sources = {warc.archive_name(p): gzip.open(p).read() for p in glob.glob(f"{whole}/part=*/*.gz")}
     for archive in glob.glob(f"{members}/archive=*"):
         name = archive.split("=")[-1]
         data = b"".join(open(p, "rb").read() for p in glob.glob(f"{archive}/kind=warc/part-*"))
@@ -79,3 +79,23 @@ def test_empty_table(spark, tmp_path):
     warc.write_monolithic(warc.revisits(pages), whole)
     warc.normalise(spark, whole, members)
     assert warc.read_archives(spark, members).collect() == []
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "z" * (40_000 if i == 3 else 300)) for i in range(1, 41)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    whole, members = str(tmp_path / "w"), str(tmp_path / "m")
+    warc.write_monolithic(warc.revisits(pages), whole, 5_000)
+    sizes = [len(gzip.open(p).read()) for p in glob.glob(f"{whole}/part=*/*.gz")]
+    assert len(sizes) > 5 and sum(n > 5_000 for n in sizes) == 1
+    warc.normalise(spark, whole, members)
+    assert found(warc.read_archives(spark, members)) == expected([(r[0], r[2]) for r in rows])
+
+
+def test_records_over_several_batches(spark, tmp_path):
+    rows = [(i, "u", str(i % 1700)) for i in range(2_500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    whole, members = str(tmp_path / "w"), str(tmp_path / "m")
+    warc.write_monolithic(warc.revisits(pages), whole)
+    warc.normalise(spark, whole, members)
+    assert found(warc.read_archives(spark, members)) == expected([(r[0], r[2]) for r in rows])
