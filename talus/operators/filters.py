@@ -6,16 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talus.functions.text import contains_any, least_years
+from talus.operators.lexicon import Lexicon, tags
 
+#: Fixed values.
 SENIOR = r"(?i)\b(senior|sr\.?|lead|principal|staff|architect|manager|head\s+of|director|vp|vice\s+president|distinguished|fellow|chief|expert|sde\s*(?:3|iii)|sde-?3)\b"
 JUNIOR = r"(?i)\b(junior|jr\.?|entry[- ]?level|entry|graduate|trainee|fresher|intern|sde\s*(?:1|i)\b|sde-?1)\b"
 SENIOR_SEARCH = r"(?i)\b(senior|sr\.?|staff|principal|lead|director|head\b|vp\b|architect|manager)\b"
-#: Fixed values.
 WRONG_FIELD = [
     "manager", "lead", "director", "vp", "principal architect", "senior principal", "distinguished engineer", "sales", "marketing",
     "support engineer", "devops engineer", "sre", "site reliability",
 ]
 ROLE_WORDS = ["backend", "full stack", "python", "node", "java", "sde", "junior", "entry", "software developer", "software engineer", "ai engineer", "ml engineer", "llm engineer", "ai agent engineer"]
+SECTION_STARTS = ["must have", "required", "skills", "expertise", "core competencies"]
+SECTION_STOPS = ["\n\n", "nice to have", "preferred", "about you"]
+SECTION, OPENING = 500, 1500
+PLAIN_SKILLS = {
+    "Python": "python",
+    "Java": "java",
+    "Node.js": r"node(?:\.js)?",
+    "JavaScript": "javascript",
+    "Backend": "backend",
+    "Full Stack": r"full\s*stack",
+    "FastAPI": "fastapi",
+    "Express": r"express(?:\.js)?",
+    "Spring": "spring",
+    "Docker": "docker",
+    "PostgreSQL": r"postgres(?:ql)?",
+    "React": "react",
+}
 POSTING_HOSTS = ["greenhouse.io", "lever.co", "ashbyhq.com", "workable.com", "smartrecruiters.com", "gh_jid"]
 
 
@@ -42,13 +60,42 @@ def is_posting_url(url: Column) -> Column:
     return contains_any(u, POSTING_HOSTS) | u.rlike(r"/(jobs?|careers|openings?|positions?|vacanc\w+)/[^/?#]+")
 
 
-def strict_reason(title: Column, description: Column, skills: Column, core: list[str], major: list[str], have_years: int) -> Column:
-    """Why a posting is turned down, by the first gate that fails; null where it passes. ``skills``: those it asks for."""
+def required_part(description: Column) -> Column:
+    """The sections of a posting that ask for skills, each up to its stop; without any, the posting's opening."""
+    text = F.coalesce(description, F.lit(""))
+    low = F.lower(text)
+
+    def section(start: str) -> Column:
+        at = F.instr(low, start)
+        window = F.substring(text, at, F.lit(SECTION))
+        stops = [F.nullif(F.instr(F.lower(window), stop), F.lit(0)) for stop in SECTION_STOPS]
+        cut = F.least(*[F.when(x > 1, x) for x in stops])
+        return F.when(at > 0, F.concat(F.substring(window, F.lit(1), F.coalesce(cut - 1, F.lit(SECTION))), F.lit("\n")))
+
+    found = F.concat_ws("", *map(section, SECTION_STARTS))
+    return F.when(found != "", found).otherwise(F.substring(text, 1, OPENING))
+
+
+def required_skills(description: Column, lexicon: Lexicon) -> Column:
+    """Labels that the asking sections hold, sorted; without any, plain names of common skills."""
+    part = required_part(description)
+    low, found = F.lower(part), tags(part, lexicon)
+    plain = [F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{p})(?![\p{{L}}\p{{N}}_])"), F.lit(label)) for label, p in PLAIN_SKILLS.items()]
+    return F.when(F.size(found) > 0, found).otherwise(F.array_sort(F.array_compact(F.array(*plain))))
+
+
+def strict_reason(
+    title: Column, description: Column, skills: Column, core: list[str], major: list[str], have_years: int, needed: Column | None = None
+) -> Column:
+    """Why a posting is turned down, by the first gate that fails; null where it passes.
+
+    ``skills`` and ``needed``: what it asks for; the years are the least that the text names where they are not given.
+    """
     low, text = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
     starter = contains_any(low, ["sde", "entry", "junior"])
     asked = F.when((F.size(skills) == 0) & starter, F.array(F.lit("Backend"))).otherwise(skills)
     both = F.array_intersect(asked, F.array(*map(F.lit, core)))
-    needed = least_years(description)
+    needed = least_years(description) if needed is None else needed
     return (
         F.when(contains_any(low, WRONG_FIELD), "wrong field")
         .when(needed > have_years + 1, F.concat(F.lit("asks for "), needed.cast("string"), F.lit(" years")))

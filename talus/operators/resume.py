@@ -60,3 +60,21 @@ def search_queries(title: Column, level: Column, skills: Column, place: Column)
 def matched_first(skills: Column, matched: Column) -> Column:
     """A stable partition: matched skills, then the rest."""
     return F.concat(F.filter(skills, lambda x: F.array_contains(matched, x)), F.filter(skills, lambda x: ~F.array_contains(matched, x)))
+
+
+def skills_line(parts: dict[str, Column], every: bool = False) -> Column:
+    """The line of skills of a tailored resume: those present and typed, and with ``every`` the suggestions as well."""
+    line = F.array_union(parts["present"], parts["typed"])
+    return F.array_join(F.array_union(line, parts["suggestions"]) if every else line, ", ")
+
+
+def search_terms(position: Column, titles: Column, skills: Column) -> Column:
+    """Up to six distinct short terms: parts of the position, two titles, four skills. Empty where there are none."""
+    parts = F.split(F.coalesce(position, F.lit("")), r"[,\n;]+")
+    return F.slice(distinct_ignoring_case(F.concat(parts, F.slice(titles, 1, 2), F.slice(skills, 1, 4))), 1, 6)
+
+
+def longest_first(terms: Column) -> Column:
+    """Longer terms first, so that none is found inside another; equal lengths keep their order."""
+    placed = F.transform(terms, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda x: x["x"])
