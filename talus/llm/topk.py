@@ -2,7 +2,8 @@
 
 Every vector is keyed by its nearest pivot and its distance from it; sorted by that key, runs of rows become blocks, and a
 block knows its annulus: the least and largest distance, and its largest norm. A query starts with the block that holds it,
-which gives a k-th best score, and then only visits blocks whose annulus may hold a better one: by the triangle inequality a
+which gives a k-th best score, and then only visits blocks whose annulus may hold a better one. Annuli are tested on four
+numbers a query and three a block; vectors move afterwards, to the pairs that are left. By the triangle inequality a
 member at distance r from pivot p is at least | d(q, p) - r | away from the query, so q.x <= (|q|^2 + |x|^2 - gap^2) / 2, and
 q.x <= q.p + |q| r. Scores are integers below 2^53, so float64 products are exact.
 """
@@ -142,49 +143,71 @@ def search(
                     s = x[at] @ x.T
                     s[ids[at][:, None] == ids[None, :]] = -np.inf
                     floor = -np.sort(-s, axis=1)[:, k - 1] if len(ids) > k else np.full(len(at), -np.inf)
-                    yield {"home": [block], "qids": [ids[at].tobytes()], "qs": [x[at].tobytes()], "floors": [floor.astype("<f8").tobytes()]}
+                    yield {"pack": [block << 3 | start // PACK], "qids": [ids[at].tobytes()], "qs": [x[at].tobytes()], "floors": [floor.astype("<f8").tobytes()]}
 
-    packs = materialise(map_batches(blocks.select("block", "pivot", "ids", "vs"), at_home, "home long, qids binary, qs binary, floors binary"), "query-packs")
+    packs = materialise(map_batches(blocks.select("block", "pivot", "ids", "vs"), at_home, "pack long, qids binary, qs binary, floors binary"), "query-packs")
     annuli = blocks.groupBy("pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"))
     found_rings = [tuple(r) for r in annuli.collect()]  # one for each pivot
     if max(r[3] for r in found_rings) ** 2 >= 2**53:
         raise ValueError("inner products of 2**53 or more are not exact")
     rings = spark.sparkContext.broadcast(found_rings)
 
-    def may_hold(q: np.ndarray, floor: np.ndarray, pivot: int, low: float, high: float, norm: float) -> np.ndarray:
-        """Which queries an annulus may serve."""
-        p = shared.value[pivot]
-        d = np.sqrt(((q - p) ** 2).sum(axis=1))
+    def may_hold(floor: np.ndarray, d: np.ndarray, qp: np.ndarray, qq: np.ndarray, low: float, high: float, norm: float) -> np.ndarray:
+        """Which queries an annulus may serve, from their distance to its pivot, product with it, and own squared norm."""
         gap = np.maximum(np.maximum(low - d, d - high), 0)
-        qq = (q * q).sum(axis=1)
-        top = np.minimum((qq + norm * norm - gap * gap) / 2, q @ p + np.sqrt(qq) * high)
+        top = np.minimum((qq + norm * norm - gap * gap) / 2, qp + np.sqrt(qq) * high)
         return top * (1 + 1e-9) + 1e-3 >= floor
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """A pack goes to each pivot whose whole annulus may serve one of its queries."""
+        """A pack's numbers go to each pivot whose whole annulus may serve one of its queries; its vectors stay."""
         for b in batches:
-            for qids, qs, floors in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for pack, qids, qs, floors in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 floor = np.frombuffer(floors, "<f8")
-                ids = np.frombuffer(qids, "<i8")
-                q = np.frombuffer(qs, "<f8").reshape(len(ids), -1)
+                q = np.frombuffer(qs, "<f8").reshape(len(qids) // 8, -1)
+                qq = (q * q).sum(axis=1)
                 for pivot, low, high, norm in rings.value:
-                    at = may_hold(q, floor, pivot, low, high, norm)
-                    if at.any():
-                        yield {"pivot": [pivot], "qids": [ids[at].tobytes()], "qs": [q[at].tobytes()], "floors": [floor[at].tobytes()]}
+                    p = shared.value[pivot]
+                    facts = np.array([floor, np.sqrt(((q - p) ** 2).sum(axis=1)), q @ p, qq])
+                    at = np.flatnonzero(may_hold(*facts, low, high, norm))
+                    if len(at):
+                        yield {"pivot": [pivot], "pack": [pack], "at": [at.astype("<i4").tobytes()], "facts": [facts[:, at].astype("<f8").tobytes()]}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """The pairs of block and pack whose annulus may serve a query, and which queries."""
+        for b in batches:
+            out: dict[str, list] = {"block": [], "pack": [], "at": []}
+            for block, low, high, norm, pack, at, facts in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+                at = np.frombuffer(at, "<i4")
+                ok = may_hold(*np.frombuffer(facts, "<f8").reshape(4, -1), low, high, norm)
+                if ok.any():
+                    out["block"].append(block)
+                    out["pack"].append(pack)
+                    out["at"].append(at[ok].tobytes())
+            yield out
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """The vectors of a pair's queries."""
+        for b in batches:
+            for block, at, qids, qs, floors in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                at, ids = np.frombuffer(at, "<i4"), np.frombuffer(qids, "<i8")
+                q = np.frombuffer(qs, "<f8").reshape(len(ids), -1)
+                yield {"block": [block], "qids": [ids[at].tobytes()], "qs": [q[at].tobytes()], "floors": [np.frombuffer(floors, "<f8")[at].tobytes()]}
 
-    routed = materialise(map_batches(packs.select("qids", "qs", "floors"), route, "pivot int, qids binary, qs binary, floors binary"), "routed-queries")
-    visits = blocks.join(routed, "pivot").select("pivot", "low", "high", "norm", "ids", "vs", "qids", "qs", "floors")
+    routed = map_batches(packs.select("pack", "qids", "qs", "floors"), route, "pivot int, pack long, at binary, facts binary")
+    places = blocks.select("block", "pivot", "low", "high", "norm").join(routed, "pivot")
+    met = map_batches(places.select("block", "low", "high", "norm", "pack", "at", "facts"), meet, "block long, pack long, at binary")
+    wanted = met.join(packs, "pack").select("block", "at", "qids", "qs", "floors")
+    wanted = map_batches(wanted, picked, "block long, qids binary, qs binary, floors binary")
+    visits = blocks.select("block", "ids", "vs").join(wanted, "block").select("ids", "vs", "qids", "qs", "floors")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
             for row in range(whole.num_rows):
-                pivot, low, high, norm, ids, vs, qids, qs, floors = (whole.column(c)[row].as_py() for c in range(9))
-                floor, qid, ids = np.frombuffer(floors, "<f8"), np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
-                q = np.frombuffer(qs, "<f8").reshape(len(qid), -1)
-                at = may_hold(q, floor, pivot, low, high, norm)
-                if at.any():
-                    found = best_of(q[at], qid[at], floor[at], ids, np.frombuffer(vs, "<f8").reshape(len(ids), -1))
-                    yield {"query_id": found[0], "vec_id": found[1], "score": found[2]}
+                ids, vs, qids, qs, floors = (whole.column(c)[row].as_py() for c in range(5))
+                qid, ids = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
+                q, x = np.frombuffer(qs, "<f8").reshape(len(qid), -1), np.frombuffer(vs, "<f8").reshape(len(ids), -1)
+                found = best_of(q, qid, np.frombuffer(floors, "<f8"), ids, x)
+                yield {"query_id": found[0], "vec_id": found[1], "score": found[2]}
 
     hits = map_batches(visits, visit, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
