@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that are decoded, ampersand last (fixed values).
-ENTITIES = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+from talus.functions.references import unescaped
+
+#: What is trimmed from the ends of texts of pages (fixed values).
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words that say nothing about a search (fixed values).
 KEYWORD_STOP = ["developer", "engineer", "engineering", "the", "and", "for", "with", "senior", "junior", "lead", "sde", "dev"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -14,12 +16,6 @@ PHONE = r"\+?[0-9][0-9 ()-]{7,}[0-9]"
 YEARS = r"(?i)(\d{1,2})\s*\+?\s*(?:years|yrs|yr)\b"
 
 
-def unescaped(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
-
-
 def strip_html(c: Column) -> Column:
     """Running text of an HTML fragment: scripts and styles go, line and paragraph ends become line feeds."""
     c = F.coalesce(c, F.lit(""))
@@ -31,7 +27,7 @@ def strip_html(c: Column) -> Column:
         (r"<[^>]+>", " "),
     ):
         c = F.regexp_replace(c, pattern, by)
-    return F.trim(F.regexp_replace(unescaped(c), r"[ \t]+", " "), F.lit(" \n\t\r"))
+    return F.trim(F.regexp_replace(unescaped(c), r"[ \t]+", " "), F.lit(WHITE))
 
 
 def first_match(c: Column, pattern: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.text import EMAIL, company_key, contains_any, unescaped
+from talus.functions.references import unescaped
+from talus.functions.text import EMAIL, company_key, contains_any
 from talus.operators.companies import COWORKING, AI_NAMES, IT_NAMES, industry_for
 
 # Office kinds with industry and whether the work is technical.

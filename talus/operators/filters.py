@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talus.functions.plan import named
 from talus.functions.text import contains_any, least_years
 from talus.operators.lexicon import Lexicon, tags
 
@@ -38,12 +39,19 @@ POSTING_HOSTS = ["greenhouse.io", "lever.co", "ashbyhq.com", "workable.com", "sm
 
 
 def age_within(date: Column, as_of: Column, hours: int) -> Column:
-    """Unknown and unreadable dates pass; so does everything for 0 hours."""
+    """At most so many hours before ``as_of``. Times without an offset are UTC; unknown and unreadable ones pass, and so does everything for 0 hours.
+
+    A date is read whole, else its first 19 characters, else its first 10.
+    """
     if not hours:
         return F.lit(True)
-    t = F.trim(F.coalesce(date, F.lit("")))
-    at = F.coalesce(F.try_to_timestamp(F.replace(t, F.lit("Z"), F.lit("+00:00"))), F.try_to_timestamp(F.substring(t, 1, 10)))
-    return F.coalesce(F.unix_timestamp(as_of) - F.unix_timestamp(at) <= hours * 3600, F.lit(True))
+
+    def within(t: Column) -> Column:
+        zoned = F.when(t.rlike(r"[0-9]T?[ 0-9:.]*(?:[+-][0-9]{2}:?[0-9]{2})$") & (F.length(t) > 10), F.try_to_timestamp(t))
+        at = F.coalesce(zoned, F.try_to_timestamp(F.concat(F.substring(t, 1, 19), F.lit("Z"))), F.try_to_timestamp(F.concat(F.substring(t, 1, 10), F.lit("T00:00:00Z"))))
+        return F.coalesce(F.unix_timestamp(as_of) - F.unix_timestamp(at) <= hours * 3600, F.lit(True))
+
+    return named(F.replace(F.trim(F.coalesce(date, F.lit(""))), F.lit("Z"), F.lit("+00:00")), within)
 
 
 def level_fits(title: Column, level: str) -> Column:

@@ -92,8 +92,12 @@ _late = ", ".join(
 )
 
 
+#: The references that the pages hold, ampersand last.
+ENTITIES = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+
+
 def _unescape(x: str) -> str:
-    for entity, char in T.ENTITIES:
+    for entity, char in ENTITIES:
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 

@@ -149,3 +149,90 @@ def test_generic_top_relaxes(spark):
     df = spark.createDataFrame(rows, "ord long, job_url string, matched array<string>, base int, score int, days int")
     assert [r.ord for r in rank.generic_top(df, True, 3).collect()] == [5, 4, 3]
     assert rank.generic_top(df, False, 9).collect() == []
+
+
+def test_references_decode_as_an_independent_decoder_says(spark):
+    import html
+    from html.entities import html5
+
+    from talus.functions.references import unescaped
+
+    texts = [f"{a}&{k}{b}" for k in html5 for a, b in (("", ""), ("x", "y&amp;"))]
+    texts += [f"&#{n};" for n in [*range(300), 55296, 57343, 65534, 64976, 131070, 1114111, 1114112, 10**14]] + [f"x&#x{n:X}z" for n in [*range(200), 0x1F600, 0x10FFFF, 0x110000]]
+    texts += ["", "&", "&&&", "& b", "&;", "&#;", "&#x;", "&nosuch;", "&notit;", "&copyreing more;", "&" + "a" * 40 + ";", "&#xZ;", "é&eacute&eacute;日本&#26085;", "&amp;lt;", "&#65&#66;", "a&\tb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescaped(F.col("t")).alias("u")).collect()
+    assert [(r.t, r.u) for r in rows if r.u != html.unescape(r.t)] == []
+    assert one(spark, unescaped(F.lit(None).cast("string"))) is None
+
+
+def _young(rows):
+    return sorted(r.job_url for r in rows.collect())
+
+
+def test_fields_of_many_kinds(spark):
+    import json
+
+    jobs = [
+        {"title": "Backend &amp; API", "seniority": ["Senior", "Mid-level"], "pubDate": 1706140800, "guid": "u1", "locationRestrictions": ["A", None, 3], "description": "<p>x &eacute;</p>"},
+        {"title": "Backend", "seniority": "Senior", "url": "u2"},
+        {"title": "java", "seniority": None, "pubDate": "2024-01-20T23:30:00-05:00", "url": "u3", "locationRestrictions": "no"},
+        {"title": "java", "pubDate": 0, "date": "2024-01-01", "url": "old"},
+        {"title": "java", "pubDate": {"x": 1}, "url": "u4", "company_name": "C"},
+        {"title": "java", "pubDate": "99999999999999", "applicationLink": "", "guid": None, "url": "u5"},
+        {"title": "Gardener", "url": "u6"}, {"title": None, "url": "u7"}, {"title": "java"}, 5, None, "x", [],
+    ]
+    rows = [(1, json.dumps({"jobs": jobs, "data": "x"})), (2, '{"jobs": [{"title": "java", "ur'), (3, None), (4, ""), (5, "[]"), (6, json.dumps({"jobs": [], "data": [{"title": "api", "url": "u8", "pubDate": "1706140800"}]}))]
+    as_of = F.lit("2024-01-30T00:00:00Z").cast("timestamp")
+    df = payloads.himalayas(spark.createDataFrame(rows, "ord long, payload string"), 240, as_of)
+    got = {r.job_url: (r.title, r.company, r.location, r.date_posted, r.description) for r in df.collect()}
+    assert got == {
+        "u1": ("Backend &amp; API", "", "A, None, 3", "2024-01-25", "x é"), "u3": ("java", "", "Remote", "2024-01-20", ""), "u4": ("java", "C", "Remote", '{"x":1}', ""),
+        "u5": ("java", "", "Remote", "9999999999", ""), "u8": ("api", "", "Remote", "2024-01-25", ""),
+    }
+    assert payloads.himalayas(spark.createDataFrame([], "ord long, payload string")).collect() == []
+
+
+def test_times_are_utc_whatever_the_session_says(spark):
+    from talus.operators.filters import age_within
+
+    cases = {"2024-01-29": True, "2024-01-28T23:59:59": False, "2024-01-29T00:30:00+02:00": False, "2024-01-29T02:30:00+02:00": True, "2024-01-29T00:00:00Z": True, "soon": True, "": True, "2024-01-28 23:59:59.999": False, "2024-01-28T23:59:59 and more": False, "2024-01-28x": False}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            as_of = F.lit("2024-01-30T00:00:00Z").cast("timestamp")
+            rows = spark.createDataFrame([(k,) for k in cases], "d string").select("d", age_within(F.col("d"), as_of, 24).alias("ok")).collect()
+            assert {r.d: r.ok for r in rows} == cases
+            assert one(spark, payloads.iso(F.lit(-1).cast("long"))) == "1969-12-31T23:59:59"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_urls_dates_and_comments_of_boards(spark):
+    import json
+
+    def of(x):
+        return spark.createDataFrame([(1, json.dumps(x))], "ord long, payload string")
+
+    as_of = F.lit("2024-01-30T00:00:00Z").cast("timestamp")
+    ashby = [{"title": "Backend", "jobUrl": "a"}, {"title": "Backend", "applyUrl": "b"}, {"title": "Backend", "id": 7}, {"title": "Backend"}, {"title": "Cook", "jobUrl": "c"}]
+    assert _young(payloads.ashby(of({"jobs": ashby}), "Acme", "acme", ["Backend Engineer"])) == ["a", "b", "https://jobs.ashbyhq.com/acme/7"]
+    lever = [{"text": "Backend", "hostedUrl": "old", "createdAt": 1704067200000}, {"text": "Backend", "hostedUrl": "new", "createdAt": 1706486400999}, {"text": "x", "hostedUrl": "late", "descriptionPlain": "y" * 1500 + "backend"}]
+    rows = payloads.lever(of(lever), "Acme", ["backend"], 240, as_of)
+    assert [(r.job_url, r.date_posted, r.description, r.location) for r in rows.collect()] == [("new", "2024-01-29", "Backend at Acme", "—")]
+    comments = [{"id": i, "text": f"Backend {i}<p>more"} for i in range(100)]
+    assert payloads.hackernews(of({"children": comments}), ["backend"]).count() == 80
+    jobicy = [{"jobTitle": "a", "url": "u", "pubDate": "2023-01-01"}, {"jobTitle": "b", "url": "u", "date": "2024-01-29"}, {"jobTitle": "c", "url": "u"}]
+    assert [r.title for r in payloads.jobicy(of({"jobs": jobicy}), 240, as_of).collect()] == ["b"]
+    rok = [{"legal": 1}, {"position": "Cook", "tags": ["golang"], "apply_url": "t"}, {"position": "Cook", "tags": None}, {"position": "SDE", "tags": "x", "url": "s"}]
+    assert _young(payloads.remoteok(of(rok))) == ["s", "t"]
+
+
+def test_fan_in_does_not_depend_on_partitions(spark):
+    a = spark.createDataFrame([(1, "Lead", "u"), (2, "Dev", "v"), (3, "Dev", None), (4, "Dev", "w")], "ord long, title string, job_url string")
+    b = spark.createDataFrame([(1, "Dev", "u", "x"), (2, "Other", "v", "x"), (3, "Dev", "", "x")], "ord long, title string, job_url string, extra string")
+    wanted = [("u", 1, 1), ("v", 0, 2), ("w", 0, 4)]
+    for n in (1, 5):
+        rows = payloads.fan_in([a.repartition(n), b.repartition(n)], "JUNIOR").collect()
+        assert sorted((r.job_url, r["rank"], r.ord) for r in rows) == wanted
+    assert payloads.fan_in([a, b], first_only=False).count() == 5
