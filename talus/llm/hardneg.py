@@ -150,10 +150,13 @@ def packs_of(rows: DataFrame, width: int, per_pack: int) -> DataFrame:
 
 
 def met(blocks: DataFrame, packs: DataFrame, groups: int, visit, schema: str) -> DataFrame:
-    """Every pack meets every block; ``visit(seen)`` is called on (pack, block) rows of a task and yields what it keeps."""
+    """Every pack meets every block; ``visit(seen)`` is called on (pack, block) rows of a task and yields what it keeps.
+
+    Packs are copied to each group, which Spark's estimates do not see, so they are never broadcast.
+    """
     left = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     right = packs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = left.join(right, "g").select("pack", "aids", "alabels", "q", "wanted", "ids", "labels", "cells", "low", "high", "exact")
+    pairs = left.join(right.hint("merge"), "g").select("pack", "aids", "alabels", "q", "wanted", "ids", "labels", "cells", "low", "high", "exact")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
