@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.text import company_key, contains_any
+from talus.session import written
 
 #: Words that tell kinds of business apart, tried in this order (fixed values).
 BUSINESS = {
@@ -89,22 +90,73 @@ def merge(df: DataFrame) -> DataFrame:
 
     def step(rows: DataFrame, key: Column) -> DataFrame:
         best = rows.withColumn("__key", F.coalesce(key, F.concat(F.lit("row "), F.col("ord").cast("string")))).groupBy("__key").agg(
-            F.min(F.struct("ord", *rest)).alias("r"),
+            F.min("ord").alias("ord"),
+            F.min_by(F.struct(*rest), "ord").alias("r"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("source")))).alias("source"),
             F.min_by("website", F.when(_low("website") != "", F.col("ord"))).alias("website"),
         )
-        return best.select("r.*", "source", "website").select(*df.columns)
+        return best.select("ord", "r.*", "source", "website").select(*df.columns)
 
     by_site = step(df, F.when(site != "", F.concat(F.lit("web "), site)))
     place = F.concat_ws("|", F.trim(_low("company_name")), F.format_number("latitude", 4), F.format_number("longitude", 4))
     return step(by_site, F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.concat(F.lit("geo "), place)))
 
 
+def site_key(website: Column) -> Column:
+    """A website without scheme, ``www.`` and closing slashes; null where there is none."""
+    low = F.lower(F.coalesce(website, F.lit("")))
+    return F.when(low != "", F.regexp_replace(F.regexp_replace(low, r"^https?://(www\.)?", ""), r"/+$", ""))
+
+
+def place_key(name: Column, lat: Column, lon: Column) -> Column:
+    """A name and its place to four decimals; null where a coordinate is missing or 0."""
+    known = (lat != 0) & (lon != 0)
+    return F.when(known, F.to_json(F.array(F.lower(F.trim(F.coalesce(name, F.lit("")))), F.bround(lat, 4).cast("string"), F.bround(lon, 4).cast("string"))))
+
+
+def merge_in_order(df: DataFrame) -> DataFrame:
+    """One row for each company by folding the rows in order of ``ord`` (distinct): the first record that has a row's website, else its name and place, takes the row in.
+
+    Only records that stand register their keys: a row that was taken in does not, nor does a website that a record gained,
+    so chains through taken rows stay apart (``merge`` joins them). Sources are in order of arrival; a record without a website
+    gets the first one of its rows. Rows without keys stand.
+
+    No group is gathered. Which rows stand is settled in rounds: a row that comes first among the open rows of each of its
+    keys stands, and the open rows that share a key with it do not. Each round is sums by key over what is still open;
+    there are as many as the longest chain of rows that hang on each other in order. A key has one record at most.
+    """
+    site, place = site_key(F.col("website")), place_key(F.col("company_name"), F.col("latitude"), F.col("longitude"))
+    keyed = written(df.select("ord", site.alias("site"), place.alias("place")), "company-keys")
+    either = F.filter(F.array(F.struct(F.lit("site").alias("kind"), F.col("site").alias("key")), F.struct(F.lit("place").alias("kind"), F.col("place").alias("key"))), lambda k: k["key"].isNotNull())
+    still = written(keyed.select("ord", F.inline(either)), "company-open")
+    heads = keyed.where("site is null and place is null").select("ord", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("key"))
+    while not still.isEmpty():
+        first = still.groupBy("kind", "key").agg(F.min("ord").alias("first"))
+        seen = still.join(first, ["kind", "key"])
+        standing = seen.groupBy("ord").agg(F.min(F.col("ord") == F.col("first")).alias("stands")).where("stands").select("ord")
+        found = written(still.join(standing, "ord").select("ord", "kind", "key"), "company-heads")
+        heads = heads.unionByName(found)
+        taken = still.join(found.select("kind", "key"), ["kind", "key"]).select("ord").distinct()
+        still = written(still.join(taken, "ord", "left_anti"), "company-open")
+    heads = written(heads, "company-heads")
+    of = lambda kind: heads.where(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("ord").alias(f"{kind}_head"))
+    stands = heads.select("ord").distinct().withColumn("head", F.col("ord"))
+    target = F.coalesce("head", F.when(F.col("site_head") < F.col("ord"), F.col("site_head")), F.when(F.col("place_head") < F.col("ord"), F.col("place_head")))
+    owner = keyed.join(of("site"), "site", "left").join(of("place"), "place", "left").join(stands, "ord", "left").select("ord", target.alias("head"))
+    rows = df.join(owner, "ord")
+    named = rows.where(F.coalesce("website", F.lit("")) != "").groupBy("head").agg(F.min_by("website", "ord").alias("website"))
+    origins = rows.select("head", "ord", F.posexplode("source").alias("n", "name")).groupBy("head", "name").agg(F.min(F.struct("ord", "n")).alias("at"))
+    origins = origins.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("source"))
+    merged = df.drop("website", "source").join(named.withColumnRenamed("head", "ord"), "ord", "left").join(origins.withColumnRenamed("head", "ord"), "ord", "left").join(stands.select("ord"), "ord", "left_semi")
+    filled = {"website": F.coalesce("website", F.lit("")), "source": F.coalesce("source", F.array().cast("array<string>"))}
+    return merged.withColumns(filled).select(*df.columns)
+
+
 def name_only(harvested: DataFrame, known: DataFrame) -> DataFrame:
     """Harvested names that no known company has, one row each (first by ``ord``)."""
     keyed = harvested.withColumn("key", company_key(F.col("company_name"))).where("key <> ''")
     left = keyed.join(known.select(company_key(F.col("company_name")).alias("key")).distinct(), "key", "left_anti")
-    return left.groupBy("key").agg(F.min(F.struct("ord", "company_name")).alias("r")).select("key", "r.ord", "r.company_name")
+    return left.groupBy("key").agg(F.min("ord").alias("ord"), F.min_by("company_name", "ord").alias("company_name"))
 
 
 def box(lat: Column, lon: Column, half_lat: Column, half_lon: Column, least: float = 0.02, most: float = 0.13) -> dict[str, Column]:

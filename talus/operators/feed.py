@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The feed's columns (fixed format).
 COLUMNS = ["date_fetched", "title", "company", "location", "site", "date_posted", "job_url", "min_amount", "max_amount", "is_remote", "company_num_employees", "search_term"]
@@ -68,3 +69,35 @@ def write_feed(df: DataFrame, path: str, fetched: str, order: list[Column], rows
     """Overwrite the feed as JSON lines: its first ``rows`` rows by ``order``, with the time and the count before that limit."""
     n = df.agg(F.count(F.lit(1)).alias("count"))
     df.orderBy(*order).limit(rows).crossJoin(F.broadcast(n)).withColumn("fetched_at", F.lit(fetched)).write.mode("overwrite").json(path)
+
+
+def upsert(analyses: DataFrame, path: str, buckets: int = 64) -> None:
+    """Put analyses (job_url, cached_at and what they say) into the table at ``path``: the latest of each url stays.
+
+    The table is cut by a hash of the key, the md5 of the url, into bucket folders; only buckets that a run touches are read
+    and replaced, by dynamic partition overwrite, so a run costs what it brings. Rows merge by their times: a run again, or a
+    late one with stale rows, changes nothing, whatever the order. Equal times keep the row of the greatest reason, so any
+    order gives the same. New files are written aside and moved when the job commits: a run that fails leaves the table.
+    """
+    spark = analyses.sparkSession
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    new = analyses.withColumn("key", F.md5("job_url")).withColumn("bucket", bucket)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
+    old = cached(spark, path, new.schema)
+    both = new if old is None else new.unionByName(old.where(F.col("bucket").isin(touched)))
+    rest = [c for c in new.columns if c not in ("key", "bucket")]
+    facts = [c for c in rest if c not in ("job_url", "cached_at")]
+    latest = both.groupBy("bucket", "key").agg(F.max_by(F.struct(*rest), F.struct("cached_at", *facts)).alias("r"))
+    rows = latest.select("key", *[f"r.{c}" for c in rest], "bucket")
+    rows.repartition("bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def cached(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The table of analyses, None where there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)

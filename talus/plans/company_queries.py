@@ -26,6 +26,10 @@ def company_merge(spark, d):
     return C.merge(_records(spark, d)).select("ord", "website", F.array_join("source", "|").alias("source"))
 
 
+def company_merge_in_order(spark, d):
+    return C.merge_in_order(_records(spark, d)).select("ord", "website", F.array_join("source", "|").alias("source"))
+
+
 def company_name_only(spark, d):
     r = _records(spark, d)
     return C.name_only(r.where("ord % 2 = 0"), r.where("ord % 3 = 0")).select("ord", "key")
@@ -56,7 +60,7 @@ def company_sources(spark, d):
     return C.sources(C.merge(_records(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (company_industries, company_order, company_sources, company_classes, company_names, company_merge, company_name_only, company_boxes, company_types)}
+QUERIES = {f.__name__: f for f in (company_industries, company_order, company_sources, company_classes, company_names, company_merge, company_merge_in_order, company_name_only, company_boxes, company_types)}
 
 
 def _any(text: str, needles: list[str]) -> str:
@@ -94,6 +98,14 @@ ORACLE_SQL = {
       CAST(40 + (CASE WHEN website <> '' THEN 25 ELSE 0 END) + (CASE WHEN address <> '' THEN 10 ELSE 0 END) + (CASE WHEN has_phone THEN 10 ELSE 0 END) + (CASE WHEN industry NOT IN ('Unknown', '') THEN 10 ELSE 0 END) AS INTEGER) AS confidence FROM c""",
     "company_names": f"WITH {_C} SELECT ord, {_KEY} AS company_key, trim(regexp_replace(lower(company_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM c",
     "company_merge": f"WITH {_C}, {_MERGE} SELECT min(ord) AS ord, arg_min(website, CASE WHEN website <> '' THEN ord END) AS website, array_to_string(list_sort(list_distinct(flatten(list(source)))), '|') AS source FROM s2 GROUP BY k",
+    "company_merge_in_order": f"""WITH RECURSIVE {_C}, r AS (SELECT *, row_number() OVER (ORDER BY ord) AS i,
+        CASE WHEN website <> '' THEN 'web ' || rtrim(regexp_replace(lower(website), '^https?://(www\\.)?', ''), '/') END AS wk,
+        CASE WHEN latitude <> 0 AND longitude <> 0 THEN 'geo ' || lower(trim(company_name)) || '|' || round_even(CAST(latitude AS DOUBLE), 4) || '|' || round_even(CAST(longitude AS DOUBLE), 4) END AS gk FROM c),
+      f AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ks, []::BIGINT[] AS hs, 0::BIGINT AS ord, 0::BIGINT AS head
+        UNION ALL SELECT i, CASE WHEN met IS NULL THEN ks || list_filter([wk, gk], lambda v: v IS NOT NULL) ELSE ks END, CASE WHEN met IS NULL THEN hs || list_transform(list_filter([wk, gk], lambda v: v IS NOT NULL), lambda v: ord) ELSE hs END, ord, coalesce(met, ord)
+        FROM (SELECT r.i, r.ord, wk, gk, ks, hs, coalesce(hs[list_position(ks, wk)], hs[list_position(ks, gk)]) AS met FROM f JOIN r ON r.i = f.i + 1)),
+      o AS (SELECT f.head, r.ord, r.website, r.src FROM f JOIN r USING (ord))
+      SELECT head AS ord, coalesce(arg_min(website, CASE WHEN website <> '' THEN ord END), '') AS website, (SELECT string_agg(src, '|' ORDER BY seen) FROM (SELECT src, min(ord) AS seen FROM o p WHERE p.head = o.head GROUP BY src)) AS source FROM o GROUP BY head""",
     "company_name_only": f"WITH {_C} SELECT min(ord) AS ord, {_KEY} AS key FROM c WHERE ord % 2 = 0 AND {_KEY} <> '' AND {_KEY} NOT IN (SELECT {_KEY} FROM c WHERE ord % 3 = 0) GROUP BY 2",
     "company_boxes": f"""WITH {_C}, h AS (SELECT ord, CAST(latitude AS DOUBLE) AS a, CAST(longitude AS DOUBLE) AS b, greatest(0.02, least(0.13, ord % 30 / 100.0)) AS h FROM c WHERE latitude IS NOT NULL)
       SELECT ord, round(CAST(a - h AS DOUBLE), 6) AS south, round(CAST(b - h AS DOUBLE), 6) AS west, round(CAST(a + h AS DOUBLE), 6) AS north, round(CAST(b + h AS DOUBLE), 6) AS east FROM h""",

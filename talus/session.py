@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +29,25 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+
+    Only where that setting is missing and the master is local (tests), a temporary folder becomes the session's own.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="talus-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/talus-core/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: lineage ends there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
