@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from talus.functions.plan import computed_once
+from talus.operators import rank
+from talus.operators.scoring import days_old
+from talus.session import written
+
 #: The feed's columns (fixed format).
 COLUMNS = ["date_fetched", "title", "company", "location", "site", "date_posted", "job_url", "min_amount", "max_amount", "is_remote", "company_num_employees", "search_term"]
 CARRIED_SITES = r"linkedin post|via tavily"
@@ -101,3 +106,36 @@ def cached(spark: SparkSession, path: str, schema: StructType | None = None) ->
         return None
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
+
+
+def ranked(
+    scored: DataFrame, raw: DataFrame, strict: Column, relaxed: Column, delta: Column, fits: Column, as_of: Column, at_least: int = 50, most: int = 1000, analysed: int = 100, floor: int = 50
+) -> DataFrame:
+    """(ord, job_url, place, delta, filled): a feed from scored postings and the raw rows they came from.
+
+    The first posting of each url that passes ``strict`` is kept, or ``relaxed`` where fewer than ``at_least`` do; the
+    ``most`` best by score, age and arrival are ranked, and each stands for the last raw row of its url. The first
+    ``analysed`` of them get ``delta``, a column of that row; then the order is by delta, by the age of that row, and by rank.
+    A feed under ``floor`` is topped up with other raw rows that fit, the first of each url in arrival order.
+
+    Scores are written once, narrow; only as many rows as a feed has are ever in one task.
+    """
+    narrow = scored.select("ord", "job_url", "score", "days", strict.alias("strict"), relaxed.alias("relaxed")).where("strict or relaxed")
+    narrow = written(narrow.where(F.coalesce("job_url", F.lit("")) != ""), "feed-scores")
+    kept = rank.first_wins(narrow.where("strict"), "job_url")
+    if kept.limit(at_least).count() < at_least:
+        kept = rank.first_wins(narrow.where("relaxed"), "job_url")
+    order = [F.desc("score"), F.asc("days"), F.asc("ord")]
+    best = rank.top(kept, most).select("job_url", F.row_number().over(Window.orderBy(*order)).alias("rank"))  # ``most`` rows
+    best = written(best, "feed-ranks")
+    rows = last_wins(raw.join(F.broadcast(best.select("job_url")), "job_url", "left_semi"), "job_url")
+    seen = rows.join(best, "job_url").select("ord", "job_url", "rank", days_old(F.col("date_posted"), as_of).alias("days"), F.when(F.col("rank") <= analysed, delta).otherwise(0).alias("delta"))
+    seen = computed_once(seen)
+    out = seen.select("ord", "job_url", F.row_number().over(Window.orderBy(F.desc("delta"), "days", "rank")).alias("place"), "delta", F.lit(False).alias("filled"))
+    missing = floor - best.count()
+    if missing <= 0:
+        return out
+    others = raw.where(fits & (F.coalesce("job_url", F.lit("")) != "")).groupBy("job_url").agg(F.min("ord").alias("ord"))
+    others = others.join(F.broadcast(best.select("job_url")), "job_url", "left_anti").orderBy("ord").limit(missing)
+    more = others.select("ord", "job_url", (F.lit(floor - missing) + F.row_number().over(Window.orderBy("ord"))).alias("place"), F.lit(0).alias("delta"), F.lit(True).alias("filled"))
+    return out.unionByName(more)

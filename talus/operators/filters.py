@@ -70,26 +70,38 @@ def is_posting_url(url: Column) -> Column:
 
 def required_part(description: Column) -> Column:
     """The sections of a posting that ask for skills, each up to its stop; without any, the posting's opening."""
-    text = F.coalesce(description, F.lit(""))
-    low = F.lower(text)
 
-    def section(start: str) -> Column:
-        at = F.instr(low, start)
-        window = F.substring(text, at, F.lit(SECTION))
-        stops = [F.nullif(F.instr(F.lower(window), stop), F.lit(0)) for stop in SECTION_STOPS]
-        cut = F.least(*[F.when(x > 1, x) for x in stops])
-        return F.when(at > 0, F.concat(F.substring(window, F.lit(1), F.coalesce(cut - 1, F.lit(SECTION))), F.lit("\n")))
+    def parts(t: Column) -> Column:
+        def section(start: str) -> Column:
+            def window(x: Column) -> Column:
+                """``x``: the window of the section, ``low`` in lower case."""
+                cuts = [F.nullif(F.instr(x["low"], stop), F.lit(0)) for stop in SECTION_STOPS]
+                cut = F.least(*[F.when(c > 1, c) for c in cuts])
+                return F.concat(F.substring(x["text"], F.lit(1), F.coalesce(cut - 1, F.lit(SECTION))), F.lit("\n"))
+
+            def found(at: Column) -> Column:
+                held = named(F.substring(t["text"], at, F.lit(SECTION)), lambda w: F.struct(w.alias("text"), F.lower(w).alias("low")))
+                return F.when(at > 0, named(held, window))
+
+            return named(F.instr(t["low"], start), found)
+
+        joined = F.concat_ws("", *map(section, SECTION_STARTS))
+        return F.coalesce(F.nullif(joined, F.lit("")), F.substring(t["text"], 1, OPENING))
 
-    found = F.concat_ws("", *map(section, SECTION_STARTS))
-    return F.when(found != "", found).otherwise(F.substring(text, 1, OPENING))
+    text = F.coalesce(description, F.lit(""))
+    return named(F.struct(text.alias("text"), F.lower(text).alias("low")), parts)
 
 
 def required_skills(description: Column, lexicon: Lexicon) -> Column:
     """Labels that the asking sections hold, sorted; without any, plain names of common skills."""
-    part = required_part(description)
-    low, found = F.lower(part), tags(part, lexicon)
-    plain = [F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{p})(?![\p{{L}}\p{{N}}_])"), F.lit(label)) for label, p in PLAIN_SKILLS.items()]
-    return F.when(F.size(found) > 0, found).otherwise(F.array_sort(F.array_compact(F.array(*plain))))
+
+    def plain(low: Column) -> Column:
+        return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{p})(?![\p{{L}}\p{{N}}_])"), F.lit(label)) for label, p in PLAIN_SKILLS.items()])))
+
+    def asked(part: Column) -> Column:
+        return named(tags(part, lexicon), lambda found: F.when(F.size(found) > 0, found).otherwise(named(F.lower(part), plain)))
+
+    return named(required_part(description), asked)
 
 
 def strict_reason(

@@ -64,8 +64,8 @@ def generic_top(scored: DataFrame, guided: bool, k: int) -> DataFrame:
 
 
 def rerank(df: DataFrame, k: int) -> DataFrame:
-    """By the delta of an analysis down, then as ``top``."""
-    return df.orderBy(F.desc("delta"), F.desc("score"), F.asc("days"), F.asc("ord")).limit(k)
+    """By the delta of an analysis down, then the newest; the earlier rank (score, then arrival) only breaks ties."""
+    return df.orderBy(F.desc("delta"), F.asc("days"), F.desc("score"), F.asc("ord")).limit(k)
 
 
 def strict_stats(df: DataFrame) -> DataFrame:
@@ -76,23 +76,3 @@ def strict_stats(df: DataFrame) -> DataFrame:
 def delta_counts(df: DataFrame) -> DataFrame:
     """One row: how many analyses raise a posting and how many lower it."""
     return df.agg(F.count_if(F.col("delta") > 0).alias("boosted"), F.count_if(F.col("delta") < 0).alias("penalised"))
-
-
-def feed_order(ranked: DataFrame, k: int) -> DataFrame:
-    """The ``k`` first of a feed: by the delta of an analysis, then the newest; the earlier rank only breaks ties. Adds ``place``."""
-    keys = [F.coalesce("delta", F.lit(0)).desc(), F.asc("days"), F.desc("score"), F.asc("ord")]
-    short = ranked.orderBy(*keys).limit(k)
-    return short.withColumn("place", F.row_number().over(Window.orderBy(*keys)))  # k rows
-
-
-def filled(ranked: DataFrame, raw: DataFrame, fits: Column, at_least: int) -> DataFrame:
-    """(ord, job_url, place, filled): ranked rows, topped up to ``at_least`` with other raw rows that fit, in arrival order.
-
-    Only the first ``at_least`` of those are numbered, so no task holds more.
-    """
-    others = first_wins(raw.where(fits), "job_url", drop_blank=True).join(ranked.select("job_url"), "job_url", "left_anti")
-    others = others.select("ord", "job_url").orderBy("ord").limit(at_least)
-    n = ranked.agg(F.count(F.lit(1)).alias("n"))
-    numbered = others.withColumn("more", F.row_number().over(Window.orderBy("ord"))).crossJoin(F.broadcast(n))  # one row
-    more = numbered.where(F.col("more") <= at_least - F.col("n")).select("ord", "job_url", (F.col("n") + F.col("more")).cast("int").alias("place"), F.lit(True).alias("filled"))
-    return ranked.select("ord", "job_url", "place", F.lit(False).alias("filled")).unionByName(more)

@@ -25,17 +25,20 @@ def tailor(resume: Column, job: Column, extra: Column, lexicon: Lexicon) -> dict
     }
 
 
-def split_skills(text: Column, lexicon: Lexicon) -> tuple[Column, Column]:
+def split_skills(text: Column, lexicon: Lexicon) -> Column:
     """(primary, secondary): a skill is secondary if it occurs once, in the last fifth of a text of 400 letters or more."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = tags(text, lexicon)
-    late = []
-    for label, aliases in sorted(lexicon.items()):
-        count = sum((occurrences(low, a.lower()) for a in aliases), F.lit(0))
-        first = F.array_min(F.array(*[F.when(F.locate(a.lower(), low) > 0, F.locate(a.lower(), low) - 1) for a in aliases]))
-        late.append(F.when((count == 1) & (first >= 0.8 * F.length(low)) & (F.length(low) >= 400), F.lit(label)))
-    once = F.array_intersect(found, F.array_compact(F.array(*late)))
-    return F.array_except(found, once), once
+
+    def late(low: Column) -> Column:
+        """Labels of which one alias occurs, once, and late."""
+        out = []
+        for label, aliases in sorted(lexicon.items()):
+            count = sum((F.when(F.contains(low, F.lit(a)), occurrences(low, a)).otherwise(0) for a in (x.lower() for x in aliases)), F.lit(0))
+            first = F.array_min(F.array(*[F.when(F.locate(a.lower(), low) > 0, F.locate(a.lower(), low) - 1) for a in aliases]))
+            out.append(F.when((first >= 0.8 * F.length(low)) & (count == 1), F.lit(label)))
+        return F.when(F.length(low) >= 400, F.array_compact(F.array(*out))).otherwise(F.array().cast("array<string>"))
+
+    both = F.struct(tags(text, lexicon).alias("found"), named(F.lower(F.coalesce(text, F.lit(""))), late).alias("late"))
+    return named(both, lambda b: F.struct(F.array_except(b["found"], b["late"]).alias("primary"), F.array_intersect(b["found"], b["late"]).alias("secondary")))
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.plan import computed_once
-from talus.functions.text import contains_any, first_match, least_years, most_years, occurrences
+from talus.functions.plan import computed_once, named
+from talus.functions.text import EMAIL, PHONE, contains_any, first_match, least_years, most_years, occurrences
 from talus.operators.filters import JUNIOR, SENIOR, is_true
 from talus.operators.lexicon import Lexicon, tags
 
@@ -173,41 +174,63 @@ def generic_score(postings: DataFrame, lexicon: Lexicon, targets: list[str], p:
 
 #: A border between an ASCII word character and another one; what Java takes for a word differs between its versions.
 BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: Pay named in a description, in units of 100,000 (fixed value).
+PAY = r"(?i)([0-9]{1,2})\s*(?:lpa|l|lakhs?|rupees?|₹)"
+
+
+def ascii_borders(pattern: str) -> str:
+    """``pattern`` with ASCII word borders. At its ends, where a word character surely stands beside them, one look is enough."""
+    begins = re.match(r"\\b(?=[A-Za-z0-9_]|\((?:\?:)?[A-Za-z0-9_|]+\))", pattern)
+    ends = re.search(r"(?<=[A-Za-z0-9_])\??\\b$|(?<=[A-Za-z0-9_]\))\\b$", pattern)
+    if ends and ends[0].startswith("?") and not re.search(r"[A-Za-z0-9_]{2}\?\\b$", pattern):
+        ends = None
+    if begins:
+        pattern = "(?<![A-Za-z0-9_])" + pattern[2:]
+    if ends:
+        pattern = pattern[:-2] + "(?![A-Za-z0-9_])"
+    return pattern.replace(r"\b", BORDER)
+
+
+def signal_count(low: Column, patterns: list[str]) -> Column:
+    """How many of the patterns occur in a lower-case text. Their word borders are ASCII ones."""
+    return sum((low.rlike(ascii_borders(p)).cast("int") for p in patterns), F.lit(0))
+
+
+def signals(description: Column, junior: list[str], senior: list[str], mentor: list[str]) -> Column:
+    """(delta, fit) of a description by counts of its signals; a text under 50 letters says nothing. Each pattern is tried once."""
+    text = F.coalesce(description, F.lit(""))
+
+    def counted(low: Column) -> Column:
+        found = {"j": junior, "s": senior, "m": mentor}
+        return F.struct(*[signal_count(low, p).alias(k) for k, p in found.items()], F.regexp_extract(text, PAY, 1).try_cast("int").alias("pay"))
+
+    def judged(c: Column) -> Column:
+        j, s, m, pay = (c[k] for k in ("j", "s", "m", "pay"))
+        raw = (
+            F.when(j >= 2, 12).when(j == 1, 6).otherwise(0)
+            - F.when(s >= 2, 10).otherwise(0)
+            + F.when((m >= 1) & (s >= 1), 8).otherwise(0)
+            + F.when(pay.between(5, 12), 3).when(pay > 15, -5).otherwise(0)
+        )
+        delta = F.when(s >= 3, -20).otherwise(F.greatest(F.lit(-20), F.least(F.lit(15), raw)))
+        return F.struct(delta.alias("delta"), F.when(s >= 3, False).when(raw > 5, True).when(raw < -5, False).alias("fit"))
 
-
-def signal_count(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur. Their word borders are ASCII ones."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((low.rlike(p.replace(r"\b", BORDER)).cast("int") for p in patterns), F.lit(0))
-
-
-def signal_delta(description: Column, junior: list[str], senior: list[str], mentor: list[str]) -> tuple[Column, Column]:
-    """(delta, fit) of a description by counts of its signals; a text under 50 letters says nothing."""
-    j, s, m = (signal_count(description, x) for x in (junior, senior, mentor))
-    pay = F.regexp_extract(F.coalesce(description, F.lit("")), r"(?i)([0-9]{1,2})\s*(?:lpa|l|lakhs?|rupees?|₹)", 1).try_cast("int")
-    raw = (
-        F.when(j >= 2, 12).when(j == 1, 6).otherwise(0)
-        - F.when(s >= 2, 10).otherwise(0)
-        + F.when((m >= 1) & (s >= 1), 8).otherwise(0)
-        + F.when(pay.between(5, 12), 3).when(pay > 15, -5).otherwise(0)
-    )
-    short = F.length(F.trim(F.coalesce(description, F.lit("")))) < 50
-    delta = F.when(short, 0).when(s >= 3, -20).otherwise(F.greatest(F.lit(-20), F.least(F.lit(15), raw)))
-    fit = F.when(short, F.lit(None).cast("boolean")).when(s >= 3, False).when(raw > 5, True).when(raw < -5, False)
-    return delta, fit
+    nothing = F.struct(F.lit(0).alias("delta"), F.lit(None).cast("boolean").alias("fit"))
+    return F.when(F.length(F.trim(text)) < 50, nothing).otherwise(named(named(F.lower(text), counted), judged))
 
 
 def hard_skill_points(resume: Column) -> Column:
     """Up to 35 points; each skill up to twice its points, by plain occurrences. Resumes under 100 letters get none."""
-    low = F.lower(F.coalesce(resume, F.lit("")))
-    total = sum((F.least(occurrences(low, k) * v, F.lit(2 * v)) for k, v in HARD_SKILLS.items()), F.lit(0))
-    return F.when(F.length(F.trim(low)) < 100, 0).otherwise(F.least(F.lit(35), total))
+
+    def points(low: Column) -> Column:
+        total = sum((F.when(F.contains(low, F.lit(k)), F.least(occurrences(low, k) * v, F.lit(2 * v))).otherwise(0) for k, v in HARD_SKILLS.items()), F.lit(0))
+        return F.when(F.length(F.trim(low)) < 100, 0).otherwise(F.least(F.lit(35), total))
+
+    return named(F.lower(F.coalesce(resume, F.lit(""))), points)
 
 
 def contact_points(resume: Column) -> Column:
     """5 points each for an e-mail address and a telephone number."""
-    from talus.functions.text import EMAIL, PHONE
-
     return F.when(first_match(resume, EMAIL) != "", 5).otherwise(0) + F.when(first_match(resume, PHONE) != "", 5).otherwise(0)
 
 

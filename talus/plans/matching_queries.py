@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talus.functions.plan import computed_once
 from talus.functions.text import stated_years
-from talus.operators import filters, rank
+from talus.operators import feed, filters
 from talus.operators import resume as R
 from talus.plans import posting_queries as Q
 from talus.plans.adapters import postings
 from talus.plans.text_queries import LEXICON, tags_sql
 
 CORE, MAJOR = ["Docker", "Java", "Python", "Spring"], ["Java", "Python"]
-FLOOR, FEED = 120, 60
+AT_LEAST, MOST, ANALYSED, FLOOR = 500, 400, 100, 450
 
 
 def _asking(spark, d):
@@ -29,24 +30,22 @@ def required_gates(spark, d):
 
 
 def ranked_feed(spark, d):
-    """Gate, relax, order by analyses and age, then fill from the rest up to a floor."""
-    delta, _ = Q._signals()
+    """Gate, relax, rank by score, analyse the first, order by analysis and age, then fill from the rest up to a floor."""
     ok, ratio = F.col("reason").isNull(), F.coalesce("skill_ratio", F.lit(1.0))
-    scored = computed_once(Q._scored(spark, d).withColumn("delta", delta).select("ord", "job_url", "delta", "score", "days", "reason", "skill_ratio"))
-    kept = rank.first_wins(rank.relax(scored, ok & (ratio >= 0.6), ok & (ratio >= 0.34), 500), "job_url", drop_blank=True)
-    ranked = rank.feed_order(kept, FEED)
     fits = F.contains(F.lower("description"), F.lit("python"))
-    return rank.filled(ranked, postings(spark, d), fits, FLOOR).select("ord", "place", "filled")
+    rows = feed.ranked(Q._scored(spark, d), postings(spark, d), ok & (ratio >= 0.6), ok & (ratio >= 0.34), Q._signals()["delta"], fits, Q.as_of(), AT_LEAST, MOST, ANALYSED, FLOOR)
+    return rows.select("ord", "place", "delta", "filled")
 
 
 def tailor_all(spark, d):
-    """Every document against one job text, and every job text used: documents are dealt over all item ids."""
+    """Every document against one job text, and every job text used: documents are dealt over the row numbers of the items."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     jobs = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("text").alias("job"), "item_id")
-    n = jobs.agg((F.max("item_id") + 1).alias("n"))
-    dealt = docs.crossJoin(F.broadcast(n)).withColumn("item_id", F.pmod("doc_id", "n"))  # one row
+    numbers = jobs.select("item_id").withColumn("nth", F.row_number().over(Window.orderBy("item_id")) - 1)  # ids alone
+    jobs, n = jobs.join(numbers, "item_id"), jobs.count()
+    dealt = docs.withColumn("nth", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(max(n, 1))))
     out = R.tailor(F.col("text"), F.col("job"), F.lit("c++ and"), LEXICON)
-    lines = dealt.join(jobs, "item_id").select("doc_id", "item_id", *[v.alias(k) for k, v in out.items()])
+    lines = dealt.join(jobs, "nth").select("doc_id", "item_id", *[v.alias(k) for k, v in out.items()])
     parts = {k: F.col(k) for k in out}
     return lines.select("doc_id", "item_id", R.skills_line(parts).alias("line"), R.skills_line(parts, True).alias("whole_line"))
 
@@ -79,12 +78,15 @@ _REASON = Q._STRICT.replace(f"coalesce(list_min({Q._DESC_YEARS}), 0)", "needed")
 
 ORACLE_SQL = {
     "required_gates": f"WITH {_ASKING} SELECT ord, coalesce(array_to_string(k, '|'), '') AS asked, needed, {_REASON} AS reason FROM t",
-    "ranked_feed": f"""WITH {Q._SCORED}, n AS (SELECT count(*) < 500 AS was_relaxed FROM s WHERE reason IS NULL AND coalesce(skill_ratio, 1.0) >= 0.6),
-      q AS (SELECT s.*, delta FROM s JOIN {Q._DELTAS} AS d ON s.ord = d.ord, n WHERE reason IS NULL AND job_url <> '' AND (coalesce(skill_ratio, 1.0) >= 0.6 OR (was_relaxed AND coalesce(skill_ratio, 1.0) >= 0.34))
-        QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY s.ord) = 1),
-      o AS (SELECT ord, job_url, row_number() OVER (ORDER BY delta DESC, days, score DESC, ord) AS place FROM q QUALIFY place <= {FEED}),
-      m AS (SELECT ord, row_number() OVER (ORDER BY ord) AS more FROM (SELECT min(ord) AS ord, job_url FROM p WHERE contains(lower(description), 'python') AND job_url <> '' GROUP BY job_url) WHERE job_url NOT IN (SELECT job_url FROM o))
-      SELECT ord, CAST(place AS INTEGER) AS place, FALSE AS filled FROM o UNION ALL SELECT ord, CAST(more + (SELECT count(*) FROM o) AS INTEGER), TRUE FROM m WHERE more <= {FLOOR} - (SELECT count(*) FROM o)""",
+    "ranked_feed": f"""WITH {Q._SCORED}, open_rows AS (SELECT *, coalesce(skill_ratio, 1.0) AS r FROM s WHERE reason IS NULL AND job_url <> ''),
+      few AS (SELECT count(DISTINCT job_url) < {AT_LEAST} AS thin FROM open_rows WHERE r >= 0.6),
+      firsts AS (SELECT open_rows.* FROM open_rows, few WHERE r >= 0.6 OR (thin AND r >= 0.34) QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1),
+      best AS (SELECT job_url, row_number() OVER (ORDER BY score DESC, days, ord) AS rank FROM firsts QUALIFY rank <= {MOST}),
+      lasts AS (SELECT job_url, max(ord) AS ord FROM p GROUP BY job_url), ages AS (SELECT ord, days FROM ({Q.ORACLE_SQL["facts"]})),
+      judged AS (SELECT lasts.ord, rank, ages.days, CASE WHEN rank <= {ANALYSED} THEN d.delta ELSE 0 END AS delta FROM best JOIN lasts USING (job_url) JOIN {Q._DELTAS} AS d ON d.ord = lasts.ord JOIN ages ON ages.ord = lasts.ord),
+      others AS (SELECT min(ord) AS ord FROM p WHERE contains(lower(description), 'python') AND job_url <> '' AND job_url NOT IN (SELECT job_url FROM best) GROUP BY job_url)
+      SELECT ord, CAST(row_number() OVER (ORDER BY delta DESC, days, rank) AS INTEGER) AS place, delta, FALSE AS filled FROM judged
+      UNION ALL SELECT ord, CAST((SELECT count(*) FROM best) + more AS INTEGER), 0, TRUE FROM (SELECT ord, row_number() OVER (ORDER BY ord) AS more FROM others) WHERE more <= {FLOOR} - (SELECT count(*) FROM best)""",
     "tailor_all": f"""WITH t AS (SELECT d.doc_id, b.item_id, {tags_sql('d.text', LEXICON)} AS have, {tags_sql('b.text', LEXICON)} AS asked, {tags_sql("'c++ and'", LEXICON)} AS typed
       FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
       u AS (SELECT *, list_filter(asked, lambda v: list_contains(have, v)) || list_filter(typed, lambda v: NOT list_contains(have, v)) AS line FROM t)

@@ -53,12 +53,12 @@ def facts(spark, d):
 
 
 def _signals():
-    return scoring.signal_delta(F.col("description"), [r"\bbe\b", r"\bthe\b", r"\b2\s*-\s*3\s*years?\b"], [r"\bof\b", r"\bto\b", r"\bsich\b"], [r"\bwe\s+(?:mentor|coach|guide)\b"])
+    """(delta, fit) of a description."""
+    return scoring.signals(F.col("description"), [r"\bbe\b", r"\bthe\b", r"\b2\s*-\s*3\s*years?\b"], [r"\bof\b", r"\bto\b", r"\bsich\b"], [r"\bwe\s+(?:mentor|coach|guide)\b"])
 
 
 def signal_delta(spark, d):
-    delta, fit = _signals()
-    return postings(spark, d).select("ord", delta.alias("delta"), fit.alias("fit"))
+    return computed_once(postings(spark, d).select("ord", _signals().alias("s"))).select("ord", "s.delta", "s.fit")
 
 
 def top_postings(spark, d):
@@ -153,17 +153,13 @@ def strict_stats(spark, d):
     return rank.strict_stats(_reasons(spark, d))
 
 
-def _with_delta(spark, d):
-    delta, _ = _signals()
-    return _scored(spark, d).withColumn("delta", delta).select("ord", "delta", "score", "days", "reason")
-
-
 def reranked(spark, d):
-    return rank.rerank(_with_delta(spark, d).where("reason is null"), K).select("ord", "delta", "score")
+    kept = computed_once(_scored(spark, d).where("reason is null").select("ord", "score", "days", _signals()["delta"].alias("delta")))
+    return rank.rerank(kept, K).select("ord", "delta", "score")
 
 
 def delta_counts(spark, d):
-    return rank.delta_counts(_with_delta(spark, d))
+    return rank.delta_counts(signal_delta(spark, d))
 
 
 def score_labels(spark, d):
@@ -264,7 +260,7 @@ ORACLE_SQL |= {
       q AS (SELECT z.* FROM z, n WHERE base >= 60 OR hits >= (CASE WHEN enough < 5 THEN 1 ELSE 2 END) QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1)
       SELECT ord, base, score FROM q ORDER BY score DESC, days, ord LIMIT {K}""",
     "strict_stats": f"WITH {_REASONS} SELECT count(*) AS total, count(*) FILTER (reason IS NULL) AS kept, count(DISTINCT job_url) FILTER (reason IS NOT NULL) AS rejected FROM r",
-    "reranked": f"WITH {_SCORED} SELECT s.ord, delta, score FROM s JOIN {_DELTAS} AS d ON s.ord = d.ord WHERE reason IS NULL ORDER BY delta DESC, score DESC, days, s.ord LIMIT {K}",
+    "reranked": f"WITH {_SCORED} SELECT s.ord, delta, score FROM s JOIN {_DELTAS} AS d ON s.ord = d.ord WHERE reason IS NULL ORDER BY delta DESC, days, score DESC, s.ord LIMIT {K}",
     "delta_counts": f"SELECT count(*) FILTER (delta > 0) AS boosted, count(*) FILTER (delta < 0) AS penalised FROM {_DELTAS}",
     "score_labels": f"WITH {_SCORED} SELECT ord, {_LABEL} AS label, {_COLOUR} AS colour FROM s",
     "stated_years": rf"""WITH {_P} SELECT ord, coalesce(list_min(list_filter(list_transform(regexp_extract_all(description, '(?i)([0-9]+)\s*[+-]?[^\n]*?years?', 1), lambda v: try_cast(v AS INTEGER)), lambda v: v <= 20)), 0) AS years FROM p""",

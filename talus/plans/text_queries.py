@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions import text as T
+from talus.functions.plan import computed_once
 from talus.operators import lexicon as L
 from talus.operators import resume as R
 from talus.operators.scoring import contact_points, hard_skill_points
@@ -35,8 +36,8 @@ def lexicon_tags(spark, d):
 
 
 def skill_split(spark, d):
-    first, second = R.split_skills(F.col("text"), LEXICON)
-    return _read(spark, d, "documents").select("doc_id", F.array_join(first, "|").alias("primary_tags"), F.array_join(second, "|").alias("secondary_tags"))
+    rows = computed_once(_read(spark, d, "documents").select("doc_id", R.split_skills(F.col("text"), LEXICON).alias("s")))
+    return rows.select("doc_id", F.array_join("s.primary", "|").alias("primary_tags"), F.array_join("s.secondary", "|").alias("secondary_tags"))
 
 
 def keyword_filter(spark, d):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from talus.operators import discovery as D
-from talus.operators import filters, rank
+from talus.operators import filters
 from talus.operators import resume as R
 
 
@@ -71,12 +71,38 @@ def test_required_skills_come_from_their_sections(spark):
     assert one(spark, filters.required_skills(F.lit(None).cast("string"), lexicon)) == []
 
 
-def test_feed_is_filled_to_its_floor(spark):
-    raw = spark.createDataFrame([(i, f"u{i % 6}", "python" if i % 2 else "java") for i in range(12)], "ord long, job_url string, description string")
-    ranked = spark.createDataFrame([(1, "u1", 1)], "ord long, job_url string, place int")
-    got = rank.filled(ranked, raw, F.col("description") == "python", 3).orderBy("place").collect()
-    assert [(r.ord, r.place, r.filled) for r in got] == [(1, 1, False), (3, 2, True), (5, 3, True)]
-    assert rank.filled(ranked, raw, F.lit(True), 1).count() == 1
+def test_feed_is_ranked_analysed_and_filled(spark):
+    from talus.operators import feed
+
+    rows = [
+        (1, "a", "python", 90, "2024-01-10", True), (2, "b", "java", 80, "2024-01-20", True), (3, "c", "python", 70, "2024-01-29", False), (4, "a", "late a", 10, "2024-01-02", True),
+        (5, "d", "python", 60, "2024-01-28", True), (6, "", "python", 99, "2024-01-28", True), (7, "e", "python", 50, "2024-01-28", None), (8, "e", "python", 50, "2024-01-28", None), (9, "f", "ruby", 50, None, None),
+    ]
+    df = spark.createDataFrame(rows, "ord long, job_url string, description string, score int, date_posted string, ok boolean").withColumn("days", F.lit(3))
+    as_of, delta = F.lit("2024-01-30").cast("date"), F.length("description")
+    fits = F.col("description") == "python"
+
+    def of(**how):
+        got = feed.ranked(df, df, F.coalesce("ok", F.lit(False)), F.col("ok").isNotNull(), delta, fits, as_of, **how).orderBy("place").collect()
+        return [(r.ord, r.place, r.delta, r.filled) for r in got]
+
+    assert of(at_least=3, floor=0) == [(5, 1, 6, False), (4, 2, 6, False), (2, 3, 4, False)]  # the last row of a, with its text and age
+    assert of(at_least=4, floor=0) == [(3, 1, 6, False), (5, 2, 6, False), (4, 3, 6, False), (2, 4, 4, False)]  # relaxed
+    assert of(at_least=3, floor=0, analysed=1) == [(4, 1, 6, False), (5, 2, 0, False), (2, 3, 0, False)]
+    assert of(at_least=3, floor=0, most=1) == [(4, 1, 6, False)]
+    assert of(at_least=3, floor=4) == [(5, 1, 6, False), (4, 2, 6, False), (2, 3, 4, False), (3, 4, 0, True)]
+    assert of(at_least=3, floor=9)[3:] == [(3, 4, 0, True), (7, 5, 0, True)]
+
+
+def test_borders_of_patterns_are_ascii(spark):
+    from talus.operators import scoring
+
+    cases = {r"\bbe\b": ["be", "x be.", "ébe", "be1", "abe", "be_"], r"\b2\s*-\s*3\s*years?\b": ["2-3 years", "2 - 3 year", "12-3 years", "2-3 yearsx", "2-3 yearé"], r"\bwe\s+(?:mentor|coach)\b": ["we mentor", "we  coaches", "owe mentor"], r"c\+\+\b": ["c++a", "c++ "], r"\b\+1": ["a+1", " +1"]}
+    import re
+
+    for pattern, texts in cases.items():
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scoring.signal_count(F.col("t"), [pattern]).alias("n")).collect()
+        assert {r.t: r.n for r in rows} == {t: int(re.search(pattern, t, re.ASCII) is not None) for t in texts}
 
 
 def test_lines_and_terms(spark):
