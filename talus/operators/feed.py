@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from talus.functions.plan import computed_once
+from talus.functions.plan import computed_once, named
 from talus.operators import rank
 from talus.operators.scoring import days_old
 from talus.session import written
@@ -70,10 +70,32 @@ def to_analyse(jobs: DataFrame, cache: DataFrame, as_of: Column, days: int = 7)
     return jobs.withColumn("key", F.md5("job_url")).join(young, "key", "left_anti")
 
 
-def write_feed(df: DataFrame, path: str, fetched: str, order: list[Column], rows: int = 1000) -> None:
-    """Overwrite the feed as JSON lines: its first ``rows`` rows by ``order``, with the time and the count before that limit."""
+def envelope(df: DataFrame, fetched: str, order: list[Column], rows: int = 1000) -> DataFrame:
+    """One row, ``payload``: the feed as JSON, ``{fetched_at, count, jobs}``. ``jobs`` are the first ``rows`` by ``order``; the count is of all."""
     n = df.agg(F.count(F.lit(1)).alias("count"))
-    df.orderBy(*order).limit(rows).crossJoin(F.broadcast(n)).withColumn("fetched_at", F.lit(fetched)).write.mode("overwrite").json(path)
+    first = df.orderBy(*order).limit(rows)
+    placed = first.select(F.struct(F.row_number().over(Window.orderBy(*order)).alias("place"), F.struct(*COLUMNS).alias("job")).alias("r"))  # ``rows`` rows
+    jobs = placed.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["job"]).alias("jobs"))
+    return n.crossJoin(jobs).select(F.to_json(F.struct(F.lit(fetched).alias("fetched_at"), "count", "jobs")).alias("payload"))  # one row each
+
+
+def write_feed(df: DataFrame, path: str, fetched: str, order: list[Column], rows: int = 1000) -> None:
+    """Overwrite the feed at ``path`` with its envelope, one JSON text."""
+    envelope(df, fetched, order, rows).coalesce(1).write.mode("overwrite").text(path)
+
+
+def csv_lines(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(place columns of ``order``, line): rows as CSV, arrays joined by "; ", quoted only where a comma, quote or line end asks for it; null is empty.
+
+    The header is ``",".join(columns)``; Spark writes the lines of each part in order.
+    """
+    kinds = dict(df.dtypes)
+
+    def cell(c: str) -> Column:
+        value = F.array_join(c, "; ") if kinds[c].startswith("array") else F.col(c).cast("string")
+        return named(F.coalesce(value, F.lit("")), lambda v: F.when(v.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v))
+
+    return df.select(*order, F.concat_ws(",", *map(cell, columns)).alias("line"))
 
 
 def upsert(analyses: DataFrame, path: str, buckets: int = 64) -> None:
