@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,6 +99,11 @@ def contains_any(c: Column, needles: list[str]) -> Column:
     return out
 
 
+def names_any(c: Column, needles: list[str]) -> Column:
+    """As ``contains_any``, for short texts and many needles: one pattern, so the text is computed once."""
+    return c.rlike("|".join(re.escape(n) for n in needles))
+
+
 def occurrences(c: Column, needle: str) -> Column:
     """Times that a non-empty string occurs, without overlaps."""
     return ((F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.text import company_key, contains_any
+from talus.functions.text import company_key, contains_any, names_any
 from talus.session import written
 
 #: Words that tell kinds of business apart, tried in this order (fixed values).
@@ -188,7 +188,7 @@ FIRST = ["IT / Software", "AI / ML"]
 def industry_for(name: Column, default: Column) -> Column:
     """A harvested name's industry: artificial intelligence before software before the default."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(name, F.lit(""))), F.lit(" "))
-    return F.when(F.coalesce(name, F.lit("")).rlike(AI_NAMES), FIRST[1]).when(contains_any(padded, IT_NAMES), FIRST[0]).otherwise(default)
+    return F.when(F.coalesce(name, F.lit("")).rlike(AI_NAMES), FIRST[1]).when(names_any(padded, IT_NAMES), FIRST[0]).otherwise(default)
 
 
 def best_first(df: DataFrame, k: int) -> DataFrame:

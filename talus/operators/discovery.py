@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.functions.plan import computed_once, named
 from talus.functions.references import unescaped
-from talus.functions.text import EMAIL, company_key, contains_any
+from talus.functions.text import EMAIL, company_key, contains_any, names_any
 from talus.operators.companies import COWORKING, AI_NAMES, IT_NAMES, industry_for
 
 # Office kinds with industry and whether the work is technical.
@@ -208,13 +209,17 @@ def names_in(text: Column) -> Column:
     clean = F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "), F.lit(" .,-")))
 
     def fits(x: Column) -> Column:
-        low = F.lower(x)
-        first = F.substring_index(low, " ", 1)
-        return F.length(x).between(5, 60) & F.contains(x, F.lit(" ")) & ~first.isin(NOT_FIRST) & ~contains_any(low, NOT_IN_NAMES)
+        """``x``: a name and its lower-case form."""
+        first = F.substring_index(x["low"], " ", 1)
+        return F.length(x["name"]).between(5, 60) & F.contains(x["name"], F.lit(" ")) & ~first.isin(NOT_FIRST) & ~names_any(x["low"], NOT_IN_NAMES)
 
-    kept = F.filter(clean, fits)
-    low = F.transform(kept, lambda x: F.lower(x))
-    return F.slice(F.filter(kept, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, NAMES)
+    both = F.transform(clean, lambda x: F.struct(x.alias("name"), F.lower(x).alias("low")))
+
+    def once(kept: Column) -> Column:
+        named_low = F.transform(kept, lambda x: x["low"])
+        return F.slice(F.transform(F.filter(kept, lambda x, i: F.array_position(named_low, x["low"]) == i + 1), lambda x: x["name"]), 1, NAMES)
+
+    return named(F.filter(both, fits), once)
 
 
 def title_name(title: Column) -> Column:
@@ -225,7 +230,7 @@ def title_name(title: Column) -> Column:
 
 
 def is_directory(host: Column) -> Column:
-    return contains_any(F.lower(F.coalesce(host, F.lit(""))), DIRECTORIES)
+    return names_any(F.lower(F.coalesce(host, F.lit(""))), DIRECTORIES)
 
 
 def harvest(results: DataFrame, industry: str) -> DataFrame:
@@ -239,8 +244,8 @@ def harvest(results: DataFrame, industry: str) -> DataFrame:
     own = own.groupBy("host").agg(F.min_by(F.struct("ord", "title", "url"), "ord").alias("r"))
     sites = own.select("r.ord", F.lit(-1).alias("pos"), title_name(F.col("r.title")).alias("company_name"), F.substring_index("r.url", "?", 1).alias("website"))
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    named = results.select("ord", F.posexplode(names_in(text)).alias("pos", "company_name")).withColumn("website", F.lit(""))
-    rows = sites.where("company_name is not null").unionByName(named).withColumn("key", company_key(F.col("company_name")))
+    met = results.select("ord", F.posexplode(names_in(text)).alias("pos", "company_name")).withColumn("website", F.lit(""))
+    rows = computed_once(sites.where("company_name is not null").unionByName(met).withColumn("key", company_key(F.col("company_name"))))
     first = rows.groupBy("key").agg(F.min_by(F.struct("ord", "company_name", "website"), F.struct("ord", "pos")).alias("r"))
     return first.select("key", "r.*", industry_for(F.col("r.company_name"), F.lit(industry)).alias("industry"))
 

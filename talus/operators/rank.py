@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.functions.plan import computed_once
+
 
 def first_wins(df: DataFrame, key: str, drop_blank: bool = False) -> DataFrame:
     """The first row of each key. The winner's ordinal is a partial minimum, so a hot key is not gathered in one task."""
@@ -76,3 +78,36 @@ def strict_stats(df: DataFrame) -> DataFrame:
 def delta_counts(df: DataFrame) -> DataFrame:
     """One row: how many analyses raise a posting and how many lower it."""
     return df.agg(F.count_if(F.col("delta") > 0).alias("boosted"), F.count_if(F.col("delta") < 0).alias("penalised"))
+
+
+#: Rejected rows that a run reports (part of the feature).
+REPORTED = 40
+
+
+def turned_down(ratio: float, least: int) -> Column:
+    """Why a scored posting is not kept, by the first gate that fails: skills, then ``reason``, then the score; null where it is."""
+    part, whole = F.bround(F.col("skill_ratio") * 100).cast("int").cast("string"), str(round(ratio * 100))
+    low = F.concat(F.lit("score "), F.col("score").cast("string"), F.lit(f" of {least}"))
+    return F.when(F.col("skill_ratio") < ratio, F.concat(F.lit("skills "), part, F.lit(f"% of {whole}%"))).when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("score") < least, low)
+
+
+def run(scored: DataFrame, k: int, strict: tuple[float, int] = (0.6, 50), relaxed: tuple[float, int] = (0.5, 0), at_least: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, rejected, summary) of a matching run over scored postings (with title, company and site).
+
+    Postings without a url are left out. The gates are ratio of skills and score; where the strict ones keep fewer urls than
+    ``at_least`` (or ``k``, if that is less) the relaxed ones decide. jobs: ``k`` of the ``4 k`` best, diversified by site, with
+    ``place``. rejected: the first rows that are not kept, with the reason, in arrival order. summary: one row with the counts,
+    whether it was relaxed, and the ratio. Both gates are columns of one plan, and the decision is one count.
+    """
+    rows = scored.select("ord", "title", "company", "site", "job_url", "score", "days", "skill_ratio", "reason")
+    rows = computed_once(rows.withColumns({"strict_reason": turned_down(*strict), "relaxed_reason": turned_down(*relaxed)}))
+    named = rows.where(F.coalesce("job_url", F.lit("")) != "")
+    few = named.agg((F.count_distinct(F.when(F.col("strict_reason").isNull(), F.col("job_url"))) < min(at_least, k)).alias("relaxed"))
+    judged = named.crossJoin(F.broadcast(few)).withColumn("why", F.when(F.col("relaxed"), F.col("relaxed_reason")).otherwise(F.col("strict_reason")))  # one row
+    jobs = diversify(first_wins(judged.where("why is null").drop("strict_reason", "relaxed_reason", "relaxed", "why", "reason", "skill_ratio"), "job_url"), k)
+    rejected = judged.where("why is not null").select("ord", "title", "company", "site", F.col("why").alias("reason")).orderBy("ord").limit(REPORTED)
+    kept = F.least(F.lit(k), F.count_distinct(F.when(F.col("why").isNull(), F.col("job_url"))))
+    counts = judged.agg(kept.alias("kept"), F.count_if(F.col("why").isNotNull()).alias("rejected_count"), F.coalesce(F.max("relaxed"), F.lit(False)).alias("relaxed"))
+    ratio = F.when(F.col("relaxed"), relaxed[0]).otherwise(strict[0])
+    summary = scored.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(F.broadcast(counts)).withColumn("min_ratio", ratio)  # one row each
+    return jobs, rejected, summary

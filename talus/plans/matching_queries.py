@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions.plan import computed_once
 from talus.functions.text import stated_years
-from talus.operators import feed, filters
+from talus.operators import feed, filters, rank
 from talus.operators import resume as R
 from talus.plans import posting_queries as Q
 from talus.plans.adapters import postings
@@ -37,6 +37,21 @@ def ranked_feed(spark, d):
     return rows.select("ord", "place", "delta", "filled")
 
 
+def match_jobs(spark, d):
+    return rank.run(Q._scored(spark, d), 30)[0].select("place", "ord", "site", "score")
+
+
+def match_rejected(spark, d):
+    return rank.run(Q._scored(spark, d), 30)[1]
+
+
+def match_summary(spark, d):
+    """A run that keeps enough by its strict gates, and one that has to relax them."""
+    scored = Q._scored(spark, d)
+    both = [rank.run(scored, k, at_least=n)[2].withColumn("k", F.lit(k)) for k, n in ((30, 15), (1_000_000, 1_000_000))]
+    return both[0].unionByName(both[1])
+
+
 def tailor_all(spark, d):
     """Every document against one job text, and every job text used: documents are dealt over the row numbers of the items."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -56,7 +71,7 @@ def search_terms(spark, d):
     return postings(spark, d).select("ord", F.array_join(terms, "|").alias("terms"), F.array_join(R.longest_first(terms), "|").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (required_gates, ranked_feed, tailor_all, search_terms)}
+QUERIES = {f.__name__: f for f in (required_gates, ranked_feed, match_jobs, match_rejected, match_summary, tailor_all, search_terms)}
 
 _TEXT = "CASE ord % 3 WHEN 1 THEN 'Must have: docker ' || chr(10) || chr(10) || description WHEN 2 THEN substring(description, 8) ELSE description END"
 
@@ -76,7 +91,22 @@ _ASKING = rf"""{Q._P}, a AS (SELECT * REPLACE ({_TEXT} AS description) FROM p),
   coalesce(list_min(list_filter(list_transform(regexp_extract_all(description, '(?i)([0-9]+)\s*[+-]?[^\n]*?years?', 1), lambda v: try_cast(v AS INTEGER)), lambda v: v <= 20)), 0) AS needed FROM e)"""
 _REASON = Q._STRICT.replace(f"coalesce(list_min({Q._DESC_YEARS}), 0)", "needed")
 
+
+
+def _why(ratio: float, least: int) -> str:
+    whole = round(ratio * 100)
+    return f"CASE WHEN skill_ratio < {ratio} THEN 'skills ' || CAST(round_even(skill_ratio * 100, 0) AS INTEGER) || '% of {whole}%' WHEN reason IS NOT NULL THEN reason WHEN score < {least} THEN 'score ' || score || ' of {least}' END"
+
+
+_RUN = f"{Q._SCORED}, why_rows AS (SELECT s.ord, p.title, p.company, p.site, s.job_url, s.score, s.days, {_why(0.6, 50)} AS w1, {_why(0.5, 0)} AS w2 FROM s JOIN p ON p.ord = s.ord WHERE s.job_url <> '')"
+
 ORACLE_SQL = {
+    "match_jobs": f"""WITH {_RUN}, t AS (SELECT *, first_value(ord) OVER (PARTITION BY job_url ORDER BY ord) = ord AS lead FROM why_rows WHERE w1 IS NULL), b AS (SELECT * FROM t WHERE lead ORDER BY score DESC, days, ord LIMIT 120),
+      u AS (SELECT *, row_number() OVER z AS turn, first_value(days) OVER z AS d1, first_value(ord) OVER z AS o1 FROM b WINDOW z AS (PARTITION BY score, site ORDER BY days, ord)), v AS (SELECT *, row_number() OVER (ORDER BY score DESC, turn, d1, o1) AS place FROM u)
+      SELECT CAST(place AS INTEGER) AS place, ord, site, score FROM v WHERE place <= 30""",
+    "match_rejected": f"WITH {_RUN} SELECT ord, title, company, site, w1 AS reason FROM why_rows WHERE w1 IS NOT NULL ORDER BY ord LIMIT 40",
+    "match_summary": f"""WITH {_RUN}, n AS (SELECT count(*) AS fetched FROM p) SELECT n.fetched, CAST(least(30, count(DISTINCT job_url) FILTER (w1 IS NULL)) AS BIGINT) AS kept, count(*) FILTER (w1 IS NOT NULL) AS rejected_count, FALSE AS relaxed, CAST(0.6 AS DOUBLE) AS min_ratio, CAST(30 AS INTEGER) AS k FROM why_rows, n GROUP BY fetched
+      UNION ALL SELECT n.fetched, count(DISTINCT job_url) FILTER (w2 IS NULL), count(*) FILTER (w2 IS NOT NULL), TRUE, CAST(0.5 AS DOUBLE), 1000000 FROM why_rows, n GROUP BY fetched""",
     "required_gates": f"WITH {_ASKING} SELECT ord, coalesce(array_to_string(k, '|'), '') AS asked, needed, {_REASON} AS reason FROM t",
     "ranked_feed": f"""WITH {Q._SCORED}, open_rows AS (SELECT *, coalesce(skill_ratio, 1.0) AS r FROM s WHERE reason IS NULL AND job_url <> ''),
       few AS (SELECT count(DISTINCT job_url) < {AT_LEAST} AS thin FROM open_rows WHERE r >= 0.6),

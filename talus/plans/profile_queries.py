@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talus.functions.plan import computed_once
 from talus.functions.text import EMAIL
+from talus.operators import ats as A
 from talus.operators import profile as P
 from talus.plans.adapters import view
-from talus.plans.text_queries import LEXICON, _ordered
+from talus.plans.text_queries import LEXICON, _ordered, _points
 from talus.plans.text_queries import ORACLE_SQL as TEXT_SQL
 
 HOME = "Pune"
@@ -31,6 +33,13 @@ SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '{"NAME":"x",' ELSE '{"NAME":"Jane Ro
   || '","bullets":["did x"]},{"title":"' || CASE doc_id % 3 WHEN 0 THEN 'Backend Developer' WHEN 1 THEN '' ELSE 'Data Analyst' END || '","dates":"Jan 202' || cast(doc_id % 4 AS string) || '"}]}' END AS payload
 FROM documents
 """
+#: Resumes whose parts are there or not, by several remainders.
+RESUMES = """
+SELECT doc_id, CASE doc_id % 13 WHEN 0 THEN 'short' ELSE CASE doc_id % 2 WHEN 0 THEN 'Backend Developer in Python, Java and SQL. ' ELSE 'developer ' END || CASE doc_id % 3 WHEN 0 THEN 'Experience 2019 2023 ' WHEN 1 THEN 'Education: 2020 ' ELSE '' END
+  || CASE doc_id % 5 WHEN 0 THEN 'developed designed built led managed ' WHEN 1 THEN 'created ' ELSE '' END || CASE doc_id % 7 WHEN 0 THEN 'Projects - certifications; (030) 123-4567 ' WHEN 1 THEN '+49123456789 in Mumbai ' ELSE 'docker go go go ' END
+  || CASE doc_id % 11 WHEN 0 THEN 'github ' ELSE '' END || CASE doc_id % 6 WHEN 0 THEN substring(text, 1, 60) ELSE replace(substring(text, 1, 700), ',', '') END || CASE doc_id % 4 WHEN 0 THEN ' skills: go' WHEN 1 THEN ' Skills ' || substring(text, 1, 60) WHEN 2 THEN ' Skills ' || substring(text, 1, 90) ELSE '' END END AS resume
+FROM documents
+"""
 LISTS = ("job_titles", "primary_skills", "secondary_skills", "user_added_skills", "all_searchable_skills", "certifications", "companies_worked_at", "domains", "preferred_companies", "search_queries")
 SINGLE = ("name", "email", "phone", "education", "current_title", "experience_years", "experience_level", "max_experience_to_search", "location", "remote_preference", "min_salary")
 
@@ -48,7 +57,14 @@ def saved_profiles(spark, d):
     return rows.select("doc_id", F.array_join("user_added_skills", "|").alias("skills"), "position", "experience_years", "experience_level", "current_title", "resume", F.array_join("search_queries", "|").alias("queries"))
 
 
-QUERIES = {f.__name__: f for f in (resume_profiles, saved_profiles)}
+def ats_scores(spark, d):
+    """The same resumes, with sections, links and years on some, as a machine reads them; one in three is generated."""
+    rows = view(spark, d, RESUMES, "documents")
+    rows = computed_once(rows.select("doc_id", A.ats_score(F.col("resume"), F.col("doc_id") % 3 == 0).alias("r")))
+    return rows.select("doc_id", "r.score", *[F.array_join(f"r.{c}", "|").alias(c) for c in ("strengths", "gaps", "advice")])
+
+
+QUERIES = {f.__name__: f for f in (resume_profiles, saved_profiles, ats_scores)}
 
 
 def _roles(text: str, pairs: list[tuple[str, str]]) -> str:
@@ -102,3 +118,27 @@ ORACLE_SQL = {
       SELECT doc_id, coalesce(array_to_string(sk, '|'), '') AS skills, coalesce(array_to_string(ts, ', '), '') AS position, CAST(yrs AS INTEGER) AS experience_years, CASE WHEN yrs <= 2 THEN 'JUNIOR' WHEN yrs <= 5 THEN 'MID' WHEN yrs <= 8 THEN 'SENIOR' ELSE 'LEAD' END AS experience_level,
         coalesce(ts[1], '') AS current_title, resume, CASE WHEN len(ts) = 0 THEN 'software engineer|backend developer' ELSE array_to_string(ts, '|') || CASE WHEN len(sk) > 0 THEN '|Backend Developer Node.js Go SQL' ELSE '' END END AS queries FROM r""",
 }
+
+
+def _hits(words: list[str]) -> str:
+    return " + ".join(f"CAST(contains(low, '{w}') AS INTEGER)" for w in words)
+
+
+def _times(words: list[str]) -> str:
+    return " + ".join(f"(length(low) - length(replace(low, '{w}', ''))) // {len(w)}" for w in words)
+
+
+_SECTION_POINTS = " + ".join(f"CASE WHEN contains(low, '{k}') THEN {v} ELSE 0 END" for k, v in A.SECTIONS.items())
+_PICK = lambda *rows: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in rows) + "], lambda v: v IS NOT NULL)[1:5], '|')"
+
+ORACLE_SQL["ats_scores"] = f"""WITH c AS ({RESUMES}), l AS (SELECT *, lower(resume) AS low, doc_id % 3 = 0 AS made FROM c),
+  p AS (SELECT *, {_hits(list(A.HARD_SKILLS))} AS found, {_points('resume')} AS pts, {_hits(A.TITLES)} AS titles, {_hits(list(A.SECTIONS))} AS secs, {_SECTION_POINTS} AS each_sec, len(regexp_extract_all(low, '20[0-9][0-9]')) AS yrs, {_times(A.VERBS)} AS verbs,
+    CASE WHEN contains(low, 'skills') THEN length(substr(low, strpos(low, 'skills'))) ELSE 0 END AS sec, contains(resume, ',') OR contains(resume, '•') AS commas, contains(resume, '-') AS dash, regexp_matches(resume, '{EMAIL}') AS mail,
+    regexp_matches(resume, '{A.NUMBER}') AS tel, ({_hits(A.PLACES)}) > 0 AS place, contains(low, 'linkedin') OR contains(low, 'github') AS links FROM l),
+  t AS (SELECT *, least(35, pts) + CASE WHEN made THEN least(10, found) ELSE 0 END + CASE WHEN titles >= 2 THEN 15 WHEN titles = 1 THEN 8 ELSE 0 END + least(20, each_sec - CASE WHEN secs >= 3 THEN 0 WHEN secs = 2 THEN 5 ELSE 10 END)
+    + CASE WHEN yrs >= 2 THEN 8 ELSE 0 END + CASE WHEN verbs >= 5 THEN 7 ELSE 0 END + least(20, CASE WHEN sec > 80 THEN 12 WHEN sec > 50 THEN 8 ELSE 0 END + CASE WHEN commas THEN 8 WHEN dash THEN 5 ELSE 0 END)
+    + CASE WHEN mail THEN 3 ELSE 0 END + CASE WHEN tel THEN 2 ELSE 0 END + CASE WHEN place THEN 3 ELSE 0 END + CASE WHEN links THEN 2 ELSE 0 END AS s FROM p)
+  SELECT doc_id, CAST(CASE WHEN length(trim(resume)) < 100 THEN 0 WHEN made THEN least(100, greatest(s + 10, 85)) ELSE least(100, s) END AS INTEGER) AS score,
+    CASE WHEN length(trim(resume)) < 100 THEN '' ELSE {_PICK(("found > 0", "'hard skills: ' || found"), ("titles >= 2", "'clear title'"), ("secs >= 3", "'sections: ' || secs"), ("yrs >= 2", "'dates'"), ("verbs >= 5", "'action verbs'"), ("sec > 80", "'long skills section'"), ("sec BETWEEN 51 AND 80", "'skills section'"), ("commas", "'skills as a list'"))} END AS strengths,
+    CASE WHEN length(trim(resume)) < 100 THEN 'too short' ELSE {_PICK(("found = 0", "'no hard skills'"), ("titles = 0", "'no technical title'"), ("secs = 2", "'sections missing'"), ("secs < 2", "'no structure'"), ("yrs < 2", "'no dates'"), ("verbs < 5", "'action verbs: ' || verbs"), ("NOT commas AND NOT dash", "'no list of skills'"), ("NOT mail", "'no e-mail address'"), ("NOT tel", "'no telephone number'"), ("NOT place", "'no place'"), ("NOT links", "'no profile links'"))} END AS gaps,
+    CASE WHEN length(trim(resume)) < 100 THEN 'send a whole resume' ELSE {_PICK(("titles = 0", "'name the title'"), ("yrs < 2", "'date each role'"), ("verbs < 5", "'use action verbs'"), ("(NOT commas AND NOT dash) OR NOT place", "'use one column and a plain format'"), ("secs < 2", "'use standard sections'"), ("NOT mail OR NOT tel", "'put contacts on top'"), ("length(resume) < 500", "'write more'"), ("s < 50", "'rebuild around hard skills'"), ("s BETWEEN 50 AND 69", "'add hard skills'"), ("s BETWEEN 70 AND 84", "'match more keywords'"))} END AS advice FROM t"""
