@@ -233,7 +233,8 @@ def from_saved(saved: DataFrame, lexicon: Lexicon, as_of: Column, default: list[
     rows = saved.withColumn("p", F.from_json("payload", SAVED)).drop("payload")
     empty, none = F.array().cast(STRINGS), F.lit("")
     jobs = F.coalesce("p.EXPERIENCE", F.array().cast("array<struct<company:string, title:string, dates:string, bullets:array<string>>>"))
-    bare = F.transform(F.flatten(F.map_values(F.coalesce("p.SKILLS", F.create_map().cast("map<string, array<string>>")))), lambda s: F.regexp_replace(F.coalesce(s, none), r"\s*\(.*?\)\s*", " "))
+    groups = F.transform(F.map_values(F.coalesce("p.SKILLS", F.create_map().cast("map<string, array<string>>"))), lambda g: F.coalesce(g, empty))
+    bare = F.transform(F.flatten(groups), lambda s: F.regexp_replace(F.coalesce(s, none), r"\s*\(.*?\)\s*", " "))
     titles = F.array_distinct(F.filter(F.transform(jobs, lambda j: F.coalesce(j["title"], none)), lambda t: t != ""))
     summary = F.replace(F.coalesce("p.SUMMARY_TEMPLATE", none), F.lit("{stack}"), F.array_join(F.coalesce("p.DEFAULT_STACK", empty), ", "))
     start = F.array_min(F.transform(jobs, lambda j: earliest_start(F.coalesce(j["dates"], none))))
