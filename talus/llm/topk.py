@@ -5,7 +5,7 @@ block knows its annulus: the least and largest distance, and its largest norm. A
 which gives a k-th best score, and then only visits blocks whose annulus may hold a better one. Annuli are tested on four
 numbers a query and three a block; vectors move afterwards, to the pairs that are left. By the triangle inequality a
 member at distance r from pivot p is at least | d(q, p) - r | away from the query, so q.x <= (|q|^2 + |x|^2 - gap^2) / 2, and
-q.x <= q.p + |q| r. Scores are integers below 2^53, so float64 products are exact.
+q.x <= q.p + |q| r. Products are taken in float64 below 2^53, in int64 up to 2^62, and beyond as Python integers.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ PIVOTS = 32
 BLOCK = 1024
 PACK = 256
 SCALE = 1024
+#: The largest score, and what stands for none.
+LONG, NO = (1 << 63) - 1, -(1 << 63)
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as float64 bytes; rows with null or non-finite components left out."""
+    """(vec_id, v): floor(scale * x) of each component as float64 bytes; rows with null, non-finite or overflowing ones left out."""
     c = F.col("v")
-    ok = F.col("vec_id").isNotNull() & c.isNotNull() & (F.size(c) > 0)
-    finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = F.col("vec_id").isNotNull() & c.isNotNull()
+    finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("v"))
     rows = rows.where(ok & finite)
 
@@ -45,6 +47,24 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataF
     return map_batches(rows, run, "vec_id long, v binary")
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of each query with each row as int64, whatever their size; beyond a long they are the nearest end of it."""
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1]
+    if most < 2**53:
+        return (q @ x.T).astype(np.int64)
+    if most < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    columns = [[int(c) for c in r] for r in x]
+    return np.array([[min(max(sum(a * b for a, b in zip(r, c, strict=True)), -LONG), LONG) for c in columns] for r in ([int(c) for c in v] for v in q)], np.int64).reshape(len(q), len(x))
+
+
+def others(q: np.ndarray, qid: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The products with rows of other ids; ``NO`` for rows of a query's own id."""
+    s = products(q, x)
+    s[qid[:, None] == ids[None, :]] = NO
+    return s
+
+
 def fit_pivots(rows: list[bytes], pivots: int) -> np.ndarray:
     """A few rounds of k-means over a bounded sample, started from its first distinct rows."""
     x = np.unique(np.array([np.frombuffer(r, "<f8") for r in rows]), axis=0)
@@ -62,7 +82,7 @@ def search(
     """(query_id, rank, vec_id, score): the ``k`` best inner products of each query with every other row, ties to smaller ids.
 
     Queries are the rows whose id is divisible by ``every``. A vector that is shorter than the longest counts as followed by
-    zeros. Inner products that a double may not hold exactly (2**53 or more) are a ValueError. Repeated ids are rows of their own, but a query never finds a row of its own id. Fewer
+    zeros, an empty one as zeros. Scores beyond a long are the nearest end of it. Repeated ids are rows of their own, but a query never finds a row of its own id. Fewer
     candidates than ``k`` give fewer rows. Pivots come from at most about ``SAMPLE`` hashed rows; every row is indexed.
     """
     spark = vectors.sparkSession
@@ -70,7 +90,7 @@ def search(
     width, total = rows.agg(F.max(F.octet_length("v")), F.count(F.lit(1))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    zeros = F.lit(bytes(8))
+    width, zeros = max(8, width), F.lit(bytes(8))
     missing = ((F.lit(width) - F.octet_length("v")) / 8).cast("int")
     rows = rows.withColumn("v", F.when(missing > 0, F.concat("v", F.unhex(F.repeat(F.hex(zeros), missing)))).otherwise(F.col("v")))
     share = min(1_000_000, math.ceil(SAMPLE / total * 1_000_000))
@@ -119,16 +139,15 @@ def search(
 
     def best_of(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple:
         """(query, id, score) of the ``k`` best of a block that reach the floor."""
-        s = q @ x.T
-        s[qid[:, None] == ids[None, :]] = -np.inf
+        s = others(q, qid, ids, x)
         out_q, out_i, out_s = [], [], []
         for row, f, query in zip(s, floor, qid, strict=True):
-            at = np.flatnonzero((row >= f) & (row > -np.inf))
+            at = np.flatnonzero((row >= f) & (row > NO))
             if len(at) > k:
                 at = at[np.lexsort((ids[at], -row[at]))[:k]]
             out_q += [int(query)] * len(at)
             out_i += ids[at].tolist()
-            out_s += row[at].astype(np.int64).tolist()
+            out_s += row[at].tolist()
         return out_q, out_i, out_s
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -140,29 +159,27 @@ def search(
                 own = np.flatnonzero(ids % every == 0)
                 for start in range(0, len(own), PACK):
                     at = own[start : start + PACK]
-                    s = x[at] @ x.T
-                    s[ids[at][:, None] == ids[None, :]] = -np.inf
-                    floor = -np.sort(-s, axis=1)[:, k - 1] if len(ids) > k else np.full(len(at), -np.inf)
-                    yield {"pack": [block << 3 | start // PACK], "qids": [ids[at].tobytes()], "qs": [x[at].tobytes()], "floors": [floor.astype("<f8").tobytes()]}
+                    s = others(x[at], ids[at], ids, x)
+                    floor = np.sort(s, axis=1)[:, -k] if len(ids) > k else np.full(len(at), NO)
+                    yield {"pack": [block << 3 | start // PACK], "qids": [ids[at].tobytes()], "qs": [x[at].tobytes()], "floors": [floor.astype("<i8").tobytes()]}
 
     packs = materialise(map_batches(blocks.select("block", "pivot", "ids", "vs"), at_home, "pack long, qids binary, qs binary, floors binary"), "query-packs")
     annuli = blocks.groupBy("pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"))
-    found_rings = [tuple(r) for r in annuli.collect()]  # one for each pivot
-    if max(r[3] for r in found_rings) ** 2 >= 2**53:
-        raise ValueError("inner products of 2**53 or more are not exact")
-    rings = spark.sparkContext.broadcast(found_rings)
+    rings = spark.sparkContext.broadcast([tuple(r) for r in annuli.collect()])  # one for each pivot
 
     def may_hold(floor: np.ndarray, d: np.ndarray, qp: np.ndarray, qq: np.ndarray, low: float, high: float, norm: float) -> np.ndarray:
         """Which queries an annulus may serve, from their distance to its pivot, product with it, and own squared norm."""
         gap = np.maximum(np.maximum(low - d, d - high), 0)
         top = np.minimum((qq + norm * norm - gap * gap) / 2, qp + np.sqrt(qq) * high)
-        return top * (1 + 1e-9) + 1e-3 >= floor
+        slack = 1e-3 + 1e-9 * (np.abs(top) + qq + norm * norm)
+        return ~(np.maximum(top + slack, float(NO)) < floor)  # also where a bound is no number
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """A pack's numbers go to each pivot whose whole annulus may serve one of its queries; its vectors stay."""
         for b in batches:
             for pack, qids, qs, floors in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                floor = np.frombuffer(floors, "<f8")
+                floor = np.frombuffer(floors, "<i8")
+                floor = np.where(floor == NO, -np.inf, floor.astype(float))
                 q = np.frombuffer(qs, "<f8").reshape(len(qids) // 8, -1)
                 qq = (q * q).sum(axis=1)
                 for pivot, low, high, norm in rings.value:
@@ -191,7 +208,7 @@ def search(
             for block, at, qids, qs, floors in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 at, ids = np.frombuffer(at, "<i4"), np.frombuffer(qids, "<i8")
                 q = np.frombuffer(qs, "<f8").reshape(len(ids), -1)
-                yield {"block": [block], "qids": [ids[at].tobytes()], "qs": [q[at].tobytes()], "floors": [np.frombuffer(floors, "<f8")[at].tobytes()]}
+                yield {"block": [block], "qids": [ids[at].tobytes()], "qs": [q[at].tobytes()], "floors": [np.frombuffer(floors, "<i8")[at].tobytes()]}
 
     routed = map_batches(packs.select("pack", "qids", "qs", "floors"), route, "pivot int, pack long, at binary, facts binary")
     places = blocks.select("block", "pivot", "low", "high", "norm").join(routed, "pivot")
@@ -206,7 +223,7 @@ def search(
                 ids, vs, qids, qs, floors = (whole.column(c)[row].as_py() for c in range(5))
                 qid, ids = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
                 q, x = np.frombuffer(qs, "<f8").reshape(len(qid), -1), np.frombuffer(vs, "<f8").reshape(len(ids), -1)
-                found = best_of(q, qid, np.frombuffer(floors, "<f8"), ids, x)
+                found = best_of(q, qid, np.frombuffer(floors, "<i8"), ids, x)
                 yield {"query_id": found[0], "vec_id": found[1], "score": found[2]}
 
     hits = map_batches(visits, visit, "query_id long, vec_id long, score long")
