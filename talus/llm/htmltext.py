@@ -14,7 +14,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,12 +64,14 @@ CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 
 class Node:
     """An open block element: its style path, whether it is dropped (``NAMED`` by class names only, or ``MARKED``), in main
-    or an article, in an article that a named branch holds, in an article element, and removable by importance."""
+    or an article, in an article that a named branch holds, in an article element, and removable by importance; whether it or
+    an element around it is unimportant; and the page's text before it (pieces, hash), once it has been looked at."""
 
-    __slots__ = ("tag", "path", "dropped", "article", "held", "nested", "branch")
+    __slots__ = ("tag", "path", "dropped", "article", "held", "nested", "branch", "low", "before")
 
     def __init__(self, tag: str, path: int, dropped: int, article: bool, held: bool, nested: bool, branch: bool):
         self.tag, self.path, self.dropped, self.article, self.held, self.nested, self.branch = tag, path, dropped, article, held, nested, branch
+        self.low, self.before = False, None
 
 
 def opened(tag: str, source: str, above: Node) -> Node:
@@ -92,13 +95,28 @@ def opened(tag: str, source: str, above: Node) -> Node:
     return Node(tag, path, dropped, article, held, above.nested or tag == "article", tag not in RUNNING)
 
 
-def pieces(page: str) -> Iterator[tuple[list[Node], str]]:
-    """(open block elements, text) in page order; a text of "" marks the edge of a block. Entities are decoded."""
+def pieces(page: str, unimportant: frozenset[int] = frozenset(), closed: Callable[[Node], None] | None = None) -> Iterator[tuple[list[Node], str]]:
+    """(open block elements, text) in page order; a text of "" marks the edge of a block. Entities are decoded.
+
+    ``closed`` is called with each element that ends, inner ones first, also at the end of the page. One step for each token
+    and element, however deep they are.
+    """
     stack = [Node("", 1, 0, False, False, False, False)]
+    open_tags: Counter[str] = Counter()
     at = 0
+
+    def pop() -> Node:
+        node = stack.pop()
+        open_tags[node.tag] -= 1
+        if closed:
+            closed(node)
+        return node
+
     while True:
         m = TOKEN.match(page, at)
         if m is None:
+            while len(stack) > 1:
+                pop()
             return
         at, token = m.end(), m[0]
         if token[0] != "<" or token == "<":
@@ -115,39 +133,50 @@ def pieces(page: str) -> Iterator[tuple[list[Node], str]]:
             continue
         yield stack, ""
         if token[1] == "/":
-            if any(n.tag == tag for n in stack):
-                while stack.pop().tag != tag:
+            if open_tags[tag] > 0:
+                while pop().tag != tag:
                     pass
             continue
         if tag in VOID:
             continue
         if tag in CLOSES_P and stack[-1].tag == "p" or stack[-1].tag in CLOSES_SAME.get(tag, ()):
-            stack.pop()
+            pop()
         node = opened(tag, token, stack[-1])
+        node.low = stack[-1].low or node.branch and node.path in unimportant
         if tag in RAW_END:
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
         elif not token.endswith("/>"):
             stack.append(node)
+            open_tags[tag] += 1
+
+
+HASH, MASK = 1_000_003, 0x7FFFFFFFFFFFFFFF
 
 
 def tree_nodes(page: str) -> dict[int, list[int]]:
     """The page's part of the style tree: for each style path a hash of its content and one of its children's styles."""
     found: dict[int, list[int]] = {}
-    seen: set[Node] = set()
-    for stack, text in pieces(page):
+    count, running = 0, 0  # pieces of text so far, and their hash
+
+    def closed(node: Node) -> None:
+        """The hash of what an element held follows from the hashes of the page before and after it."""
+        if node.before is not None:
+            n, power = count - node.before[0], pow(HASH, count - node.before[0], MASK + 1)
+            if n:
+                content = found[node.path]
+                content[0] = (content[0] * power + running - node.before[1] * power) & MASK
+
+    for stack, text in pieces(page, closed=closed):
         top = stack[-1]
-        if len(stack) > 1 and top not in seen:
-            seen.add(top)
+        if len(stack) > 1 and top.before is None:
+            top.before = count, running
             found.setdefault(top.path, [0, 0])
             if len(stack) > 2:
                 shape = found.setdefault(stack[-2].path, [0, 0])
-                shape[1] = (shape[1] * 1_000_003 + top.path) & 0x7FFFFFFFFFFFFFFF
+                shape[1] = (shape[1] * HASH + top.path) & MASK
         if text and not text.isspace():
-            c = zlib.crc32(" ".join(text.split()).encode()) + 1
-            for n in stack[1:]:
-                content = found.setdefault(n.path, [0, 0])
-                content[0] = (content[0] * 1_000_003 + c) & 0x7FFFFFFFFFFFFFFF
+            count, running = count + 1, (running * HASH + zlib.crc32(" ".join(text.split()).encode()) + 1) & MASK
     return found
 
 
@@ -158,12 +187,12 @@ def main_text(page: str | None, unimportant: frozenset[int] = frozenset()) -> st
     holds the page, and else a list of comments or related pages.
     """
     inside, held, articles, outside = [], [], [], []
-    for stack, text in pieces(page or ""):
+    for stack, text in pieces(page or "", unimportant):
         top = stack[-1]
         if text == "":
             for part in (inside, held, articles, outside):
                 part.append(" ")
-        elif not top.dropped and not (unimportant and any(n.path in unimportant and n.branch for n in stack)):
+        elif not top.dropped and not top.low:
             if top.article:
                 (held if top.held else inside).append(text)
                 articles.append(text)
@@ -213,7 +242,8 @@ def extract(
     """(page_id, url, text, n_chars) of every page.
 
     Null, empty and textless pages give "". Pages without a host have no tree and lose only what is marked. Repeated rows
-    each give a row. The low branches of each host are one short row; Spark broadcasts them when their table is small and
+    each give a row. Very long and very deep pages are read whole, in time that grows with their length. Other columns are not
+    read, so their names do not matter. The low branches of each host are one short row; Spark broadcasts them when their table is small and
     else joins by host, splitting a host that holds many pages.
     """
     tree = style_tree(pages, url_col, html_col)

@@ -62,3 +62,25 @@ def test_every_page_gives_a_row(spark, data):
     rows = htmltext.op9_html_text(spark, data).collect()
     assert len(rows) == spark.read.parquet(f"{data}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) and r.text == " ".join(r.text.split()) for r in rows)
+
+
+def test_deep_and_long_pages_take_time_by_their_length():
+    """A page of a million open elements, or of as many ends of none, is read in one pass; values are those of a walk of the stack."""
+    import time
+    import zlib
+
+    from talus.llm import htmltext
+
+    began = time.process_time()
+    deep = "<div>x" * 180_000
+    assert htmltext.main_text(deep) == " ".join("x" * 180_000)
+    assert len(htmltext.tree_nodes(deep)) == 180_000
+    assert htmltext.main_text("<div>x</p></td></section>" * 40_000).startswith("x x")
+    assert time.process_time() - began < 60
+    page = '<div class="a">one<p>two</p><p>three</div><div class="a">four<ul><li>five<li>six'
+    plain: dict[int, int] = {}
+    for stack, text in htmltext.pieces(page):
+        if text and not text.isspace():
+            for n in stack[1:]:
+                plain[n.path] = (plain.get(n.path, 0) * 1_000_003 + zlib.crc32(text.encode()) + 1) & 0x7FFFFFFFFFFFFFFF
+    assert {k: v[0] for k, v in htmltext.tree_nodes(page).items() if v[0]} == plain
