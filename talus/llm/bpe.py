@@ -25,8 +25,8 @@ from talus.llm.common import map_batches, table
 
 #: The pre-tokenisation of byte-level BPE vocabularies of this kind (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that one worker remembers, at most, in each of two generations.
-REMEMBERED = 450_000
+#: Words that one worker remembers, at most, in each of two generations; fewer where a library merges new ones quickly.
+REMEMBERED, REMEMBERED_BESIDE = 450_000, 150_000
 #: Longer words are encoded anew each time.
 LONGEST_REMEMBERED = 64
 #: Longer words are merged by the queue even where the library is given.
@@ -44,16 +44,16 @@ class _Remembering(dict):
     """A dict that computes what it lacks. When it is full it becomes the old generation and starts anew; what is
     used again comes back from there."""
 
-    def __init__(self, compute: Callable[[str], bytes]):
+    def __init__(self, compute: Callable[[str], bytes], most: int):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= LONGEST_REMEMBERED and "\n" not in key:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -97,9 +97,10 @@ class BytePairCodec:
             # That library's own splitting overflows its stack on very long runs, so these are merged here.
             by_queue = self.encode_word
             self.encode_word = lambda word: np.array(merged(word), "<u4").tobytes() if len(word) <= LONGEST_MERGED else by_queue(word)
-        self.by_word = _Remembering(self.encode_word)
+        most = REMEMBERED_BESIDE if ranks else REMEMBERED
+        self.by_word = _Remembering(self.encode_word, most)
         # A chunk is what stands between single spaces; it is kept without its leading space.
-        self.by_chunk = _Remembering(self.encode_chunk)
+        self.by_chunk = _Remembering(self.encode_chunk, most)
 
     def encode_word(self, word: str) -> bytes:
         """Merge the bytes of one word by rank."""
