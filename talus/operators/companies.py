@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.functions.plan import computed_once, named
 from talus.functions.text import company_key, contains_any, names_any
 from talus.session import written
 
@@ -37,15 +38,15 @@ def size_class() -> Column:
     name, site, address, building = map(_low, ("company_name", "website", "address", "building_name"))
     new = F.contains(name, F.lit("startup"))
     return (
-        F.when(contains_any(name, GIANTS), "enterprise")
-        .when(contains_any(site, [".com.au", ".co.uk", ".gov", ".edu"]) & ~new, "large")
-        .when(contains_any(name, ["corp", "limited", "ltd", "inc", "plc", "sa"]) & ~contains_any(name, ["startup", "incubator"]), "large")
-        .when(contains_any(address, ["tower", "plaza", "business park", "corporate park", "business centre", "business center"]) & ~new & ~F.contains(address, F.lit("co-working")), "large")
-        .when(contains_any(building, ["tower", "plaza", "park", "centre", "center", "complex", "hub"]) & ~new, "large")
-        .when(contains_any(name, ["startup", "incubator", "accelerator", "labs", "studio", "garage"]), "startup")
-        .when(contains_any(site, [".io", ".dev", ".ai", ".co"]), "startup")
-        .when(contains_any(address, ["incubator", "accelerator", "startup hub", "startup space"]), "startup")
-        .when(contains_any(name, ["enterprise", "group", "global", "international"]) | contains_any(building, ["enterprise", "global"]), "mid")
+        F.when(names_any(name, GIANTS), "enterprise")
+        .when(names_any(site, [".com.au", ".co.uk", ".gov", ".edu"]) & ~new, "large")
+        .when(names_any(name, ["corp", "limited", "ltd", "inc", "plc", "sa"]) & ~names_any(name, ["startup", "incubator"]), "large")
+        .when(names_any(address, ["tower", "plaza", "business park", "corporate park", "business centre", "business center"]) & ~new & ~F.contains(address, F.lit("co-working")), "large")
+        .when(names_any(building, ["tower", "plaza", "park", "centre", "center", "complex", "hub"]) & ~new, "large")
+        .when(names_any(name, ["startup", "incubator", "accelerator", "labs", "studio", "garage"]), "startup")
+        .when(names_any(site, [".io", ".dev", ".ai", ".co"]), "startup")
+        .when(names_any(address, ["incubator", "accelerator", "startup hub", "startup space"]), "startup")
+        .when(names_any(name, ["enterprise", "group", "global", "international"]) | names_any(building, ["enterprise", "global"]), "mid")
         .otherwise("small")
     )
 
@@ -58,12 +59,12 @@ def business_type() -> Column:
     text = _all_text("company_name", "industry", "description", "address")
     out = F.when(F.lit(False), "")
     for label, needles in BUSINESS.items():
-        out = out.when(contains_any(text, needles), label)
+        out = out.when(names_any(text, needles), label)
     return out.otherwise(F.coalesce(F.nullif(_low("industry"), F.lit("")), F.lit("Other")))
 
 
 def is_coworking() -> Column:
-    return contains_any(_all_text("company_name", "industry", "description", "address", "building_name"), COWORKING)
+    return names_any(_all_text("company_name", "industry", "description", "address", "building_name"), COWORKING)
 
 
 def confidence() -> Column:
@@ -144,10 +145,10 @@ def merge_in_order(df: DataFrame) -> DataFrame:
     target = F.coalesce("head", F.when(F.col("site_head") < F.col("ord"), F.col("site_head")), F.when(F.col("place_head") < F.col("ord"), F.col("place_head")))
     owner = keyed.join(of("site"), "site", "left").join(of("place"), "place", "left").join(stands, "ord", "left").select("ord", target.alias("head"))
     rows = df.join(owner, "ord")
-    named = rows.where(F.coalesce("website", F.lit("")) != "").groupBy("head").agg(F.min_by("website", "ord").alias("website"))
+    sites = rows.where(F.coalesce("website", F.lit("")) != "").groupBy("head").agg(F.min_by("website", "ord").alias("website"))
     origins = rows.select("head", "ord", F.posexplode("source").alias("n", "name")).groupBy("head", "name").agg(F.min(F.struct("ord", "n")).alias("at"))
     origins = origins.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("source"))
-    merged = df.drop("website", "source").join(named.withColumnRenamed("head", "ord"), "ord", "left").join(origins.withColumnRenamed("head", "ord"), "ord", "left").join(stands.select("ord"), "ord", "left_semi")
+    merged = df.drop("website", "source").join(sites.withColumnRenamed("head", "ord"), "ord", "left").join(origins.withColumnRenamed("head", "ord"), "ord", "left").join(stands.select("ord"), "ord", "left_semi")
     filled = {"website": F.coalesce("website", F.lit("")), "source": F.coalesce("source", F.array().cast("array<string>"))}
     return merged.withColumns(filled).select(*df.columns)
 
@@ -217,3 +218,78 @@ def openings_url(careers: Column, name: Column, search: str) -> Column:
     for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         encoded = F.replace(encoded, F.lit(code), F.lit(char))
     return F.coalesce(F.nullif(careers, F.lit("")), F.concat(F.lit(search), encoded))
+
+
+#: Marks of web techniques in pages and their headers (fixed values).
+TECHNIQUES = {
+    "React": ["react", "_next/static/chunks", "data-reactroot"], "Next.js": ["/_next/", "__next", "next.js"], "Angular": ["ng-version", "angular"], "Vue": ["vue", "__vue__", "data-v-"],
+    "Nuxt": ["__nuxt", "nuxt"], "Node.js": ["x-powered-by: express", "node"], "Express": ["x-powered-by: express"], "NestJS": ["nestjs"], "Laravel": ["laravel_session", "laravel"],
+    "PHP": ["x-powered-by: php", ".php"], "Django": ["csrfmiddlewaretoken", "django"], "Flask": ["flask"], "FastAPI": ["fastapi", "swagger-ui"], "Spring Boot": ["jsessionid", "spring"],
+    ".NET": ["asp.net", "__viewstate", "x-aspnet-version"], "Ruby on Rails": ["csrf-param", "rails"], "WordPress": ["wp-content", "wp-includes", "wordpress"], "Shopify": ["cdn.shopify.com", "shopify"],
+    "WooCommerce": ["woocommerce"], "Magento": ["magento", "mage/"], "Wix": ["wix.com", "_wix"], "Webflow": ["webflow"], "Squarespace": ["squarespace"], "Cloudflare": ["cf-ray", "cloudflare"],
+    "AWS": ["x-amz-", "amazonaws.com", "cloudfront"], "Google Analytics": ["gtag(", "google-analytics.com", "googletagmanager"], "HubSpot": ["hs-scripts", "hubspot"],
+}
+
+
+def techniques(page: Column, headers: Column, marks: dict[str, list[str]] | None = None) -> Column:
+    """Names whose marks a page or its headers hold, whatever the case, sorted."""
+    marks = TECHNIQUES if marks is None else marks
+
+    def of(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(contains_any(low, marks[k]), F.lit(k)) for k in sorted(marks)], F.lit(None).cast("string")))
+
+    return named(F.lower(F.concat_ws(" ", F.coalesce(page, F.lit("")), F.coalesce(headers, F.lit("")))), of)
+
+
+def enriched(df: DataFrame) -> DataFrame:
+    """Adds company_size and is_coworking_space, and puts the kind that the texts tell into business_type, over what was there."""
+    return computed_once(df.withColumns({"company_size": size_class(), "is_coworking_space": is_coworking(), "business_type": business_type()}))
+
+
+def viewed(df: DataFrame, firms_only: bool = True, kind: str = "", industry: str = "", with_site: bool = False, shared: bool = False, text: str = "") -> DataFrame:
+    """The records that all of some conditions hold for: software firms, a kind, an industry, a website, a shared office, a text in name, industry or address."""
+    out = df.where(F.col("industry").isin(FIRST)) if firms_only else df
+    out = out.where(F.col("business_type") == kind) if kind else out
+    out = out.where(F.col("industry") == industry) if industry else out
+    out = out.where(F.coalesce("website", F.lit("")) != "") if with_site else out
+    out = out.where(F.contains(_low("business_type"), F.lit("cowork"))) if shared else out
+    return out.where(F.contains(_all_text("company_name", "industry", "address"), F.lit(text.lower()))) if text else out
+
+
+def choices(df: DataFrame) -> DataFrame:
+    """(field, value, records) of what a view may be cut to: each kind and each industry, blanks left out."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("business_type", "industry")]))
+    return df.select(each).where(F.coalesce("value", F.lit("")) != "").groupBy("field", "value").agg(F.count(F.lit(1)).alias("records"))
+
+
+def web_record(df: DataFrame, technical: Column, source: str) -> DataFrame:
+    """Rows (ord, company_name, website, industry) as whole records of a web search: what is not known is empty, or null where it is a number."""
+    empty, strings, pairs = F.lit(""), F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    texts = ("legal_name", "linkedin", "google_maps", "address", "city", "state", "pincode", "employees", "founded", "careers", "coworking_name", "building_name", "opening_hours", "osm_id")
+    return df.select(
+        "ord", "company_name", F.coalesce("website", empty).alias("website"), "industry", F.lit("Company / Office").alias("business_type"), technical.alias("technical_work"), (~technical).alias("non_technical_work"),
+        *[empty.alias(c) for c in texts], *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")], F.lit(None).cast("boolean").alias("hiring"),
+        *[strings.alias(c) for c in ("technologies", "emails", "phones", "office_images")], *[pairs.alias(c) for c in ("social_links", "ratings")], F.array(F.lit(source)).alias("source"), F.lit(0).alias("confidence"),
+    )
+
+
+#: Shared offices by their tag and by their name; firms in titles of results about them; offices that are searched for (fixed values).
+SHARED_TAG, SHARED_NAME = r"^(coworking|shared|hotdesk)", r"(?i)(coworking|co-working|shared office|startup hub|tech park|business park)"
+TENANT = r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9&.\-\s]{2,40}(?:Ltd|Inc|Pvt|Corp|Tech|Systems))(?![A-Za-z0-9_])"
+SPACES = 5
+
+
+def shared_spaces(features: DataFrame, most: int = SPACES) -> DataFrame:
+    """The first named shared offices among features (ord, tags), with trimmed names of three letters or more."""
+    name = F.trim(F.coalesce(F.try_element_at("tags", F.lit("name")), F.lit("")))
+    office = F.coalesce(F.try_element_at("tags", F.lit("office")), F.lit(""))
+    return features.withColumn("space", name).where((F.length("space") >= 3) & (office.rlike(SHARED_TAG) | F.col("space").rlike(SHARED_NAME))).orderBy("ord").limit(most)
+
+
+def tenants(results: DataFrame) -> DataFrame:
+    """Whole records of the firms that titles of results (ord, title) about shared offices name, the first of each name."""
+    found = F.posexplode(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(TENANT), F.lit(1)))
+    rows = results.select("ord", found.alias("n", "name")).select("ord", "n", F.trim("name", F.lit(" \t\n\r")).alias("company_name")).where(F.length("company_name") >= 4)
+    first = rows.groupBy(company_key(F.col("company_name")).alias("key")).agg(F.min_by(F.struct("ord", "company_name"), F.struct("ord", "n")).alias("r"))
+    firms = first.select("r.ord", "r.company_name", F.lit("").alias("website"), F.lit("IT / Software").alias("industry"))
+    return web_record(firms, F.lit(False), "Web (Tavily)")
