@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -22,14 +23,23 @@ def _table(entries: dict) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
+def _by_letter(entries: dict[str, str]) -> Callable[[Column], Column]:
+    """Looks a name up in a constant that is cut by first letters, as maps are searched entry by entry; null where it is not there."""
+    cut: dict[str, dict[str, str]] = {}
+    for name, value in entries.items():
+        cut.setdefault(name[0], {})[name] = value
+    table = F.from_json(F.lit(json.dumps(cut)), "map<string,map<string,string>>")
+    return lambda name: F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), name)
+
+
 def _named_reference(ref: Column) -> Column:
     """A name of the table, else the longest short name that it begins with, else the reference itself."""
     name = F.substr(ref, F.lit(2))
-    whole, short = _table(html5), _table(SHORT)
+    whole, short = _by_letter(html5), _by_letter(SHORT)
     begins = []
     for n in range(max(map(len, SHORT)), min(map(len, SHORT)) - 1, -1):
-        begins.append(F.when(F.length(name) > n, F.concat(F.try_element_at(short, F.substring(name, 1, n)), F.substr(name, F.lit(n + 1)))))
-    return F.coalesce(F.try_element_at(whole, name), *begins, ref)
+        begins.append(F.when(F.length(name) > n, F.concat(short(F.substring(name, 1, n)), F.substr(name, F.lit(n + 1)))))
+    return F.coalesce(whole(name), *begins, ref)
 
 
 def _numeric_reference(ref: Column) -> Column:
