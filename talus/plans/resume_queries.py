@@ -100,7 +100,7 @@ ORACLE_SQL = {
       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN kind = 'name' THEN 0 WHEN kind = 'contact' THEN 1 WHEN kind IN ('skillhead', 'skills') THEN 2 ELSE 3 END, pos) - 1 AS INTEGER) AS n, kind, text FROM s""",
     "bold_runs": f"""SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '(?i)(and) the', '\\1\x01the', 'g'), '[A-Za-z0-9+#.\x01]+|[^A-Za-z0-9+#.\x01]+'),
         lambda t: replace(CASE WHEN regexp_matches(t, '(?i)^(and\x01the|the|der|una)(\\.|$)') THEN regexp_replace(t, '(?i)^(and\x01the|the|der|una)(\\.|$)', {_BORDER})
-          WHEN regexp_matches(t, '(?i)\x01the(\\.|$)') AND NOT regexp_matches(t, '(?i)^and\x01') THEN regexp_replace(t, '(?i)\x01(the)(\\.|$)', '\x01<b>\\1</b>\\2')
+          WHEN regexp_matches(t, '(?i)\x01the(\\.|$)') THEN regexp_replace(t, '(?i)\x01(the)(\\.|$)', '\x01<b>\\1</b>\\2')
           ELSE t END, '\x01', ' ')), ''), '') AS marked, TRUE AS whole FROM documents""",
     "application_text": f"""WITH t AS (SELECT *, {tags_sql('text').replace('[^a-z0-9+#.]', '[^a-z0-9]').replace('[^a-z0-9+#]', '[^a-z0-9]')} AS f FROM documents),
       p AS (SELECT *, list_filter(['Link', 'Article', 'Plus', 'Place', 'Ending'], lambda x: list_contains(f, x)) AS lead FROM t),
