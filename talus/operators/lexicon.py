@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.text import word_pattern
@@ -49,3 +49,10 @@ def ordered_tags(text: Column, lexicon: Lexicon) -> Column:
         return F.struct(F.array_min(places).alias("at"), label.alias("label"))
 
     return F.transform(F.array_sort(F.transform(tags(text, lexicon), placed)), lambda x: x["label"])
+
+
+def alias_map(rows: DataFrame) -> DataFrame:
+    """(label, aliases) of a lexicon's rows (ord, label, alias): labels lose their parentheses, and those that are then alike share their aliases, by ``ord``."""
+    clean = F.trim(F.regexp_replace(F.coalesce("label", F.lit("")), r"\s*\(.*?\)\s*", " "))
+    listed = rows.where("alias is not null").groupBy(clean.alias("label")).agg(F.array_sort(F.collect_list(F.struct("ord", "alias"))).alias("a"))
+    return listed.select("label", F.transform("a", lambda x: x["alias"]).alias("aliases"))

@@ -213,6 +213,21 @@ def after_edits(edited: DataFrame, default: list[str], home: str = "") -> DataFr
     return _derived(computed_once(rows.withColumn("current_title", title)), default)
 
 
+def with_edits(profiles: DataFrame, edits: DataFrame, id_col: str) -> DataFrame:
+    """Profiles with what was typed over them: (id, titles, skills, added: comma lists; years, remote: texts), null where nothing was typed.
+
+    An emptied list is empty; years that do not begin with a number are 0. Profiles without edits stay. One row of edits for
+    each id. ``after_edits`` makes anew what follows.
+    """
+    typed = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    over = edits.select(id_col, *[F.col(c).alias(f"__{c}") for c in ("titles", "skills", "added", "years", "remote")])
+    years = F.coalesce(F.regexp_extract("__years", r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int"), F.lit(0)).cast("string")
+    new = {"target_titles": typed("__titles"), "job_titles": typed("__titles"), "primary_skills": typed("__skills"), "user_added_skills": typed("__added"), "experience_years": years, "remote_preference": F.col("__remote")}
+    source = {"target_titles": "__titles", "job_titles": "__titles", "primary_skills": "__skills", "user_added_skills": "__added", "experience_years": "__years", "remote_preference": "__remote"}
+    rows = profiles.join(over, id_col, "left")
+    return rows.withColumns({c: F.when(F.col(source[c]).isNotNull(), v).otherwise(F.col(c).cast("string") if c == "experience_years" else F.col(c)) for c, v in new.items()}).drop(*over.columns[1:])
+
+
 SAVED = "NAME string, SUMMARY_TEMPLATE string, DEFAULT_STACK array<string>, SKILLS map<string, array<string>>, EXPERIENCE array<struct<company:string, title:string, dates:string, bullets:array<string>>>"
 
 

@@ -8,6 +8,7 @@ from talus.functions.plan import computed_once
 from talus.functions.text import EMAIL
 from talus.operators import ats as A
 from talus.operators import profile as P
+from talus.operators.lexicon import alias_map as lexicon_map
 from talus.plans.adapters import view
 from talus.plans.text_queries import LEXICON, _ordered, _points
 from talus.plans.text_queries import ORACLE_SQL as TEXT_SQL
@@ -40,6 +41,14 @@ SELECT doc_id, CASE doc_id % 13 WHEN 0 THEN 'short' ELSE CASE doc_id % 2 WHEN 0
   || CASE doc_id % 11 WHEN 0 THEN 'github ' ELSE '' END || CASE doc_id % 6 WHEN 0 THEN substring(text, 1, 60) ELSE replace(substring(text, 1, 700), ',', '') END || CASE doc_id % 4 WHEN 0 THEN ' skills: go' WHEN 1 THEN ' Skills ' || substring(text, 1, 60) WHEN 2 THEN ' Skills ' || substring(text, 1, 90) ELSE '' END END AS resume
 FROM documents
 """
+PLAIN = """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Go; go;SQL' WHEN 1 THEN '' ELSE 'Java' END AS primary_skills, CASE doc_id % 2 WHEN 0 THEN 'Rust;GO' ELSE '' END AS user_added_skills, CASE doc_id % 4 WHEN 0 THEN '' ELSE 'Dev;dev;QA' END AS target_titles,
+  CASE doc_id % 5 WHEN 0 THEN '7' WHEN 1 THEN 'x' ELSE '3' END AS experience_years, 'any' AS remote_preference, CASE doc_id % 2 WHEN 0 THEN 'Oslo' ELSE '' END AS location FROM documents
+"""
+EDITS = """
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' Cook, ,cook ' WHEN 1 THEN '' END AS titles, CASE doc_id % 5 WHEN 0 THEN 'C,, D' END AS skills, CASE doc_id % 3 WHEN 0 THEN ' ,' END AS added, CASE doc_id % 4 WHEN 0 THEN ' 12y' WHEN 1 THEN 'none' END AS years,
+  CASE doc_id % 6 WHEN 0 THEN 'remote' END AS remote FROM documents WHERE doc_id % 10 < 8
+"""
 LISTS = ("job_titles", "primary_skills", "secondary_skills", "user_added_skills", "all_searchable_skills", "certifications", "companies_worked_at", "domains", "preferred_companies", "search_queries")
 SINGLE = ("name", "email", "phone", "education", "current_title", "experience_years", "experience_level", "max_experience_to_search", "location", "remote_preference", "min_salary")
 
@@ -64,7 +73,20 @@ def ats_scores(spark, d):
     return rows.select("doc_id", "r.score", *[F.array_join(f"r.{c}", "|").alias(c) for c in ("strengths", "gaps", "advice")])
 
 
-QUERIES = {f.__name__: f for f in (resume_profiles, saved_profiles, ats_scores)}
+def edited_profiles(spark, d):
+    """Profiles with what was typed over some of their fields, and what follows made anew."""
+    rows = view(spark, d, PLAIN, "documents").withColumns({c: F.split(c, ";") for c in ("primary_skills", "user_added_skills", "target_titles")}).withColumn("job_titles", F.col("target_titles"))
+    edits = view(spark, d, EDITS, "documents")
+    done = P.after_edits(P.with_edits(rows, edits, "doc_id"), DEFAULT, HOME)
+    return done.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("job_titles", "all_searchable_skills", "search_queries")], "experience_years", "experience_level", "current_title", "remote_preference", "location")
+
+
+def alias_map(spark, d):
+    rows = view(spark, d, "SELECT p_partkey AS ord, p_brand || CASE p_size % 3 WHEN 0 THEN ' (small)' WHEN 1 THEN '(x) ' ELSE '' END AS label, p_name AS alias FROM part", "part")
+    return lexicon_map(rows).select("label", F.array_join("aliases", "|").alias("aliases"))
+
+
+QUERIES = {f.__name__: f for f in (resume_profiles, saved_profiles, ats_scores, edited_profiles, alias_map)}
 
 
 def _roles(text: str, pairs: list[tuple[str, str]]) -> str:
@@ -142,3 +164,12 @@ ORACLE_SQL["ats_scores"] = f"""WITH c AS ({RESUMES}), l AS (SELECT *, lower(resu
     CASE WHEN length(trim(resume)) < 100 THEN '' ELSE {_PICK(("found > 0", "'hard skills: ' || found"), ("titles >= 2", "'clear title'"), ("secs >= 3", "'sections: ' || secs"), ("yrs >= 2", "'dates'"), ("verbs >= 5", "'action verbs'"), ("sec > 80", "'long skills section'"), ("sec BETWEEN 51 AND 80", "'skills section'"), ("commas", "'skills as a list'"))} END AS strengths,
     CASE WHEN length(trim(resume)) < 100 THEN 'too short' ELSE {_PICK(("found = 0", "'no hard skills'"), ("titles = 0", "'no technical title'"), ("secs = 2", "'sections missing'"), ("secs < 2", "'no structure'"), ("yrs < 2", "'no dates'"), ("verbs < 5", "'action verbs: ' || verbs"), ("NOT commas AND NOT dash", "'no list of skills'"), ("NOT mail", "'no e-mail address'"), ("NOT tel", "'no telephone number'"), ("NOT place", "'no place'"), ("NOT links", "'no profile links'"))} END AS gaps,
     CASE WHEN length(trim(resume)) < 100 THEN 'send a whole resume' ELSE {_PICK(("titles = 0", "'name the title'"), ("yrs < 2", "'date each role'"), ("verbs < 5", "'use action verbs'"), ("(NOT commas AND NOT dash) OR NOT place", "'use one column and a plain format'"), ("secs < 2", "'use standard sections'"), ("NOT mail OR NOT tel", "'put contacts on top'"), ("length(resume) < 500", "'write more'"), ("s < 50", "'rebuild around hard skills'"), ("s BETWEEN 50 AND 69", "'add hard skills'"), ("s BETWEEN 70 AND 84", "'match more keywords'"))} END AS advice FROM t"""
+_OVER = lambda c, typed, kept: f"CASE WHEN {c} IS NOT NULL THEN list_filter(list_transform(string_split({c}, ','), lambda x: trim(x)), lambda x: x <> '') ELSE {kept} END"
+ORACLE_SQL["edited_profiles"] = f"""WITH p AS ({PLAIN}), e AS ({EDITS}), j AS (SELECT p.*, titles, skills, added, years, remote FROM p LEFT JOIN e USING (doc_id)),
+  o AS (SELECT *, {_OVER('titles', 0, "string_split(target_titles, ';')")} AS t0, {_OVER('skills', 0, "string_split(primary_skills, ';')")} AS s0, {_OVER('added', 0, "string_split(user_added_skills, ';')")} AS a0,
+    CASE WHEN years IS NOT NULL THEN coalesce(try_cast(regexp_extract(years, '^\\s*([0-9]+)', 1) AS INTEGER), 0) ELSE coalesce(try_cast(experience_years AS INTEGER), 0) END AS yrs FROM j),
+  c AS (SELECT *, list_transform({_distinct('t0')}, lambda x: trim(x)) AS ts, list_transform({_distinct('s0')}, lambda x: trim(x)) AS ps, list_transform({_distinct('a0')}, lambda x: trim(x)) AS us FROM o),
+  k AS (SELECT *, coalesce(ts[1], '') AS title, {_distinct('(ps || us)')} AS search FROM c), q AS (SELECT *, {_queries('title', 'ts', 'ps', 'us')} AS qs FROM k)
+  SELECT doc_id, coalesce(array_to_string(ts, '|'), '') AS job_titles, coalesce(array_to_string(search, '|'), '') AS all_searchable_skills, array_to_string((CASE WHEN len(qs) > 0 THEN {_distinct('qs')} ELSE ['software engineer', 'backend developer'] END)[1:6], '|') AS search_queries,
+    CAST(yrs AS INTEGER) AS experience_years, CASE WHEN yrs <= 2 THEN 'JUNIOR' WHEN yrs <= 5 THEN 'MID' WHEN yrs <= 8 THEN 'SENIOR' ELSE 'LEAD' END AS experience_level, title AS current_title, coalesce(remote, 'any') AS remote_preference, CASE WHEN doc_id % 2 = 0 THEN 'Oslo' ELSE '{HOME}' END AS location FROM q"""
+ORACLE_SQL["alias_map"] = "SELECT p_brand AS label, string_agg(p_name, '|' ORDER BY p_partkey) AS aliases FROM part GROUP BY 1"

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions.references import unescaped
-from talus.plans.adapters import view
+from talus.plans.adapters import POSTINGS, postings, view
 from talus.sources import payloads as P
 
 HOURS = 240
@@ -96,6 +96,13 @@ def fan_in(spark, d):
     return P.fan_in(short, "JUNIOR").select("rank", "ord", "title", "site", "job_url")
 
 
+def term_scans(spark, d):
+    """Postings as found by three terms, whose results overlap; one scan lacks columns."""
+    p = postings(spark, d).select("ord", "job_url", "title", "company")
+    scans = [("backend", p.where("ord % 2 = 0")), ("java remote", p.where("ord % 3 = 0").drop("company")), ("", p)]
+    return P.scanned(scans).select("rank", "search_term", "ord", "job_url", "title", "company")
+
+
 def decoded_references(spark, d):
     """References of all kinds in place of the blanks of every document."""
     ref = "CASE doc_id % 9 WHEN 0 THEN '&eacute;' WHEN 1 THEN '&#233;' WHEN 2 THEN '&#xE9;' WHEN 3 THEN '&copy' WHEN 4 THEN '&amp;lt;' WHEN 5 THEN '&#128;' WHEN 6 THEN '&#x1F600;' WHEN 7 THEN '&nosuch;' ELSE '&NotEqualTilde;' END"
@@ -103,7 +110,7 @@ def decoded_references(spark, d):
     return rows.select("doc_id", unescaped(F.col("body")).alias("body"))
 
 
-QUERIES |= {f.__name__: f for f in (fan_in, decoded_references)}
+QUERIES |= {f.__name__: f for f in (fan_in, term_scans, decoded_references)}
 
 
 # SQL of the same rows, from JSON functions of DuckDB.
@@ -198,3 +205,5 @@ ORACLE_SQL["fan_in"] = (
     + " UNION ALL ".join(f"SELECT {i} AS rank, ord, title, site, job_url FROM ({ORACLE_SQL[f'board_{b}']})" for i, b in enumerate(BOARDS))
     + ") WHERE job_url <> '' AND NOT regexp_matches(title, '(?i)\\b(senior|sr\\.?|staff|principal|lead|director|head\\b|vp\\b|architect|manager)\\b') QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY rank, ord) = 1"
 )
+ORACLE_SQL["term_scans"] = f"""WITH p AS ({POSTINGS}), s AS (SELECT 0 AS rank, 'backend' AS search_term, ord, job_url, title, company FROM p WHERE ord % 2 = 0 UNION ALL SELECT 1, 'java remote', ord, job_url, title, '' FROM p WHERE ord % 3 = 0 UNION ALL SELECT 2, '', ord, job_url, title, company FROM p)
+  SELECT rank, search_term, ord, job_url, title, company FROM s QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY rank, ord) = 1"""

@@ -257,3 +257,16 @@ def fan_in(sources: list[DataFrame], level: str = "", first_only: bool = True) -
     order = F.struct("rank", "ord")
     rest = [c for c in rows.columns if c != "job_url"]
     return rows.groupBy("job_url").agg(F.min_by(F.struct(*rest), order).alias("r")).select(*[c if c == "job_url" else f"r.{c}" for c in rows.columns])
+
+
+def scanned(scans: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Scans of boards by search term as one table: ``search_term`` and ``rank`` tell the scan, the first row of each url stays.
+
+    Scans may lack columns; texts that are missing or null are empty. All rows without a url count as one url, so one stays.
+    """
+    ranked = [s.withColumns({"search_term": F.lit(term), "rank": F.lit(i)}) for i, (term, s) in enumerate(scans)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+    rows = rows.fillna("").withColumn("job_url", F.coalesce("job_url", F.lit("")))
+    rest = [c for c in rows.columns if c != "job_url"]
+    best = rows.groupBy("job_url").agg(F.min_by(F.struct(*rest), F.struct("rank", "ord")).alias("r"))
+    return best.select(*[c if c == "job_url" else f"r.{c}" for c in rows.columns])

@@ -53,3 +53,21 @@ def test_techniques_and_tenants(spark):
     assert [r.space for r in C.shared_spaces(features).orderBy("ord").collect()] == ["Tech Park", "Desk"]
     titles = spark.createDataFrame([(1, "Acme Data Systems, acme data systems and Orbit Tech"), (2, "ACME DATA Systems"), (3, None)], "ord long, title string")
     assert sorted(r.company_name for r in C.tenants(titles).collect()) == ["Acme Data Systems", "Orbit Tech"]
+
+
+def test_scans_edits_and_aliases(spark):
+    from talus.operators.lexicon import alias_map
+    from talus.operators.profile import after_edits, with_edits
+    from talus.sources.payloads import scanned
+
+    a = spark.createDataFrame([(1, "u", "x", None), (2, None, "y", "c")], "ord long, job_url string, title string, company string")
+    b = spark.createDataFrame([(1, "", "late"), (2, "u", "late"), (3, "v", None)], "ord long, job_url string, title string")
+    for n in (1, 4):
+        rows = scanned([("t", a.repartition(n)), ("s", b.repartition(n))]).collect()
+        assert sorted((r.job_url, r["rank"], r.search_term, r.ord, r.title, r.company) for r in rows) == [("", 0, "t", 2, "y", "c"), ("u", 0, "t", 1, "x", ""), ("v", 1, "s", 3, "", "")]
+    p = spark.createDataFrame([(i, ["Go"], ["x"], ["Dev"], ["Dev"], 4, "any") for i in range(3)], "id long, primary_skills array<string>, user_added_skills array<string>, target_titles array<string>, job_titles array<string>, experience_years int, remote_preference string")
+    e = spark.createDataFrame([(0, " A,, b ", "", None, "7 or 8", "remote"), (1, None, None, " ", "x", None)], "id long, titles string, skills string, added string, years string, remote string")
+    rows = after_edits(with_edits(p, e, "id"), ["any job"], "Home").orderBy("id").collect()
+    assert [(r.job_titles, r.primary_skills, r.user_added_skills, r.experience_years, r.remote_preference) for r in rows] == [(["A", "b"], [], ["x"], 7, "remote"), (["Dev"], ["Go"], [], 0, "any"), (["Dev"], ["Go"], ["x"], 4, "any")]
+    m = spark.createDataFrame([(2, "Go (Golang)", "golang"), (1, " Go", "go"), (3, None, "z"), (4, "Go", None)], "ord long, label string, alias string")
+    assert sorted((r.label, r.aliases) for r in alias_map(m).collect()) == [("", ["z"]), ("Go", ["go", "golang"])]
