@@ -25,8 +25,8 @@ from talus.llm.common import map_batches, table
 
 #: The pre-tokenisation of byte-level BPE vocabularies of this kind (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that one worker remembers, at most, in each of two generations; fewer where a library merges new ones quickly.
-REMEMBERED, REMEMBERED_BESIDE = 450_000, 150_000
+#: Words that one worker remembers, at most, in each of two generations.
+REMEMBERED = 450_000
 #: Longer words are encoded anew each time.
 LONGEST_REMEMBERED = 64
 #: Longer words are merged by the queue even where the library is given.
@@ -67,7 +67,7 @@ class BytePairCodec:
     ``add_special_tokens=False``: special tokens written out in a text become their id, all else is merged.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, most: int = REMEMBERED):
         """``ranks``: the same vocabulary as a tiktoken file; words are then merged by that library."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -97,7 +97,6 @@ class BytePairCodec:
             # That library's own splitting overflows its stack on very long runs, so these are merged here.
             by_queue = self.encode_word
             self.encode_word = lambda word: np.array(merged(word), "<u4").tobytes() if len(word) <= LONGEST_MERGED else by_queue(word)
-        most = REMEMBERED_BESIDE if ranks else REMEMBERED
         self.by_word = _Remembering(self.encode_word, most)
         # A chunk is what stands between single spaces; it is kept without its leading space.
         self.by_chunk = _Remembering(self.encode_chunk, most)
@@ -176,9 +175,9 @@ class BytePairCodec:
 
 
 @functools.cache
-def codec(path: str, ranks: str | None = None) -> BytePairCodec:
+def codec(path: str, ranks: str | None = None, most: int = REMEMBERED) -> BytePairCodec:
     """One codec for each vocabulary and Python worker."""
-    return BytePairCodec(path, ranks)
+    return BytePairCodec(path, ranks, most)
 
 
 def default_vocabulary() -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm.bpe import codec, default_vocabulary
+from talus.llm.bpe import REMEMBERED, codec, default_vocabulary
 from talus.llm.common import map_batches, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -137,16 +137,18 @@ def pack_documents(
     ranks: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row for each piece of each document: where it starts in the document, and its sequence and offset there.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Repeated rows are packed as
     documents of their own. Tokens count as loss-bearing throughout. Very long texts, runs of white space among them, are
-    cut to sequences like any other. Other columns, whatever their names, are ignored; an empty table gives no rows.
+    cut to sequences like any other. ``remembered``: words that a worker keeps, which
+    changes its memory and time only. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        c, end = codec(vocabulary, ranks), np.array([end_id], "<u4").tobytes()
+        c, end = codec(vocabulary, ranks, remembered), np.array([end_id], "<u4").tobytes()
         packer = Packer(limits, sequence=TaskContext.get().partitionId() << 40)
 
         def rows(placed: Iterator[tuple]) -> dict:
