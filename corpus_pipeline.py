@@ -17,6 +17,8 @@ from talus.llm.common import id_bucket, materialise, table
 #: Documents below this quality go, and those whose language is not clear to this degree.
 MIN_QUALITY = 0.3
 MIN_LANGUAGE = 0.3
+#: Words that a worker of the packing stage remembers: executors have run other stages before it.
+REMEMBERED = 150_000
 
 
 def _safe(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -76,7 +78,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts are their end token alone; repeated rows are documents of their own; an empty table gives no rows.
     """
-    return packing.pack_documents(docs, default_vocabulary(), ranks=packing.ranks_beside())
+    return packing.pack_documents(docs, default_vocabulary(), ranks=packing.ranks_beside(), remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_copies", copies_stage), ("packing", packing_stage)]
