@@ -212,4 +212,4 @@ def ranks_beside() -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), ranks=ranks_beside())
+    return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), ranks=ranks_beside(), remembered=2 * REMEMBERED)
