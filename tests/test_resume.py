@@ -128,3 +128,40 @@ def test_upserts_in_any_order_give_one_table(spark, tmp_path):
     feed.upsert(spark.createDataFrame([("a", at(2024, 2, 1), "newest", 9)], shape), str(tmp_path / "t0"), 3)
     after = {f: f.stat().st_mtime_ns for f in (tmp_path / "t0").rglob("*.parquet")}
     assert any(f in after and after[f] == t for f, t in untouched.items()) and any(f not in after for f in untouched)
+
+
+def test_first_of_an_area_are_the_first_of_all_inside(spark):
+    rng = random.Random(9)
+    points = [(i, rng.choice([rng.uniform(-3, 3), rng.randrange(-20, 20) * 0.13, rng.gauss(0, 0.1), None]), rng.choice([rng.uniform(-3, 3), 0.5, float("nan")])) for i in rng.sample(range(5000), 1500)]
+    boxes = [(0, 0.0, 0.0, 0.0, 0.0), (1, -90.0, -180.0, 90.0, 180.0), (2, 1.0, 1.0, 0.0, 2.0), (3, None, 0.0, 1.0, 1.0), (4, -0.13, -3.0, 0.26, 3.0), (5, -0.13, -3.0, 0.26, 3.0), (5, 0.0, -1.0, 1.0, 1.0)]
+    for i in range(6, 60):
+        s, w, size = rng.uniform(-3, 3), rng.uniform(-3, 3), 10 ** rng.uniform(-2, 1)
+        boxes.append((i, s, w, s + size * rng.random(), w + size * rng.random()))
+    p = spark.createDataFrame([(*x, {"name": "a", "shop": ""}) for x in points], "ord long, latitude double, longitude double, tags map<string,string>")
+    b = spark.createDataFrame(boxes, "area long, south double, west double, north double, east double")
+    held = {}
+    for a, s, w, n, e in boxes:
+        held.setdefault(a, []).extend(o for o, y, x in points if None not in (s, y) and s <= y <= n and w <= x <= e)
+    for most in (1, 3, 40, 2000):
+        got = sorted((r.area, r.place, r.ord) for r in areas.businesses(p, b, most).collect())
+        assert got == [(a, k, o) for a in sorted(held) for k, o in enumerate(sorted(held[a])[:most], 1)]
+
+
+def joined_rows(df):
+    """Rows out of the joins of a frame that was collected."""
+    todo, rows = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        plan = todo.pop()
+        if "Join" in plan.nodeName():
+            rows.append(plan.metrics().apply("numOutputRows").value())
+        todo += [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return rows
+
+
+def test_boxes_meet_only_the_first_points_of_a_place(spark):
+    p = spark.range(20_000).selectExpr("id AS ord", "map('name', 'a', 'shop', 'x') AS tags", "id % 2 * 0.1D AS latitude", "id % 5 * 0.1D AS longitude")
+    b = spark.range(100).selectExpr("id AS area", "-1D AS south", "-1D AS west", "1D AS north", "1D AS east")
+    found = areas.businesses(p, b, 3)
+    assert sorted((r.area, r.ord) for r in found.collect()) == [(a, o) for a in range(100) for o in range(3)]
+    assert 300 in joined_rows(found) and max(joined_rows(found)) == 300
