@@ -24,11 +24,11 @@ from talus.llm.common import handed_on, id_bucket, map_batches, table, with_kept
 
 LETTER = regex.compile(r"\p{L}")
 EDGES = regex.compile(r"^\P{L}+|\P{L}+$")
-#: What separates words, in the training and in the scoring of texts.
+#: What separates words in the training, as ``str.split`` does in the scoring of texts.
 WHITE = r"[\s\x1c-\x1f\x85\p{Z}]+"
-SPACES = regex.compile(WHITE)
-#: Words that a worker remembers, at most.
+#: Words that a worker remembers, at most, and those whose grams it gathers at once.
 REMEMBERED = 300_000
+AT_ONCE = 1000
 UNKNOWN = "und"
 
 
@@ -54,20 +54,38 @@ class Model:
     gram_logs: np.ndarray
     longest_gram: int
 
-    def vector(self, token: str) -> np.ndarray:
-        """What one token adds for each language; zeros where it has no letter or nothing of it is known."""
-        word = EDGES.sub("", token.lower())
-        if not word:
-            return np.zeros(len(self.languages), np.float32)
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_logs[at]
-        marked = f" {word} "
+    def vectors(self, tokens: list[str]) -> np.ndarray:
+        """What each token adds for each language; zeros where it has no letter or nothing of it is known."""
+        out = np.zeros((len(tokens), len(self.languages)), np.float32)
+        whole, word_rows, backed, starts, gram_rows = [], [], [], [], []
+        for i, token in enumerate(tokens):
+            word = token.lower()
+            if not (word[0].isalpha() and word[-1].isalpha()):
+                word = EDGES.sub("", word)
+                if not word:
+                    continue
+            at = self.words.get(word)
+            if at is not None:
+                whole.append(i)
+                word_rows.append(at)
+            elif known := self.known_grams(f" {word} "):
+                backed.append(i)
+                starts.append(len(gram_rows))
+                gram_rows += known
+        out[whole] = self.word_logs[word_rows]
+        if backed:
+            sums = np.add.reduceat(self.gram_logs[gram_rows], starts)
+            out[backed] = sums / np.diff([*starts, len(gram_rows)]).astype(np.float32)[:, None]
+        return out
+
+    def known_grams(self, marked: str) -> list[int]:
+        """Rows of the known n-grams of the greatest length that has any."""
+        get = self.grams.get
         for n in range(min(self.longest_gram, len(marked)), 0, -1):
-            known = [self.grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in self.grams]
+            known = [at for i in range(len(marked) - n + 1) if (at := get(marked[i : i + n])) is not None]
             if known:
-                return self.gram_logs[known].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+                return known
+        return []
 
 
 class Scorer:
@@ -78,26 +96,26 @@ class Scorer:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((REMEMBERED, len(model.languages)), np.float32)
 
-    def row(self, token: str) -> int:
-        at = self.rows.get(token)
-        if at is None:
-            at = len(self.rows)
-            self.rows[token] = at
-            self.table[at] = self.model.vector(token)
-        return at
+    def remember(self, tokens: list[str]) -> None:
+        for start in range(0, len(tokens), AT_ONCE):
+            some, first = tokens[start : start + AT_ONCE], len(self.rows)
+            self.table[first : first + len(some)] = self.model.vectors(some)
+            self.rows.update(zip(some, range(first, first + len(some)), strict=True))
 
     def score(self, text: str | None) -> tuple[str, float]:
         """The best language and its share of the likelihood, tempered by the number of words."""
         if not text or not self.model.languages or not LETTER.search(text):
             return UNKNOWN, 0.0
-        tokens = [t for t in SPACES.split(text) if t]
+        tokens = text.split()  # at WHITE
         total = np.zeros(len(self.model.languages))
         for start in range(0, len(tokens), REMEMBERED // 2):
             some = tokens[start : start + REMEMBERED // 2]
-            if len(self.rows) + len(some) > REMEMBERED and len(self.rows) + len(set(some)) > REMEMBERED:
+            new = set(some).difference(self.rows)
+            if len(self.rows) + len(new) > REMEMBERED:
                 self.rows.clear()
-            get = self.rows.get
-            at = [i if (i := get(t)) is not None else self.row(t) for t in some]
+                new = set(some)
+            self.remember(list(new))
+            at = np.fromiter(map(self.rows.__getitem__, some), np.int64, len(some))
             total += self.table[at].sum(axis=0, dtype=np.float64)
         mean = total / max(len(tokens), 1) * min(len(tokens), 8)
         best = int(mean.argmax())  # ties: the first language by name
@@ -187,7 +205,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scorer = Scorer(shared.value)
         for b in batches:
-            found = [scorer.score(t.as_py()) for t in b.column("__text")]
+            found = [scorer.score(t) for t in b.column("__text").to_pylist()]
             yield handed_on(b, text_col, keep) | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
     return map_batches(kept, run, f"{schema}, lang_pred string, score double")

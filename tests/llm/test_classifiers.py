@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 from talus.llm import langid, quality, toxicity
@@ -31,6 +32,33 @@ def test_language_of_held_out_rows(spark, larger):
     assert len(held) > 100 and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_language_scorer_learns_the_new_words_of_a_text_together():
+    asked = []
+
+    class Asked(langid.Model):
+        def vectors(self, tokens):
+            asked.append(len(tokens))
+            return super().vectors(tokens)
+
+    words, word_logs = langid.log_table([("der", "de", 9), ("the", "en", 9)], ["de", "en"], {"de": 9, "en": 9})
+    grams, gram_logs = langid.log_table([(" sch", "de", 4), ("chen", "de", 3), ("th", "en", 5), ("ü", "de", 2)], ["de", "en"], {"de": 9, "en": 5})
+    model = Asked(["de", "en"], words, word_logs, grams, gram_logs, 4)
+    tokens = ["The,", "(der)", "Schchen", "moth", "§1", "grün.", "xyz", "İ"]
+    rows = [word_logs[words["the"]], word_logs[words["der"]], (gram_logs[grams[" sch"]] + gram_logs[grams["chen"]]) / 2, gram_logs[grams["th"]], [0, 0], gram_logs[grams["ü"]], [0, 0], [0, 0]]
+    assert langid.Model.vectors(model, tokens) == pytest.approx(np.array(rows), abs=1e-6)
+    assert langid.Model.vectors(model, []).shape == (0, 2)
+    scorer = langid.Scorer(model)
+    assert [scorer.score(x)[0] for x in ("Schchen der the grün", "\x1cmoth\xa0the\u3000the", "§1", None)] == ["de", "en", "und", "und"]
+    assert scorer.score("the the moth") == scorer.score("the\n the \x85moth ")
+    scorer.score(" ".join(f"w{i}" for i in range(2500)))
+    assert asked == [4, 1, 1000, 1000, 500]
+
+
+def test_training_and_scoring_split_words_alike():
+    white = langid.regex.compile(langid.WHITE)
+    assert all((white.fullmatch(chr(c)) is not None) == chr(c).isspace() for c in range(0x110000))
+
+
 def auc(pairs):
     ones, zeros = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
