@@ -145,9 +145,12 @@ def write_monolithic(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
 
 
 def archive_name(path: str) -> str:
-    """The name of a monolithic file: its part and file name, without endings."""
+    """The name of a monolithic file: its part and file name, without the endings of its format.
+
+    What Spark puts before these tells a task's files of one part apart (``.c000``, ``.c001``: 5,000 records each).
+    """
     part, name = path.rsplit("/", 2)[-2:]
-    return f"{part.removeprefix('part=')}-{name.split('.')[0]}"
+    return f"{part.removeprefix('part=')}-{name.removesuffix('.gz').removesuffix('.txt')}"
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> None:

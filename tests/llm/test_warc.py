@@ -99,3 +99,16 @@ def test_records_over_several_batches(spark, tmp_path):
     warc.write_monolithic(warc.revisits(pages), whole)
     warc.normalise(spark, whole, members)
     assert found(warc.read_archives(spark, members)) == expected([(r[0], r[2]) for r in rows])
+
+
+def test_files_of_one_task_and_part_are_archives_of_their_own(spark, tmp_path):
+    rows = [(i, "u", f"{i % 11_000} " + "z" * (i % 97)) for i in range(12_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    whole, members = str(tmp_path / "w"), str(tmp_path / "m")
+    warc.write_monolithic(warc.revisits(pages).coalesce(1), whole)
+    files = glob.glob(f"{whole}/part=0/*.gz")
+    assert len(files) == 3 and len({warc.archive_name(p) for p in files}) == 3
+    warc.normalise(spark, whole, members)
+    back = warc.read_archives(spark, members)
+    assert sorted(r["count"] for r in back.groupBy("archive").count().collect()) == [2_000, 5_000, 5_000]
+    assert found(back) == expected([(r[0], r[2]) for r in rows])
